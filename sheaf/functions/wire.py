@@ -1,6 +1,7 @@
-"""The task message's wire format as column expressions (no Python worker needed).
+"""The task message's wire format as SQL expressions (no Python worker needed).
 
-Bytes are put together as hex text and turned to binary once at the end.
+Bytes are put together as hex text and turned to binary once at the end. The expressions are
+SQL text, as they are long and parse faster than they would be built call by call.
 """
 
 from pyspark.sql import Column
@@ -9,58 +10,52 @@ from pyspark.sql import functions as F
 from sheaf.schema import TASK_FIELD_NUMBERS
 
 LENGTH_DELIMITED = 2
+MAP_FIELDS = ("headers", "params")
 
 
-def _byte(n: Column) -> Column:
-    return F.lpad(F.hex(n), 2, "0")
-
-
-def varint_hex(n: Column) -> Column:
+def varint_hex(n: str) -> str:
     """Base-128 length of up to five bytes, low group first."""
-    n = n.cast("long")
-
-    def written(size: int) -> Column:
-        low = [_byte(F.shiftright(n, 7 * i).bitwiseAND(127).bitwiseOR(128)) for i in range(size - 1)]
-        return F.concat(*low, _byte(F.shiftright(n, 7 * (size - 1))))
 
-    out = written(5)
-    for size in (4, 3, 2, 1):
-        out = F.when(n < (1 << (7 * size)), written(size)).otherwise(out)
-    return out
+    def written(size: int) -> str:
+        groups = [f"((shiftright({n}, {7 * i}) & 127) | 128)" for i in range(size - 1)]
+        groups.append(f"shiftright({n}, {7 * (size - 1)})")
+        return " || ".join(f"lpad(hex({g}), 2, '0')" for g in groups)
 
+    cases = " ".join(f"when {n} < {1 << (7 * size)} then {written(size)}" for size in (1, 2, 3, 4))
+    return f"case {cases} else {written(5)} end"
 
-def _tag(number: int) -> Column:
-    return F.lit(f"{number << 3 | LENGTH_DELIMITED:02X}")
 
+def _sized(number: int, size: str, content_hex: str) -> str:
+    tag = f"{number << 3 | LENGTH_DELIMITED:02X}"
+    return f"('{tag}' || {varint_hex(size)} || {content_hex})"
 
-def _sized_hex(number: int, content_hex: Column) -> Column:
-    return F.concat(_tag(number), varint_hex(F.length(content_hex) / 2), content_hex)
 
-
-def _text_field(number: int, text: Column) -> Column:
+def _text_field(number: int, text: str) -> str:
     """Empty and unset text are not written."""
-    return F.when(F.length(text) > 0, _sized_hex(number, F.hex(text))).otherwise("")
+    size = f"octet_length({text})"
+    return f"case when {size} > 0 then {_sized(number, size, f'hex({text})')} else '' end"
+
 
+def _map_field(number: int, entries: str) -> str:
+    """One sized entry per pair, in key order.
 
-def _map_field(number: int, entries: Column) -> Column:
-    written = F.transform(
-        F.array_sort(F.map_entries(entries)),
-        lambda e: _sized_hex(
-            number, F.concat(_sized_hex(1, F.hex(e["key"])), _sized_hex(2, F.hex(e["value"])))
-        ),
-    )
-    return F.coalesce(F.array_join(written, ""), F.lit(""))
+    Written in two passes, so that an entry's length is taken from its finished text and not
+    from a copy of the expression that made it.
+    """
+    key = _sized(1, "octet_length(e.key)", "hex(e.key)")
+    value = _sized(2, "octet_length(e.value)", "hex(e.value)")
+    pairs = f"transform(array_sort(map_entries({entries})), e -> {key} || {value})"
+    written = f"transform({pairs}, p -> {_sized(number, '(length(p) div 2)', 'p')})"
+    return f"coalesce(array_join({written}, ''), '')"
 
 
-def task_message(fields: dict[str, Column]) -> Column:
-    """Binary message of a task given its six columns."""
-    parts = []
-    for name, number in TASK_FIELD_NUMBERS.items():
-        field = _map_field if name in ("headers", "params") else _text_field
-        parts.append(field(number, fields[name]))
-    return F.unhex(F.concat(*parts))
+def task_message() -> Column:
+    """Binary message of the task in a row's columns."""
+    fields = [(_map_field if name in MAP_FIELDS else _text_field)(number, name)
+              for name, number in TASK_FIELD_NUMBERS.items()]
+    return F.expr(f"unhex({' || '.join(fields)})")
 
 
-def sized(message: Column) -> Column:
-    """Hex text of a message behind its length."""
-    return F.concat(varint_hex(F.octet_length(message)), F.hex(message))
+def sized_hex(column: str) -> Column:
+    """Hex text of a binary column behind its length."""
+    return F.expr(f"{varint_hex(f'octet_length({column})')} || hex({column})")

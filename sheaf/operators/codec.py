@@ -17,7 +17,7 @@ DECODED = T.StructType([*TASK.fields, T.StructField("error", T.StringType())])
 
 def encode_tasks(df: DataFrame, into: str = "value") -> DataFrame:
     """Adds the binary message of each task, computed in the JVM; empty fields are not written."""
-    return df.withColumn(into, wire.task_message({n: F.col(n) for n in TASK_FIELD_NUMBERS}))
+    return df.withColumn(into, wire.task_message())
 
 
 def _message_class():
@@ -139,7 +139,7 @@ def join_delimited(df: DataFrame, keys: list[str], order: str, value: str = "val
     A blob is one cell, so the keys must name a bounded batch (a log partition and batch
     number), not an open-ended group such as a topic.
     """
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), wire.sized(F.col(value)).alias("h"))))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), wire.sized_hex(value).alias("h"))))
     return df.groupBy(*keys).agg(parts.alias("_parts")).select(
         *keys, F.unhex(F.array_join(F.transform("_parts", lambda p: p["h"]), "")).alias("blob"))
 

@@ -15,6 +15,7 @@ from sheaf.operators.objects import object_keys
 from sheaf.operators.requests import build_requests
 from sheaf.plans.results import completions
 from sheaf.schema import TOPICS
+from sheaf.session import few, settled
 
 PAGE_RECORD = {
     "title": Field("title"),
@@ -27,7 +28,7 @@ PAGE_RECORD = {
 
 @dataclass
 class Collected:
-    """Outputs of a batch; all are lazy."""
+    """Outputs of a batch, to be written by the caller."""
 
     outcomes: DataFrame
     objects: DataFrame
@@ -61,9 +62,12 @@ def with_requests(tasks: DataFrame) -> DataFrame:
 
 
 def latest_captures(captures: DataFrame, urls: DataFrame | None = None) -> DataFrame:
-    """The latest capture per URL; with ``urls`` only of those, cut before anything is shuffled."""
+    """The latest capture per URL; with ``urls`` only of those.
+
+    A short list of URLs is broadcast, so pages nobody asked for are dropped at the scan.
+    """
     if urls is not None:
-        captures = captures.join(urls.select("url").distinct(), "url", "left_semi")
+        captures = captures.join(few(urls.select("url").distinct()), "url", "left_semi")
     return captures.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), "page_id").alias("_c")).select(
         "url", "_c.page_id", "_c.html")
 
@@ -73,12 +77,13 @@ def run_batch(log: DataFrame, captures: DataFrame, name: str = "scrape-all",
     """Reads, decodes, deduplicates, resolves, parses and announces a batch of tasks.
 
     Each page is parsed once, however many tasks ask for it, and the records (not the pages)
-    are then brought to the tasks.
+    are then brought to the tasks. Tasks and records are kept in the shared folder: several
+    outputs use them, and neither the log nor the pages should be gone through again for each.
     """
     tasks, _ = tasks_of(log, name)
-    requests = with_requests(tasks)
+    requests = settled(with_requests(tasks))
     pages = latest_captures(captures, requests)
-    per_page = extract_records(parse_html(pages, keep=("url",)), spec, keep=("url",))
+    per_page = settled(extract_records(parse_html(pages, keep=("url",)), spec, keep=("url",)))
     seen = lookup(requests, per_page, "url", spread_by="job_id")
     outcome = (F.when(F.col("request_error").isNotNull(), F.col("request_error"))
                .when(F.col("page_id").isNull(), TRANSPORT_ERROR).otherwise(OK))
