@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from sheaf.functions import selectors
-from sheaf.operators.html import matching, select_first, text_of
+from sheaf.operators.html import first_match, matching, text_of
 
 
 @dataclass(frozen=True)
@@ -22,34 +22,28 @@ class Field:
     count: bool = False
 
 
-def _value(node: Column, field: Field) -> Column:
-    return F.try_element_at(node["attrs"], F.lit(field.attr)) if field.attr else text_of(node)
+def _column(field: Field) -> Column:
+    steps = selectors.css(field.selector)
+    if field.count:
+        if len(steps) > 1:
+            raise ValueError("count takes a one-step selector")
+        return F.size(matching(steps[0])).cast(field.type if field.type != "string" else "long")
+
+    def value(node: Column) -> Column:
+        return F.try_element_at(node["attrs"], F.lit(field.attr)) if field.attr else text_of(node)
+
+    # The array binds the found node to a name, so that it is searched for once.
+    return F.transform(F.array(first_match(steps)), value)[0].try_cast(field.type)
 
 
 def extract_records(trees: DataFrame, spec: dict[str, Field], keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per page with a typed column per field, null where nothing matches.
 
-    Fields with one-step selectors are read from the page's own row, without a shuffle; only
-    chains (``nav li a``) are searched for and joined by page.
+    All fields are read from the page's own row: the page is parsed once and nothing is
+    shuffled, whatever the selectors.
     """
-    columns, chains = [], {}
-    for name, field in spec.items():
-        steps = selectors.css(field.selector)
-        if len(steps) > 1:
-            if field.count:
-                raise ValueError("count takes a one-step selector")
-            chains[name] = field
-        elif field.count:
-            columns.append(F.size(matching(steps[0])).cast("long").alias(name))
-        else:
-            first = F.try_element_at(matching(steps[0]), F.lit(1))
-            columns.append(_value(first, field).try_cast(field.type).alias(name))
-    records = trees.select("page_id", *keep, *columns)
-    for name, field in chains.items():
-        hit = select_first(trees, field.selector)
-        value = F.try_element_at("attrs", F.lit(field.attr)) if field.attr else F.col("text")
-        records = records.join(hit.select("page_id", value.try_cast(field.type).alias(name)), "page_id", "left")
-    return records.select("page_id", *keep, *spec)
+    fields = [_column(field).alias(name) for name, field in spec.items()]
+    return trees.select("page_id", *keep, *fields)
 
 
 def structure_with_model(

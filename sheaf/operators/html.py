@@ -7,6 +7,8 @@ nodes to each other explode only the nodes they name and work per page.
 """
 
 from collections.abc import Iterator
+from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import selectors
 from sheaf.functions.selectors import Step
-from sheaf.schema import TREE, VOID_ELEMENTS
+from sheaf.schema import NODE, TREE, VOID_ELEMENTS
 from sheaf.session import spread
 
 RAW_TEXT_IN = ("script", "style")
@@ -26,7 +28,7 @@ class _Walk(HTMLParser):
     """Collects one page's nodes; an end tag closes up to its nearest open element."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self.rows, self.open, self.run = [], [], []
         self.shown, self.raw = bytearray(), bytearray()
 
@@ -76,6 +78,12 @@ class _Walk(HTMLParser):
     def handle_data(self, data):
         self.run.append(data)
 
+    def handle_entityref(self, name):
+        self.run.append(html5.get(name + ";", "&" + name))
+
+    def handle_charref(self, name):
+        self.run.append(unescape(f"&#{name};"))
+
     def handle_comment(self, data):
         self.flush()
 
@@ -146,6 +154,8 @@ def nodes(trees: DataFrame) -> DataFrame:
 
 
 def _rows(trees: DataFrame, picked: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The picked nodes of each page as rows with their text."""
+
     def row(n: Column) -> Column:
         return F.struct(n["node_id"].alias("node_id"), n["parent_id"].alias("parent_id"),
                         n["last_id"].alias("last_id"), n["tag"].alias("tag"), n["attrs"].alias("attrs"),
@@ -167,33 +177,65 @@ def select(trees: DataFrame, steps: str | list[Step]) -> DataFrame:
     return _chain(_candidates(trees, steps), ["page_id"], steps)
 
 
-def select_first(trees: DataFrame, css: str) -> DataFrame:
+def select_first(trees: DataFrame, css: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """The first match per page in document order; pages without one give no row."""
-    steps = selectors.css(css)
+    found = first_match(selectors.css(css))
+    return _rows(trees, F.filter(F.array(found), lambda n: n.isNotNull()), keep)
+
+
+def first_match(steps: list[Step]) -> Column:
+    """The first node of a page that satisfies the steps, or null; needs no shuffle.
+
+    One pass over the page's candidate nodes in document order. Per step it carries the highest
+    ``last_id`` of the matches so far (a later node lies inside one of them exactly when
+    that reaches it), and for a step with a child step behind it the matches still open.
+    """
     if len(steps) == 1:
-        return _rows(trees, F.slice(matching(steps[0]), 1, 1))
-    found = select(trees, steps)
-    return found.groupBy("page_id").agg(
-        F.min_by(F.struct(*[c for c in found.columns if c != "page_id"]), "node_id").alias("_n")
-    ).select("page_id", "_n.*")
+        return F.try_element_at(matching(steps[0]), F.lit(1))
+    feeding = range(len(steps) - 1)
+    opened = [i for i in feeding if steps[i + 1].child]
+    no_nodes = F.array().cast("array<struct<id:int,last:int>>")
+    zero = F.struct(
+        *[F.lit(-1).alias(f"reach{i}") for i in feeding],
+        *[no_nodes.alias(f"open{i}") for i in opened],
+        F.lit(None).cast(NODE).alias("hit"))
+
+    def visit(acc: Column, n: Column) -> Column:
+        on = [steps[0].matches(n)]
+        for i, step in enumerate(steps[1:]):
+            inside = (F.exists(acc[f"open{i}"], lambda x: x["id"] == n["parent_id"]) if step.child
+                      else acc[f"reach{i}"] >= n["node_id"])
+            on.append(step.matches(n) & inside)
+        reach = [F.when(on[i], F.greatest(acc[f"reach{i}"], n["last_id"])).otherwise(acc[f"reach{i}"]).alias(f"reach{i}")
+                 for i in feeding]
+        still = []
+        for i in opened:
+            kept = F.filter(acc[f"open{i}"], lambda x: x["last"] >= n["node_id"])
+            me = F.struct(n["node_id"].alias("id"), n["last_id"].alias("last"))
+            still.append(F.when(on[i], F.array_append(kept, me)).otherwise(kept).alias(f"open{i}"))
+        moved = F.struct(*reach, *still, F.when(on[-1], n).alias("hit"))
+        return F.when(acc["hit"].isNotNull(), acc).otherwise(moved)
+
+    return F.aggregate(F.filter("tree.nodes", lambda n: _any(steps, n)), zero, visit, lambda acc: acc["hit"])
+
+
+def _any(steps: list[Step], n: Column) -> Column:
+    out = steps[0].matches(n)
+    for s in steps[1:]:
+        out = out | s.matches(n)
+    return out
 
 
 def _candidates(trees: DataFrame, steps: list[Step]) -> DataFrame:
     """Nodes that match any step, with one flag per step; text only for the last step's."""
 
-    def any_step(n: Column) -> Column:
-        out = steps[0].matches(n)
-        for s in steps[1:]:
-            out = out | s.matches(n)
-        return out
-
     def row(n: Column) -> Column:
         flags = [s.matches(n).alias(f"m{i}") for i, s in enumerate(steps)]
         return F.struct(n["node_id"].alias("node_id"), n["parent_id"].alias("parent_id"),
                         n["last_id"].alias("last_id"), n["tag"].alias("tag"), n["attrs"].alias("attrs"),
                         F.when(steps[-1].matches(n), text_of(n)).alias("text"), *flags)
 
-    return trees.select("page_id", F.inline(F.transform(F.filter("tree.nodes", any_step), row)))
+    return trees.select("page_id", F.inline(F.transform(F.filter("tree.nodes", lambda n: _any(steps, n)), row)))
 
 
 def _chain(candidates: DataFrame, keys: list[str], steps: list[Step]) -> DataFrame:

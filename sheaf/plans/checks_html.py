@@ -7,13 +7,19 @@ from sheaf.operators import extract, html
 from sheaf.operators.extract import Field
 from sheaf.plans.check import check
 from sheaf.plans.fixtures import Inputs
+from sheaf.session import settled
+
+
+ENTITIES = (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&"))
 
 
 def plain(markup: str) -> str:
-    """DuckDB text of a fragment: tags out, entities back."""
-    text = f"regexp_replace({markup}, '<[^>]*>', '', 'g')"
-    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        text = f"replace({text}, '{entity}', '{char}')"
+    """DuckDB text of a fragment: entities cut off before their ``;`` completed, tags out, entities back."""
+    names = "|".join(name for name, _ in ENTITIES)
+    text = rf"regexp_replace({markup}, '&({names})(<|$)', '&\1;\2', 'g')"
+    text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
+    for name, char in ENTITIES:
+        text = f"replace({text}, '&{name};', '{char}')"
     return text
 
 
@@ -99,7 +105,7 @@ def select_class(fx: Inputs) -> DataFrame:
 with l as (select page_id, unnest({NAV_LINKS.format(2)}) as t, generate_subscripts({NAV_LINKS.format(2)}, 1) as pos from pages)
 select page_id, pos, {plain('t')} as text from l""")
 def xpath_scoped(fx: Inputs) -> DataFrame:
-    page = trees(fx)
+    page = settled(trees(fx))
     found = html.xpath(page, ".//li", scope=html.xpath(page, "//nav"))
     w = Window.partitionBy("page_id", "scope_id").orderBy("node_id")
     return found.select("page_id", F.row_number().over(w).cast("long").alias("pos"), "text")
@@ -109,14 +115,14 @@ def xpath_scoped(fx: Inputs) -> DataFrame:
 with l as (select page_id, unnest({NAV_LINKS.format(1)}) as href from pages)
 select page_id, {plain('href')} as href, count(*) as n from l group by all""")
 def xpath_path(fx: Inputs) -> DataFrame:
-    page = trees(fx)
+    page = settled(trees(fx))
     found = html.xpath(page, ".//ul//a[@href]", scope=html.xpath(page, "//nav"))
     return found.groupBy("page_id", F.col("attrs")["href"].alias("href")).agg(F.count("*").alias("n"))
 
 
 @check("xpath_document", f"select page_id, {plain(inner('title'))} as title from pages where contains(html,'<nav>')")
 def xpath_document(fx: Inputs) -> DataFrame:
-    page = trees(fx)
+    page = settled(trees(fx))
     return html.xpath(page, "//head/title", scope=html.xpath(page, "//nav")).select("page_id", F.col("text").alias("title"))
 
 
