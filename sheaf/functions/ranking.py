@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheaf.session import settled
+from sheaf.session import few_rows, settled
 
 
 def group_limit(spark: SparkSession) -> int:
@@ -23,6 +23,20 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Data
     return df.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= n).drop("__rank")
 
 
+def first_rows(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """``first_n`` of a wide table whose (key, order) is unique.
+
+    The rows are picked by these two columns alone and then fetched, so that payloads are
+    neither sorted nor shuffled to find a few of them.
+    """
+    return fetched(df, settled(first_n(df.select(key, order), [key], [F.col(order)], n)), [key, order])
+
+
+def fetched(df: DataFrame, picked: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``df`` for settled ids; few ids are broadcast."""
+    return df.join(few_rows(picked), on)
+
+
 def ranked(
     df: DataFrame,
     keys: list[str],
@@ -53,7 +67,7 @@ def ranked(
     if size_into:
         runs = runs.withColumn(size_into, F.sum("__n").over(Window.partitionBy(*keys)))
     return (
-        placed.join(runs, [*keys, "__part"])
+        placed.join(few_rows(runs), [*keys, "__part"])
         .withColumn(into, F.col("__base") + F.col("__at") - F.col("__first"))
         .drop("__at", "__part", "__n", "__first", "__base")
     )

@@ -3,10 +3,10 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.functions.ranking import first_n
+from sheaf.functions.ranking import fetched, first_n, first_rows
 from sheaf.functions.skew import lookup
 from sheaf.schema import PROFILES, RECLAIM_COUNT, TOPICS
-from sheaf.session import few, settled
+from sheaf.session import settled
 
 
 def start_at(log: DataFrame, position: str | int | dict[str, int] = "earliest",
@@ -81,13 +81,18 @@ def live_tasks(log: DataFrame, tombstone: Column, order: str = "seq", key: str =
 
 def dequeue(df: DataFrame, n: int, queue: str = "queue", order: str = "seq") -> DataFrame:
     """The ``n`` oldest items of each queue."""
-    return first_n(df, [queue], [F.col(order)], n)
+    return first_rows(df, queue, order, n)
 
 
 def read_group(log: DataFrame, deliveries: DataFrame, group: str, count: int) -> DataFrame:
-    """The next ``count`` entries per channel that the group never got."""
-    got = deliveries.filter(F.col("grp") == group).select("channel", "msg_id")
-    return first_n(log.join(got, ["channel", "msg_id"], "left_anti"), ["channel"], [F.col("msg_id")], count)
+    """The next ``count`` entries per channel that the group never got.
+
+    They are found by their ids, so payloads take no part in the anti join.
+    """
+    ids = ["channel", "msg_id"]
+    got = deliveries.filter(F.col("grp") == group).select(*ids)
+    open_ids = log.select(*ids).join(got, ids, "left_anti")
+    return fetched(log, settled(first_n(open_ids, ["channel"], [F.col("msg_id")], count)), ids)
 
 
 def pending(deliveries: DataFrame, acks: DataFrame) -> DataFrame:
@@ -107,8 +112,8 @@ def reclaim(pending: DataFrame, log: DataFrame, consumer: str, now: Column,
     waiting = pending.filter(idle >= min_idle_seconds * 1_000_000)
     claimed = settled(
         first_n(waiting, ["grp", "channel"], [F.col("msg_id")], count).withColumn("consumer", F.lit(consumer)))
-    ids = few(claimed.select("grp", "channel", "msg_id", "consumer"))
-    returned = log.join(ids, ["channel", "msg_id"]).filter(F.col("payload").isNotNull())
+    ids = claimed.select("grp", "channel", "msg_id", "consumer")
+    returned = fetched(log.filter(F.col("payload").isNotNull()), ids, ["channel", "msg_id"])
     return claimed, claimed.select("grp", "channel", "msg_id"), returned
 
 

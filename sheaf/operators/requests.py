@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sheaf.functions.skew import lookup
 from sheaf.functions.urls import host, with_params
 from sheaf.schema import BODY_METHODS, MAX_ATTEMPTS, QUERY_METHODS, RETRY_WAIT_SECONDS, TIMEOUT_SECONDS
+from sheaf.session import few
 
 UNSUPPORTED = "Unsupported HTTP method."
 ATTEMPTS = (
@@ -88,14 +89,25 @@ def fetch(
     return dealt.mapInPandas(run, ATTEMPTS)
 
 
-def fetch_captured(tasks: DataFrame, captures: DataFrame, order: str = "page_id") -> DataFrame:
+def latest_captures(captures: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+    """The latest capture per URL; with ``urls`` only of those.
+
+    A short list of URLs is broadcast, so pages nobody asked for are dropped at the scan.
+    """
+    if urls is not None:
+        captures = captures.join(few(urls.select("url").distinct()), "url", "left_semi")
+    return captures.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), "page_id").alias("_c")).select(
+        "url", "_c.page_id", "_c.html")
+
+
+def fetch_captured(tasks: DataFrame, captures: DataFrame) -> DataFrame:
     """Tasks with the latest capture of their URL (``page_id``, ``html``), null where there is none.
 
-    Captures are reduced to one row per URL first. A URL that very many tasks ask for is
+    Captures are reduced to one row per asked URL first. A URL that very many tasks ask for is
     spread over many tasks by ``lookup``.
     """
-    latest = captures.groupBy("url").agg(F.max_by(F.struct(F.col(order).alias("page_id"), "html"), order).alias("_c"))
-    return lookup(tasks, latest, "url", spread_by="job_id").select(*tasks.columns, "_c.page_id", "_c.html")
+    found = lookup(tasks, latest_captures(captures, tasks), "url", spread_by="job_id")
+    return found.select(*tasks.columns, "page_id", "html")
 
 
 def response_json(df: DataFrame, col: str = "body") -> tuple[DataFrame, DataFrame]:

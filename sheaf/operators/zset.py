@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.ranking import group_limit, ranked
 from sheaf.operators.codec import decode
+from sheaf.session import few
 
 
 def zadd(current: DataFrame | None, writes: DataFrame, order: str = "seq") -> DataFrame:
@@ -55,10 +56,13 @@ def search(members: DataFrame, job_ids: DataFrame, value: str = "member") -> Dat
     """For each asked job id the first member, in rank order, that decodes to it; else null.
 
     Members (binary task messages with a score) are decoded once for all ids; undecodable
-    ones are skipped. Both sides are one row per job before they meet.
+    ones are skipped. A short list of ids is broadcast, so only its members are shuffled.
     """
+    asked = job_ids.select("job_id").distinct()
     read = decode(members.select(value, "score"), value).filter(~F.col("cancel") & F.col("error").isNull())
+    wanted = few(asked)
+    if wanted is not asked:
+        read = read.join(wanted, "job_id", "left_semi")
     first = read.groupBy("job_id").agg(
         F.min_by(F.struct("url", "method", "headers", "params", "body", "score"), F.struct("score", value)).alias("hit"))
-    asked = job_ids.select("job_id").distinct()
     return asked.join(first, "job_id", "left").select("job_id", F.col("hit").isNotNull().alias("found"), "hit.*")

@@ -7,6 +7,7 @@ from sheaf.operators import changes, objects
 from sheaf.operators.codec import encode_tasks
 from sheaf.operators.extract import extract_records
 from sheaf.operators.html import parse_html
+from sheaf.operators.requests import latest_captures
 from sheaf.plans import collect, results
 from sheaf.plans.check import check
 from sheaf.plans.checks_html import NAV_LINKS, inner, plain
@@ -179,7 +180,7 @@ def collect_stream(fx: Inputs) -> DataFrame:
     """The continuous run over a file log, run to the log's end."""
     spark, path = fx.spark, scratch(fx.spark, "collect")
     logs.produce(task_log(fx), f"{path}/log")
-    collect.latest_captures(fx.table("pages")).write.parquet(f"{path}/captures")
+    latest_captures(fx.table("pages")).write.parquet(f"{path}/captures")
     run_stream(spark, f"{path}/log", spark.read.parquet(f"{path}/captures"), f"{path}/out", "30 days", available_now=True)
     made = settled_results(spark.read.parquet(f"{path}/out/records"), logs.read_log(spark, f"{path}/log"))
     return made.select("job_id", "scrape_type", "url", "object_key", *collect.PAGE_RECORD)

@@ -12,10 +12,10 @@ from sheaf.operators.extract import Field, extract_records
 from sheaf.operators.groups import live_tasks, profile
 from sheaf.operators.html import parse_html
 from sheaf.operators.objects import object_keys
-from sheaf.operators.requests import build_requests
+from sheaf.operators.requests import build_requests, latest_captures
 from sheaf.plans.results import completions
 from sheaf.schema import TOPICS
-from sheaf.session import few, settled
+from sheaf.session import settled
 
 PAGE_RECORD = {
     "title": Field("title"),
@@ -61,17 +61,6 @@ def with_requests(tasks: DataFrame) -> DataFrame:
     return build_requests(typed.withColumn("method", method))
 
 
-def latest_captures(captures: DataFrame, urls: DataFrame | None = None) -> DataFrame:
-    """The latest capture per URL; with ``urls`` only of those.
-
-    A short list of URLs is broadcast, so pages nobody asked for are dropped at the scan.
-    """
-    if urls is not None:
-        captures = captures.join(few(urls.select("url").distinct()), "url", "left_semi")
-    return captures.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), "page_id").alias("_c")).select(
-        "url", "_c.page_id", "_c.html")
-
-
 def run_batch(log: DataFrame, captures: DataFrame, name: str = "scrape-all",
               spec: dict[str, Field] = PAGE_RECORD) -> Collected:
     """Reads, decodes, deduplicates, resolves, parses and announces a batch of tasks.

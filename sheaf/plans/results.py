@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.schema import NOT_READY
-from sheaf.session import few
+from sheaf.session import few, few_rows, settled
 
 
 def results_by_kind(raw: DataFrame, structured: DataFrame) -> DataFrame:
@@ -35,10 +35,8 @@ def poll(job_ids: DataFrame, completions: DataFrame, objects: DataFrame) -> Data
     asked id) to the objects, so neither table is shuffled for it.
     """
     asked = job_ids.select("job_id").distinct()
-    small = few(asked)
-    hits = completions.select("job_id", "object_key").join(small, "job_id")
-    marked = F.broadcast(hits) if small is not asked else hits
-    found = objects.select("object_key", "content").join(marked, "object_key", "right")
-    return asked.join(found, "job_id", "left").select(
+    hits = settled(completions.select("job_id", "object_key").join(few(asked), "job_id"))
+    found = objects.select("object_key", "content").join(few_rows(hits), "object_key").select("job_id", "content")
+    return asked.join(hits, "job_id", "left").join(found, "job_id", "left").select(
         "job_id", F.col("object_key").isNotNull().alias("available"),
         F.when(F.col("object_key").isNull(), NOT_READY).alias("message"), "object_key", "content")

@@ -69,6 +69,17 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if plan_bytes(df) <= BROADCAST_BYTES else df
 
 
+FEW_ROWS = 200_000
+
+
+def few_rows(df: DataFrame) -> DataFrame:
+    """Marked for broadcast when it has few rows, by counting up to a bound.
+
+    For narrow rows that are cheap to go through twice, such as settled or aggregated ids.
+    """
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores ahead of costly per-row work, when the input is small.
 

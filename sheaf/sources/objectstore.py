@@ -1,11 +1,12 @@
 """The object store: Parquet by prefix and day, one row per object."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from sheaf.operators.objects import upsert_objects
 from sheaf.schema import OBJECT
+from sheaf.session import few_rows, settled
 
 STORED = StructType([*OBJECT.fields, StructField("prefix", StringType()), StructField("day", StringType())])
 NO_PART = "-"
@@ -33,32 +34,58 @@ def read_objects(spark: SparkSession, path: str) -> DataFrame:
 def put_objects(spark: SparkSession, path: str, writes: DataFrame) -> None:
     """Stores (object_key, content, content_type, seq), replacing objects of the same key.
 
-    Only the folders that get a write are read and rewritten.
+    Only the folders that get a write are read and rewritten. Where the new keys are few, the
+    objects that stay go straight from their old files to their new ones, without a shuffle.
     """
     ensure_table(spark, path, STORED, by=("prefix", "day"))
-    new = placed(writes)
-    folders = new.select("prefix", "day").distinct()
-    current = read_objects(spark, path).join(folders, ["prefix", "day"], "left_semi")
-    _rewrite(placed(upsert_objects(current, new)), path)
+    new = placed(upsert_objects(None, writes)).select(*STORED.fieldNames())
+    keys = settled(writes.select("object_key").distinct())
+    current = _touched(spark, path, keys)
+    small = few_rows(keys)
+    kept = current.join(small, "object_key", "left_anti").select(*STORED.fieldNames())
+    if small is keys:
+        _rewrite(_by_folder(kept.unionByName(new)), path)
+    else:
+        _rewrite(kept.unionByName(_by_folder(new)), path)
 
 
 def remove_objects(spark: SparkSession, path: str, keys: DataFrame) -> None:
     """Deletes by key. A folder keeps a row for each deleted key with null content, so a folder
     that lost all objects is rewritten as well; readers see only rows with content."""
-    gone = placed(keys.select("object_key").distinct())
-    stored = read_objects(spark, path).join(gone.select("prefix", "day").distinct(), ["prefix", "day"], "left_semi")
-    marked = stored.join(gone.select("object_key", F.lit(True).alias("_gone")), "object_key", "left")
-    content: Column = F.when(F.col("_gone").isNull(), F.col("content"))
-    _rewrite(marked.withColumn("content", content).drop("_gone").select(*STORED.fieldNames()), path)
+    gone = settled(keys.select("object_key").distinct())
+    small = few_rows(gone)
+    marked = _touched(spark, path, gone).join(small.withColumn("_gone", F.lit(True)), "object_key", "left")
+    rows = marked.withColumn("content", F.when(F.col("_gone").isNull(), F.col("content"))).select(*STORED.fieldNames())
+    _rewrite(_by_folder(rows) if small is gone else rows, path)
 
 
 def live_objects(spark: SparkSession, path: str) -> DataFrame:
     return read_objects(spark, path).filter(F.col("content").isNotNull())
 
 
+MAX_LISTED = 10_000
+
+
+def _touched(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """Stored objects of the folders that hold any of the keys.
+
+    A list of up to 10,000 folders goes into the scan as partition filters; more are joined.
+    """
+    stored = read_objects(spark, path)
+    folders = settled(placed(keys).select("prefix", "day").distinct())
+    listed = folders.limit(MAX_LISTED + 1).collect()
+    if len(listed) <= MAX_LISTED:
+        stored = stored.filter(F.col("prefix").isin(sorted({f.prefix for f in listed}))
+                               & F.col("day").isin(sorted({f.day for f in listed})))
+    return stored.join(few_rows(folders), ["prefix", "day"], "left_semi")
+
+
+def _by_folder(rows: DataFrame) -> DataFrame:
+    return rows.hint("rebalance", "prefix", "day")
+
+
 def _rewrite(rows: DataFrame, path: str) -> None:
-    (rows.hint("rebalance", "prefix", "day").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("prefix", "day").parquet(path))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix", "day").parquet(path)
 
 
 def read_files(spark: SparkSession, path: str, with_content: bool = True) -> DataFrame:

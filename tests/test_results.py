@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheaf.operators import changes, objects
+from sheaf.operators.requests import latest_captures
 from sheaf.plans import collect, results
 from sheaf.plans.checks_results import task_log
 from sheaf.schema import OBJECT
@@ -135,7 +136,7 @@ def test_stream_equals_batch_and_a_second_run_adds_nothing(spark, fx):
     path = scratch(spark, "stream")
     whole = task_log(fx)
     half = whole.agg(F.expr("percentile_approx(offset, 0.5)")).first()[0]
-    collect.latest_captures(fx.table("pages")).write.parquet(f"{path}/captures")
+    latest_captures(fx.table("pages")).write.parquet(f"{path}/captures")
     pages = spark.read.parquet(f"{path}/captures")
 
     def run():
