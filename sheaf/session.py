@@ -61,21 +61,14 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
-BROADCAST_BYTES = 64 << 20
-
-
-def few(df: DataFrame) -> DataFrame:
-    """Marked for broadcast when its estimated size is small; otherwise left to a shuffle join."""
-    return F.broadcast(df) if plan_bytes(df) <= BROADCAST_BYTES else df
-
-
 FEW_ROWS = 200_000
 
 
 def few_rows(df: DataFrame) -> DataFrame:
-    """Marked for broadcast when it has few rows, by counting up to a bound.
+    """Marked for broadcast when it has few rows, by counting up to a bound; else left to a shuffle join.
 
     For narrow rows that are cheap to go through twice, such as settled or aggregated ids.
+    The optimizer's estimate would not do: behind joins it is far too high.
     """
     return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
 
