@@ -144,10 +144,6 @@ def join_delimited(df: DataFrame, keys: list[str], order: str, value: str = "val
         *keys, F.unhex(F.array_join(F.transform("_parts", lambda p: p["h"]), "")).alias("blob"))
 
 
-def text_value(value: Column) -> Column:
-    return utf8(value)
-
-
 def decode_values(df: DataFrame, fmt: str, col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(values, rejected) for ``fmt`` text or json: adds ``text``, or ``doc`` (a variant)."""
     text = utf8(F.col(col).cast("binary"))

@@ -6,6 +6,7 @@ records) is then a plain expression on the row and needs no shuffle. Searches th
 nodes to each other explode only the nodes they name and work per page.
 """
 
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from html.entities import html5
@@ -30,6 +31,7 @@ class _Walk(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=False)
         self.rows, self.open, self.run = [], [], []
+        self.opened = Counter()
         self.shown, self.raw = bytearray(), bytearray()
 
     def add(self, tag, attrs, start, end):
@@ -54,6 +56,7 @@ class _Walk(HTMLParser):
         for i in self.open[depth:]:
             self.rows[i][1] = len(self.rows) - 1
             self.rows[i][5] = len(self.shown)
+            self.opened[self.rows[i][2]] -= 1
         del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
@@ -62,6 +65,7 @@ class _Walk(HTMLParser):
         i = self.add(tag, tuple(given.items()), len(self.shown), len(self.shown))
         if tag not in VOID_ELEMENTS:
             self.open.append(i)
+            self.opened[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -70,10 +74,11 @@ class _Walk(HTMLParser):
 
     def handle_endtag(self, tag):
         self.flush()
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[depth]][2] == tag:
-                self.close_to(depth)
-                return
+        if self.opened[tag]:
+            depth = len(self.open) - 1
+            while self.rows[self.open[depth]][2] != tag:
+                depth -= 1
+            self.close_to(depth)
 
     def handle_data(self, data):
         self.run.append(data)

@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from sheaf.operators import attempts, requests
 from sheaf.schema import TASK
+from sheaf.session import scratch
+from sheaf.streaming.attempts import resolve_stream
 
 
 def tasks(spark, *rows):
@@ -66,3 +68,22 @@ def test_on_error(spark):
     assert [r.result for r in requests.on_error(df, "result", "error", "null").collect()] == ["x", None]
     with pytest.raises(Exception, match="boom"):
         requests.on_error(df, "result", "error", "raise").collect()
+
+
+def test_streamed_outcomes_equal_the_batch(spark):
+    rows = [("a", 1, 503, 0), ("a", 2, 200, 4), ("b", 1, None, 0), ("b", 2, 404, 12), ("b", 3, 503, 24), ("b", 4, 200, 30),
+            ("c", 1, 503, 3), ("d", 1, 200, 9)]
+    df = spark.createDataFrame(rows, "job string, attempt int, status int, at int").withColumn(
+        "at", F.timestamp_seconds(F.col("at") + 1704067200))
+    late = df.filter("job = 'd'").withColumn("job", F.lit("later")).withColumn("at", F.col("at") + F.expr("interval 1 day"))
+    path = scratch(spark, "attempts")
+    df.repartition(2).write.parquet(f"{path}/log")
+    late.write.mode("append").parquet(f"{path}/log")
+    read = spark.readStream.schema(df.schema).parquet(f"{path}/log")
+    made = resolve_stream(attempts.classify(read), "job", "attempt", "at", "1 minute", "1 minute")
+    made.writeStream.format("parquet").option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start(
+        f"{path}/out").awaitTermination()
+    cols = ["job", "state", "outcome", "status"]
+    batch = attempts.resolve_attempts(attempts.classify(df), "job", "attempt").select(*cols)
+    got = spark.read.parquet(f"{path}/out").select(*cols)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, batch.collect()), key=str)
