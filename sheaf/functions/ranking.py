@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheaf.session import few_rows, settled
+from sheaf.session import few_rows, settled, settled_ids
 
 
 def group_limit(spark: SparkSession) -> int:
@@ -29,7 +29,7 @@ def first_rows(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     The rows are picked by these two columns alone and then fetched, so that payloads are
     neither sorted nor shuffled to find a few of them.
     """
-    return fetched(df, settled(first_n(df.select(key, order), [key], [F.col(order)], n)), [key, order])
+    return fetched(df, settled_ids(first_n(df.select(key, order), [key], [F.col(order)], n)), [key, order])
 
 
 def fetched(df: DataFrame, picked: DataFrame, on: list[str]) -> DataFrame:

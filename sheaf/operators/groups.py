@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sheaf.functions.ranking import fetched, first_n, first_rows
 from sheaf.functions.skew import lookup
 from sheaf.schema import PROFILES, RECLAIM_COUNT, TOPICS
-from sheaf.session import settled
+from sheaf.session import settled_ids
 
 
 def start_at(log: DataFrame, position: str | int | dict[str, int] = "earliest",
@@ -92,7 +92,7 @@ def read_group(log: DataFrame, deliveries: DataFrame, group: str, count: int) ->
     ids = ["channel", "msg_id"]
     got = deliveries.filter(F.col("grp") == group).select(*ids)
     open_ids = log.select(*ids).join(got, ids, "left_anti")
-    return fetched(log, settled(first_n(open_ids, ["channel"], [F.col("msg_id")], count)), ids)
+    return fetched(log, settled_ids(first_n(open_ids, ["channel"], [F.col("msg_id")], count)), ids)
 
 
 def pending(deliveries: DataFrame, acks: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def reclaim(pending: DataFrame, log: DataFrame, consumer: str, now: Column,
     """
     idle = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("delivered_at").cast("timestamp"))
     waiting = pending.filter(idle >= min_idle_seconds * 1_000_000)
-    claimed = settled(
+    claimed = settled_ids(
         first_n(waiting, ["grp", "channel"], [F.col("msg_id")], count).withColumn("consumer", F.lit(consumer)))
     ids = claimed.select("grp", "channel", "msg_id", "consumer")
     returned = fetched(log.filter(F.col("payload").isNotNull()), ids, ["channel", "msg_id"])

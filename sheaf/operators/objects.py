@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sheaf.functions.ids import dated_key
 from sheaf.functions.text import utf8_or_hex
 from sheaf.schema import PREVIEW_BYTES
-from sheaf.session import few_rows, settled
+from sheaf.session import few_rows, settled_ids
 
 
 def object_keys(df: DataFrame, ts: str, ident: str = "job_id", prefix: Column | str = "anon",
@@ -38,7 +38,7 @@ def get_objects(keys: DataFrame, objects: DataFrame) -> DataFrame:
 
     A short list of keys is broadcast to the object table, so its contents are not shuffled.
     """
-    asked = settled(keys.select("object_key").distinct())
+    asked = settled_ids(keys.select("object_key").distinct())
     found = objects.select("object_key", "content").join(few_rows(asked), "object_key")
     return asked.join(found, "object_key", "left").select(
         "object_key", F.coalesce("content", F.lit(b"")).alias("content"))

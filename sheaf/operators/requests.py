@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sheaf.functions.skew import lookup
 from sheaf.functions.urls import host, with_params
 from sheaf.schema import BODY_METHODS, MAX_ATTEMPTS, QUERY_METHODS, RETRY_WAIT_SECONDS, TIMEOUT_SECONDS
-from sheaf.session import few_rows, settled
+from sheaf.session import few_rows, settled_ids
 
 UNSUPPORTED = "Unsupported HTTP method."
 ATTEMPTS = (
@@ -95,7 +95,7 @@ def latest_captures(captures: DataFrame, urls: DataFrame | None = None) -> DataF
     A short list of URLs is broadcast, so pages nobody asked for are dropped at the scan.
     """
     if urls is not None:
-        captures = captures.join(few_rows(settled(urls.select("url").distinct())), "url", "left_semi")
+        captures = captures.join(few_rows(settled_ids(urls.select("url").distinct())), "url", "left_semi")
     return captures.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), "page_id").alias("_c")).select(
         "url", "_c.page_id", "_c.html")
 

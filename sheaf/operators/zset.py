@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.ranking import group_limit, ranked
 from sheaf.operators.codec import decode
-from sheaf.session import few_rows, settled
+from sheaf.session import few_rows, settled_ids
 
 
 def zadd(current: DataFrame | None, writes: DataFrame, order: str = "seq") -> DataFrame:
@@ -58,7 +58,7 @@ def search(members: DataFrame, job_ids: DataFrame, value: str = "member") -> Dat
     Members (binary task messages with a score) are decoded once for all ids; undecodable
     ones are skipped. A short list of ids is broadcast, so only its members are shuffled.
     """
-    asked = settled(job_ids.select("job_id").distinct())
+    asked = settled_ids(job_ids.select("job_id").distinct())
     read = decode(members.select(value, "score"), value).filter(~F.col("cancel") & F.col("error").isNull())
     wanted = few_rows(asked)
     if wanted is not asked:

@@ -82,9 +82,10 @@ def run_batch(log: DataFrame, captures: DataFrame, name: str = "scrape-all",
         "job_id", "scrape_type", "url", "outcome", F.when(done, F.col("object_key")).alias("object_key"),
         F.col("timestamp").alias("finished_at"), *[F.when(done, F.col(f)).alias(f) for f in spec])
     stored = outcomes.filter(done)
-    content = lookup(stored.select("job_id", "url", "object_key", "finished_at"), pages.select("url", "html"), "url", "job_id")
-    objects = content.select("object_key", F.col("html").cast("binary").alias("content"),
-                             F.lit("text/html").alias("content_type"),
-                             F.unix_micros("finished_at").alias("seq"))
+    asked = requests.filter(F.col("request_error").isNull()).select("job_id", "url", "timestamp")
+    content = lookup(asked, pages.select("url", "html"), "url", "job_id").filter(F.col("html").isNotNull())
+    objects = object_keys(content, "timestamp", filename="data.html").select(
+        "object_key", F.col("html").cast("binary").alias("content"), F.lit("text/html").alias("content_type"),
+        F.unix_micros("timestamp").alias("seq"))
     records = stored.select("job_id", "scrape_type", F.to_date("finished_at").alias("day"), "url", *spec)
     return Collected(outcomes, objects, records, completions(stored, "finished_at"))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.schema import NOT_READY
-from sheaf.session import few_rows, settled
+from sheaf.session import few_rows, settled_ids
 
 
 def results_by_kind(raw: DataFrame, structured: DataFrame) -> DataFrame:
@@ -34,8 +34,8 @@ def poll(job_ids: DataFrame, completions: DataFrame, objects: DataFrame) -> Data
     A short list of ids is broadcast to the completions, and the hits (at most one per
     asked id) to the objects, so neither table is shuffled for it.
     """
-    asked = settled(job_ids.select("job_id").distinct())
-    hits = settled(completions.select("job_id", "object_key").join(few_rows(asked), "job_id"))
+    asked = settled_ids(job_ids.select("job_id").distinct())
+    hits = settled_ids(completions.select("job_id", "object_key").join(few_rows(asked), "job_id"))
     found = objects.select("object_key", "content").join(few_rows(hits), "object_key").select("job_id", "content")
     return asked.join(hits, "job_id", "left").join(found, "job_id", "left").select(
         "job_id", F.col("object_key").isNotNull().alias("available"),

@@ -48,7 +48,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Computed once and kept in the shared folder, so later uses see the same rows."""
+    """The rows computed once, as a Parquet table in the shared folder.
+
+    Later uses see the same rows, read only the columns they need, and have a table of known
+    size to plan with. It outlives any executor.
+    """
+    path = scratch(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled_ids(df: DataFrame) -> DataFrame:
+    """The same for narrow rows such as ids, as a checkpoint, which is quicker to make."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 

@@ -6,7 +6,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from sheaf.operators.objects import upsert_objects
 from sheaf.schema import OBJECT
-from sheaf.session import few_rows, settled
+from sheaf.session import few_rows, settled_ids
 
 STORED = StructType([*OBJECT.fields, StructField("prefix", StringType()), StructField("day", StringType())])
 NO_PART = "-"
@@ -39,7 +39,7 @@ def put_objects(spark: SparkSession, path: str, writes: DataFrame) -> None:
     """
     ensure_table(spark, path, STORED, by=("prefix", "day"))
     new = placed(upsert_objects(None, writes)).select(*STORED.fieldNames())
-    keys = settled(writes.select("object_key").distinct())
+    keys = settled_ids(writes.select("object_key").distinct())
     current = _touched(spark, path, keys)
     small = few_rows(keys)
     kept = current.join(small, "object_key", "left_anti").select(*STORED.fieldNames())
@@ -52,7 +52,7 @@ def put_objects(spark: SparkSession, path: str, writes: DataFrame) -> None:
 def remove_objects(spark: SparkSession, path: str, keys: DataFrame) -> None:
     """Deletes by key. A folder keeps a row for each deleted key with null content, so a folder
     that lost all objects is rewritten as well; readers see only rows with content."""
-    gone = settled(keys.select("object_key").distinct())
+    gone = settled_ids(keys.select("object_key").distinct())
     small = few_rows(gone)
     marked = _touched(spark, path, gone).join(small.withColumn("_gone", F.lit(True)), "object_key", "left")
     rows = marked.withColumn("content", F.when(F.col("_gone").isNull(), F.col("content"))).select(*STORED.fieldNames())
@@ -72,7 +72,7 @@ def _touched(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     A list of up to 10,000 folders goes into the scan as partition filters; more are joined.
     """
     stored = read_objects(spark, path)
-    folders = settled(placed(keys).select("prefix", "day").distinct())
+    folders = settled_ids(placed(keys).select("prefix", "day").distinct())
     listed = folders.limit(MAX_LISTED + 1).collect()
     if len(listed) <= MAX_LISTED:
         stored = stored.filter(F.col("prefix").isin(sorted({f.prefix for f in listed}))

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from sheaf.functions import selectors
 from sheaf.operators import extract, html
