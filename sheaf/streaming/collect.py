@@ -29,7 +29,9 @@ def dedup_stream(tasks: DataFrame, at: str, delay: str, key: str = "job_id") ->
 def raw_results(spark: SparkSession, log_path: str, pages: DataFrame, delay: str, name: str = "scrape-all") -> DataFrame:
     """Streaming raw results of a profile. ``pages`` is static, one row per URL.
 
-    Jobs with a tombstone already in the log are left out; see ``settled_results`` for later ones.
+    Cancels are not looked at here: a tombstone may come after its task was done. They count
+    when results are read, by ``settled_results``. Every micro-batch is joined to all of
+    ``pages``, so a large table of captures calls for long triggers.
     """
     topics = profile_channels(name)
     read = decode(read_log(spark, log_path, topics, stream=True).filter(F.col("value").isNotNull()))
