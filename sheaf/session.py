@@ -5,8 +5,9 @@ import sys
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Runtime SQL settings every job here wants; partition counts stay the cluster's own.
 RUNTIME = {
@@ -72,16 +73,41 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
-FEW_ROWS = 200_000
+RANGE_BYTES, UNKNOWN_BYTES = 128 << 20, 1 << 50
+
+
+def range_parts(df: DataFrame) -> int:
+    """Partitions for an explicit range or id partitioning, which AQE does not resize: by the plan's size.
+
+    Rows made by Python have no size that the optimizer knows, and get the session's number.
+    """
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
+    return max(least, size // RANGE_BYTES) if size < UNKNOWN_BYTES else least
+
+
+FEW_ROWS, FEW_BYTES = 200_000, 64 << 20
 
 
 def few_rows(df: DataFrame) -> DataFrame:
-    """Marked for broadcast when it has few rows, by counting up to a bound; else left to a shuffle join.
+    """Marked for broadcast when it has few rows and bytes, by measuring both; else left to a shuffle join.
 
     For narrow rows that are cheap to go through twice, such as settled or aggregated ids.
     The optimizer's estimate would not do: behind joins it is far too high.
     """
-    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= FEW_ROWS and size <= FEW_BYTES else df
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes."""
+    size = F.lit(8 * len(df.columns)).cast("long")
+    for field in df.schema.fields:
+        name, kind = f"`{field.name}`", field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size += F.coalesce(F.octet_length(name), F.lit(0))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            size += F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+    return size
 
 
 def spread(df: DataFrame) -> DataFrame:
