@@ -49,7 +49,8 @@ def test_odd_rows(llm, odd, none):
 
 def test_lines_go_first_and_documents_then(llm):
     good = "This is a line of prose that ends as it should, with a stop."
-    texts = [f"Home\n{good}\nAll rights reserved.\n{good[:-1]}s too.\nShort title", f"BUY!! NOW!! HERE!!\n| a | b |\nOK\n{good}", "A\nB\nC\n" * 5]
+    other = "Here stands another one, of other words, that goes on for longer than the first did."
+    texts = [f"Home\n{good}\nAll rights reserved.\n{other}\nShort title", f"BUY!! NOW!! HERE!!\n| a | b |\nOK\n{good}", "A\nB\nC\n" * 5]
     rows = {r["doc_id"]: r for r in lines.judged(llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert rows[0]["cleaned"] == f"{good}\n{good[:-1]}s too." and rows[0]["kept"]
+    assert rows[0]["cleaned"] == f"{good}\n{other}" and rows[0]["kept"]
     assert rows[1]["cleaned"] == good and not rows[2]["kept"]
