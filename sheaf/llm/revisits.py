@@ -82,7 +82,9 @@ def resolved(records: DataFrame) -> DataFrame:
     usable = F.col("key").isNotNull() & F.col("date").isNotNull() & F.col("record_id").isNotNull()
     pairs = latest_earlier(rows.filter(usable).select("key", "date", "full", "record_id")).distinct()
     stored = rows.filter("full").groupBy(F.col("record_id").alias("of")).agg(F.min(F.struct("digest", "n_bytes", "headers")).alias("stored"))
-    revisits = rows.filter("revisit").join(pairs, ["record_id", "key", "date"], "left").join(stored, "of", "left")
+    revisits = rows.filter("revisit").join(pairs, ["record_id", "key", "date"], "left")
+    # A revisit without an earlier response has a key of its own, as nulls would all meet in one task.
+    revisits = revisits.withColumn("of", F.coalesce("of", F.concat(F.lit("\0"), "record_id"))).join(stored, "of", "left")
     old = F.col("stored.headers")
     strong = lambda e: F.regexp_replace(header(e, "etag"), "^W/", "")
     own = [strong(F.col("headers")), header(F.col("headers"), "last-modified"), F.col("digest")]
