@@ -40,13 +40,13 @@ _CSS_PART = re.compile(
 
 def css(selector: str) -> list[Step]:
     steps, tag, tests, child, at = [], None, [], False, 0
-    text = selector.strip()
+    text, given = selector.strip(), False
     while at < len(text):
         m = _CSS_PART.match(text, at)
-        if not m:
+        if not m or (m["gt"] or m["space"]) and not given:
             raise ValueError(f"unsupported selector: {selector!r}")
-        at = m.end()
-        if m["gt"] or m["space"]:
+        at, given = m.end(), not (m["gt"] or m["space"])
+        if not given:
             steps.append(Step(tag, tuple(tests), child))
             tag, tests, child = None, [], bool(m["gt"])
         elif m["tag"]:
@@ -57,6 +57,8 @@ def css(selector: str) -> list[Step]:
             tests.append(("class", "word", m["cls"]))
         else:
             tests.append((m["attr"].lower(), "has" if m["val"] is None else "is", m["val"]))
+    if not given:
+        raise ValueError(f"unsupported selector: {selector!r}")
     return [*steps, Step(tag, tuple(tests), child)]
 
 

@@ -19,6 +19,12 @@ def following_id(base: DataFrame) -> int:
     return base.agg(F.coalesce(F.max("id") + 1, F.lit(0)).cast("long")).first()[0]
 
 
+def id_after(next_id: int, changes: DataFrame) -> int:
+    """The next id once ``changes`` are applied (one number). Carried to the next run, it keeps ids of deleted rows from
+    being given again."""
+    return next_id + changes.filter(F.col("op") == "POST").count()
+
+
 def create_items(posts: DataFrame, next_id: int) -> DataFrame:
     """New rows with sequential ids; a null description becomes ``''``."""
     made = assign_ids(posts, next_id, "op")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.functions import wire
+from sheaf.functions.ranking import ranked
 from sheaf.functions.text import utf8
 from sheaf.schema import TASK, TASK_FIELD_NUMBERS
 
@@ -133,12 +134,17 @@ def split_delimited(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     return rows, read.filter(F.col("_messages").isNull()).drop("_messages")
 
 
-def join_delimited(df: DataFrame, keys: list[str], order: str, value: str = "value") -> DataFrame:
+def join_delimited(df: DataFrame, keys: list[str], order: str, value: str = "value", most: int | None = None) -> DataFrame:
     """One blob per key: each message behind its length, in order.
 
-    A blob is one cell, so the keys must name a bounded batch (a log partition and batch
+    With ``most`` a key's messages are cut into blobs of up to so many, numbered by the added column ``blob_no``.
+
+    Without it a blob is one cell whatever its size, so the keys must name a bounded batch (a log partition and batch
     number), not an open-ended group such as a topic.
     """
+    if most is not None:
+        numbered = ranked(df, keys, [F.col(order)], "_rank").withColumn("blob_no", F.floor(F.col("_rank") / most))
+        return join_delimited(numbered, [*keys, "blob_no"], order, value)
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), wire.sized_hex(value).alias("h"))))
     return df.groupBy(*keys).agg(parts.alias("_parts")).select(
         *keys, F.unhex(F.array_join(F.transform("_parts", lambda p: p["h"]), "")).alias("blob"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from sheaf.functions import selectors
-from sheaf.operators.html import first_match, matching, text_of
+from sheaf.operators.html import count_matches, first_match, text_of
 
 
 @dataclass(frozen=True)
@@ -25,9 +25,7 @@ class Field:
 def _column(field: Field) -> Column:
     steps = selectors.css(field.selector)
     if field.count:
-        if len(steps) > 1:
-            raise ValueError("count takes a one-step selector")
-        return F.size(matching(steps[0])).cast(field.type if field.type != "string" else "long")
+        return count_matches(steps).cast(field.type if field.type != "string" else "long")
 
     def value(node: Column) -> Column:
         return F.try_element_at(node["attrs"], F.lit(field.attr)) if field.attr else text_of(node)

@@ -4,9 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.ranking import fetched, first_n, first_rows
-from sheaf.functions.skew import lookup
 from sheaf.schema import PROFILES, RECLAIM_COUNT, TOPICS
-from sheaf.session import settled_ids
+from sheaf.session import few_rows, settled_ids
 
 
 def start_at(log: DataFrame, position: str | int | dict[str, int] = "earliest",
@@ -17,7 +16,7 @@ def start_at(log: DataFrame, position: str | int | dict[str, int] = "earliest",
         return log
     if position == "latest":
         after = groups.groupBy("channel").agg(F.max("position").alias("_position"))
-        placed = lookup(log, after, "channel", spread_by=order)
+        placed = log.join(few_rows(after), "channel", "left")  # a position per channel: the log stays where it is
         return placed.filter(F.col(order) > F.coalesce("_position", F.lit(-1))).drop("_position")
     if isinstance(position, int):
         return log.filter(F.col(order) > position)
@@ -84,6 +83,12 @@ def dequeue(df: DataFrame, n: int, queue: str = "queue", order: str = "seq") ->
     return first_rows(df, queue, order, n)
 
 
+def take(df: DataFrame, n: int, queue: str = "queue", order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(taken, remaining): the ``n`` oldest items of each queue, and all others."""
+    ids = settled_ids(first_n(df.select(queue, order), [queue], [F.col(order)], n))
+    return fetched(df, ids, [queue, order]), df.join(few_rows(ids), [queue, order], "left_anti")
+
+
 def read_group(log: DataFrame, deliveries: DataFrame, group: str, count: int) -> DataFrame:
     """The next ``count`` entries per channel that the group never got.
 

@@ -23,6 +23,7 @@ from sheaf.session import spread
 
 RAW_TEXT_IN = ("script", "style")
 BLOCK = 256
+ASCII_SPACE = " \t\n\r\f\v"
 
 
 class _Walk(HTMLParser):
@@ -44,7 +45,7 @@ class _Walk(HTMLParser):
         if not text:
             return
         inside = {self.rows[i][2] for i in self.open[-1:]}
-        if not text.strip() and not inside & {"pre", "textarea"}:
+        if not text.strip(ASCII_SPACE) and not self.opened["pre"] and not self.opened["textarea"]:
             text = "\n" if "\n" in text else " "
         hidden = bool(inside & set(RAW_TEXT_IN))
         buffer = self.raw if hidden else self.shown
@@ -197,13 +198,22 @@ def first_match(steps: list[Step]) -> Column:
     """
     if len(steps) == 1:
         return F.try_element_at(matching(steps[0]), F.lit(1))
+    return _pass(steps, "hit")
+
+
+def count_matches(steps: list[Step]) -> Column:
+    """The number of matches of a chain of steps in the row's own page, in the same one pass."""
+    return F.size(matching(steps[0])).cast("long") if len(steps) == 1 else _pass(steps, "n")
+
+
+def _pass(steps: list[Step], wanted: str) -> Column:
     feeding = range(len(steps) - 1)
     opened = [i for i in feeding if steps[i + 1].child]
     no_nodes = F.array().cast("array<struct<id:int,last:int>>")
     zero = F.struct(
         *[F.lit(-1).alias(f"reach{i}") for i in feeding],
         *[no_nodes.alias(f"open{i}") for i in opened],
-        F.lit(None).cast(NODE).alias("hit"))
+        F.lit(None).cast(NODE).alias("hit"), F.lit(0).cast("long").alias("n"))
 
     def visit(acc: Column, n: Column) -> Column:
         on = [steps[0].matches(n)]
@@ -218,10 +228,11 @@ def first_match(steps: list[Step]) -> Column:
             kept = F.filter(acc[f"open{i}"], lambda x: x["last"] >= n["node_id"])
             me = F.struct(n["node_id"].alias("id"), n["last_id"].alias("last"))
             still.append(F.when(on[i], F.array_append(kept, me)).otherwise(kept).alias(f"open{i}"))
-        moved = F.struct(*reach, *still, F.when(on[-1], n).alias("hit"))
-        return F.when(acc["hit"].isNotNull(), acc).otherwise(moved)
+        hit = acc["hit"] if wanted == "n" else F.when(on[-1], n)
+        moved = F.struct(*reach, *still, hit.alias("hit"), (acc["n"] + F.when(on[-1], 1).otherwise(0)).alias("n"))
+        return moved if wanted == "n" else F.when(acc["hit"].isNotNull(), acc).otherwise(moved)
 
-    return F.aggregate(F.filter("tree.nodes", lambda n: _any(steps, n)), zero, visit, lambda acc: acc["hit"])
+    return F.aggregate(F.filter("tree.nodes", lambda n: _any(steps, n)), zero, visit, lambda acc: acc[wanted])
 
 
 def _any(steps: list[Step], n: Column) -> Column:

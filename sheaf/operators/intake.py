@@ -37,6 +37,11 @@ def _is_absent(value: Column) -> Column:
     return value.isNull() | F.is_variant_null(value)
 
 
+def _is_falsy(value: Column) -> Column:
+    """Unset, or a value that loose JSON counts as unset: null, false, zero and empty text."""
+    return _is_absent(value) | F.to_json(value).isin("false", "0", "0.0", '""')
+
+
 def parse_requests(df: DataFrame, col: str) -> DataFrame:
     """JSON text to the request's columns; unknown fields are left out.
 
@@ -101,18 +106,18 @@ def validate_requests(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def verify_tasks(df: DataFrame, col: str) -> DataFrame:
-    """``reason`` for JSON task messages (all fields optional), null when well formed."""
+    """``reason`` for JSON task messages (all fields optional, and a JSON null is an unset one), null when well formed."""
     d = F.col("doc")
     reason = F.when(d.isNull() | ~_is_object(d), REASONS["object"])
     for field in ("jobId", "url", "method"):
         v = _typed(d, f"$.{field}", "variant")
-        reason = reason.when(v.isNotNull() & ~_is_string(v), REASONS[field])
+        reason = reason.when(~_is_absent(v) & ~_is_string(v), REASONS[field])
     for field in ("headers", "params"):
         v = _typed(d, f"$.{field}", "variant")
-        reason = reason.when(v.isNotNull() & ~_is_object(v), REASONS[field])
-        reason = reason.when(v.isNotNull() & ~_is_string_map(d, f"$.{field}"), REASONS[f"{field}_values"])
+        reason = reason.when(~_is_absent(v) & ~_is_object(v), REASONS[field])
+        reason = reason.when(~_is_absent(v) & ~_is_string_map(d, f"$.{field}"), REASONS[f"{field}_values"])
     v = _typed(d, "$.body", "variant")
-    reason = reason.when(v.isNotNull() & ~_is_string(v), REASONS["body"])
+    reason = reason.when(~_is_absent(v) & ~_is_string(v), REASONS["body"])
     return df.withColumn("doc", F.try_parse_json(col)).withColumn("reason", reason).drop("doc")
 
 
@@ -146,7 +151,7 @@ def to_payload(df: DataFrame) -> DataFrame:
 def coerce_tasks(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     """(tasks, rejected) from loose JSON: any scalar becomes text, missing text is ``''``.
 
-    headers and params must be objects where given; their values become text too.
+    headers and params must be objects where given (null, false, 0 and '' are not); their values become text too.
     """
     checked = coerced(df, col)
     return (
@@ -170,7 +175,7 @@ def coerced(df: DataFrame, col: str) -> DataFrame:
     reason = F.when(d.isNull() | ~_is_object(d), REASONS["object"])
     for name in ("headers", "params"):
         v = _typed(d, f"$.{name}", "variant")
-        reason = reason.when(~_is_absent(v) & ~_is_object(v), REASONS[name])
+        reason = reason.when(~_is_falsy(v) & ~_is_object(v), REASONS[name])
     return df.withColumn("doc", F.try_parse_json(col)).select(
         "*",
         text("jobId").alias("job_id"), text("url").alias("url"), text("method").alias("method"),

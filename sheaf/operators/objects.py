@@ -17,14 +17,17 @@ def object_keys(df: DataFrame, ts: str, ident: str = "job_id", prefix: Column |
 
 
 def upsert_objects(current: DataFrame | None, writes: DataFrame) -> DataFrame:
-    """One row per key, the write with the highest ``seq``; ``current`` counts as older than any."""
+    """One row per key, the write with the highest ``seq``; ``current`` is older than a write of the same ``seq``, and
+    where it has no ``seq`` older than any."""
     cols = ["content", "content_type", "length"]
-    rows = writes.withColumn("length", F.octet_length("content").cast("long")).select("object_key", *cols, "seq")
+    rows = writes.withColumn("length", F.octet_length("content").cast("long")).select(
+        "object_key", *cols, "seq", F.lit(True).alias("new"))
     if current is not None:
-        old = current.select("object_key", *cols, F.lit(-1).cast("long").alias("seq"))
+        seq = F.col("seq") if "seq" in current.columns else F.lit(-1).cast("long").alias("seq")
+        old = current.select("object_key", *cols, seq, F.lit(False).alias("new"))
         rows = rows.unionByName(old)
     return rows.groupBy("object_key").agg(
-        F.max_by(F.struct(*cols), "seq").alias("_o"), F.max("seq").alias("seq")
+        F.max_by(F.struct(*cols), F.struct("seq", "new")).alias("_o"), F.max("seq").alias("seq")
     ).select("object_key", "_o.*", "seq")
 
 

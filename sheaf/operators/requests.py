@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.skew import lookup
 from sheaf.functions.urls import host, with_params
+from sheaf.operators.attempts import OK, attempt_class
 from sheaf.schema import BODY_METHODS, MAX_ATTEMPTS, QUERY_METHODS, RETRY_WAIT_SECONDS, TIMEOUT_SECONDS
-from sheaf.session import few_rows, settled_ids
+from sheaf.session import few_rows, range_parts, settled_ids
 
+HELD_BYTES = 16 << 20
 UNSUPPORTED = "Unsupported HTTP method."
 ATTEMPTS = (
     "job_id string, attempt int, attempted_at timestamp, status int, error string, content binary"
@@ -50,40 +52,50 @@ def fetch(
     host does not fill one task, and sorted by host inside a partition for connection reuse.
     Failed rows of a batch wait together: attempt 2 starts ``wait`` seconds after attempt 1
     ended, whatever their number. Append the result to an attempts table and pass that table
-    back as ``attempts_so_far`` to skip finished jobs in a later run.
+    back as ``attempts_so_far``: a later run skips finished jobs, and goes on from the attempts that
+    the others have had. Rows leave a task in parts bounded by bytes.
     """
     todo = requests.filter(F.col("request_error").isNull())
     if attempts_so_far is not None:
-        done = attempts_so_far.groupBy("job_id").agg(
-            F.max(F.when(F.col("status").between(200, 399), 1).otherwise(0)).alias("ok"),
-            F.count("*").alias("n")).filter((F.col("ok") == 1) | (F.col("n") >= MAX_ATTEMPTS))
-        todo = todo.join(done.select("job_id"), "job_id", "left_anti")
-    n = partitions or todo.sparkSession.sparkContext.defaultParallelism
-    dealt = todo.select("job_id", "http_method", "request_url", "headers", "request_body",
+        before = attempts_so_far.groupBy("job_id").agg(
+            F.max(attempt_class(F.col("status")) == OK).alias("ok"), F.max("attempt").alias("made"))
+        todo = todo.drop("ok", "made").join(before, "job_id", "left").filter(
+            F.col("made").isNull() | ~F.col("ok") & (F.col("made") < MAX_ATTEMPTS))
+    else:
+        todo = todo.withColumn("made", F.lit(0))
+    n = partitions or max(todo.sparkSession.sparkContext.defaultParallelism, range_parts(requests))
+    dealt = todo.select("job_id", F.coalesce("made", F.lit(0)).cast("int").alias("made"), "http_method", "request_url", "headers", "request_body",
                         F.coalesce(host(F.col("url")), F.lit("")).alias("host")
                         ).repartition(n, "job_id").sortWithinPartitions("host")
 
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["job_id", "attempt", "attempted_at", "status", "error", "content"])
+        return out.astype({"status": "Int32"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         send = open_session()
         for batch in batches:
             left = batch.to_dict("records")
-            for attempt in range(1, MAX_ATTEMPTS + 1):
-                rows, failed = [], []
+            while left:
+                rows, failed, held = [], [], 0
                 for r in left:
                     status, error, content = None, None, None
                     try:
                         status, content = send(r, limit)
                     except Exception as e:  # whatever the caller's transport raises
                         error = type(e).__name__
-                    if status is None or status >= 400:
+                    r["made"] += 1
+                    if (status is None or 400 <= status <= 599) and r["made"] < MAX_ATTEMPTS:
                         failed.append(r)
-                    rows.append((r["job_id"], attempt, pd.Timestamp.now(tz="UTC"), status, error, content))
-                out = pd.DataFrame(rows, columns=["job_id", "attempt", "attempted_at", "status", "error", "content"])
-                yield out.astype({"status": "Int32"})
+                    rows.append((r["job_id"], r["made"], pd.Timestamp.now(tz="UTC"), status, error, content))
+                    held += len(content or b"")
+                    if held > HELD_BYTES:
+                        yield framed(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield framed(rows)
                 left = failed
-                if not left:
-                    break
-                if attempt < MAX_ATTEMPTS:
+                if left:
                     time.sleep(wait)
 
     return dealt.mapInPandas(run, ATTEMPTS)
@@ -92,12 +104,14 @@ def fetch(
 def latest_captures(captures: DataFrame, urls: DataFrame | None = None) -> DataFrame:
     """The latest capture per URL; with ``urls`` only of those.
 
-    A short list of URLs is broadcast, so pages nobody asked for are dropped at the scan.
+    The latest id per URL is found from these two columns alone, and the few asked ids are broadcast to
+    the captures, so contents are read once and neither sorted nor shuffled. Page ids are unique.
     """
+    everything = captures
     if urls is not None:
         captures = captures.join(few_rows(settled_ids(urls.select("url").distinct())), "url", "left_semi")
-    return captures.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), "page_id").alias("_c")).select(
-        "url", "_c.page_id", "_c.html")
+    latest = settled_ids(captures.groupBy("url").agg(F.max("page_id").alias("page_id")))
+    return everything.select("url", "page_id", "html").join(few_rows(latest), ["url", "page_id"])
 
 
 def fetch_captured(tasks: DataFrame, captures: DataFrame) -> DataFrame:

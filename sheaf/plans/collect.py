@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.skew import lookup
+from sheaf.functions.skew import CHECK_ABOVE_BYTES, lookup
 from sheaf.operators.attempts import OK, TRANSPORT_ERROR
 from sheaf.operators.codec import decode
 from sheaf.operators.extract import Field, extract_records
@@ -17,6 +17,8 @@ from sheaf.plans.results import completions
 from sheaf.schema import TOPICS
 from sheaf.session import settled
 
+#: How much wider a page is than the row that asks for it, at the least.
+WIDER = 256
 PAGE_RECORD = {
     "title": Field("title"),
     "heading": Field("h1"),
@@ -34,6 +36,7 @@ class Collected:
     objects: DataFrame
     records: DataFrame
     completions: DataFrame
+    rejected: DataFrame
 
 
 def type_of(topic: Column) -> Column:
@@ -43,14 +46,21 @@ def type_of(topic: Column) -> Column:
     return out
 
 
+def log_order() -> Column:
+    """When an entry came. Offsets count within a partition only, so entries are ordered by time first."""
+    return F.struct("timestamp", "topic", "partition", "offset")
+
+
 def tasks_of(log: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """(tasks, rejected) of a profile: decoded, first copy per job, cancelled ones left out."""
     read = decode(profile(log, name, "topic"))
     rejected = read.filter(F.col("error").isNotNull())
     entries = read.filter(F.col("error").isNull()).withColumn(
         "job_id", F.when(F.col("cancel"), F.col("key").cast("string")).otherwise(F.col("job_id"))
-    ).select("job_id", "topic", "offset", "timestamp", "url", "method", "headers", "params", "body", "cancel")
-    return live_tasks(entries, F.col("cancel"), "offset").drop("cancel"), rejected.select("topic", "offset", "error")
+    ).withColumn("_at", log_order()).select(
+        "job_id", "topic", "offset", "timestamp", "url", "method", "headers", "params", "body", "cancel", "_at")
+    return (live_tasks(entries, F.col("cancel"), "_at").drop("cancel", "_at"),
+            rejected.select("topic", "partition", "offset", "timestamp", "key", "value", "error"))
 
 
 def with_requests(tasks: DataFrame) -> DataFrame:
@@ -62,14 +72,19 @@ def with_requests(tasks: DataFrame) -> DataFrame:
 
 
 def run_batch(log: DataFrame, captures: DataFrame, name: str = "scrape-all",
-              spec: dict[str, Field] = PAGE_RECORD) -> Collected:
+              spec: dict[str, Field] = PAGE_RECORD, finished: DataFrame | None = None) -> Collected:
     """Reads, decodes, deduplicates, resolves, parses and announces a batch of tasks.
 
+    Every entry ends in one place: a job's outcome, ``rejected`` (undecodable bytes), a cancel or a copy. Jobs
+    of ``finished`` (job_id), such as the ``ok`` ones of earlier runs, are left out.
+
     Each page is parsed once, however many tasks ask for it, and the records (not the pages)
     are then brought to the tasks. Tasks and records are kept in the shared folder: several
     outputs use them, and neither the log nor the pages should be gone through again for each.
     """
-    tasks, _ = tasks_of(log, name)
+    tasks, rejected = tasks_of(log, name)
+    if finished is not None:
+        tasks = tasks.join(finished.select("job_id").distinct(), "job_id", "left_anti")
     requests = settled(with_requests(tasks))
     pages = latest_captures(captures, requests)
     per_page = settled(extract_records(parse_html(pages, keep=("url",)), spec, keep=("url",)))
@@ -83,9 +98,19 @@ def run_batch(log: DataFrame, captures: DataFrame, name: str = "scrape-all",
         F.col("timestamp").alias("finished_at"), *[F.when(done, F.col(f)).alias(f) for f in spec])
     stored = outcomes.filter(done)
     asked = requests.filter(F.col("request_error").isNull()).select("job_id", "url", "timestamp")
-    content = lookup(asked, pages.select("url", "html"), "url", "job_id").filter(F.col("html").isNotNull())
+    content = lookup(
+        asked, pages.select("url", "html"), "url", "job_id", check_above=CHECK_ABOVE_BYTES // WIDER).filter(F.col("html").isNotNull())
     objects = object_keys(content, "timestamp", filename="data.html").select(
         "object_key", F.col("html").cast("binary").alias("content"), F.lit("text/html").alias("content_type"),
         F.unix_micros("timestamp").alias("seq"))
     records = stored.select("job_id", "scrape_type", F.to_date("finished_at").alias("day"), "url", *spec)
-    return Collected(outcomes, objects, records, completions(stored, "finished_at"))
+    return Collected(outcomes, objects, records, completions(stored, "finished_at"), rejected)
+
+
+def catch_up(log: DataFrame, outcomes: DataFrame, captures: DataFrame, name: str = "scrape-all",
+             spec: dict[str, Field] = PAGE_RECORD) -> Collected:
+    """A batch over every live job of the log that has no ``ok`` among ``outcomes`` (job_id, outcome).
+
+    For jobs whose page was captured late, and for those a stream dropped as later than its watermark.
+    """
+    return run_batch(log, captures, name, spec, outcomes.filter(F.col("outcome") == OK))

@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.schema import NOT_READY
-from sheaf.session import few_rows, settled_ids
+from sheaf.session import few_rows, settled, settled_ids
+from sheaf.sources.objectstore import ensure_table, stored_of
 
 
 def results_by_kind(raw: DataFrame, structured: DataFrame) -> DataFrame:
@@ -15,17 +16,29 @@ def results_by_kind(raw: DataFrame, structured: DataFrame) -> DataFrame:
 
 
 def store_results(raw: DataFrame, structured: DataFrame, path: str) -> None:
-    """Appends both kinds to their tables, in folders by scrape type and day."""
+    """Puts both kinds into their tables, in folders by scrape type and day; a job stored again replaces its rows.
+
+    Only the folders that get rows are read and rewritten, so storing a run twice changes nothing.
+    """
+    by = ["scrape_type", "day"]
     for kind, rows in (("raw", raw), ("structured", structured)):
-        rows.hint("rebalance", "scrape_type", "day").write.mode("append").partitionBy(
-            "scrape_type", "day").parquet(f"{path}/{kind}")
+        spark, at, new = rows.sparkSession, f"{path}/{kind}", settled(rows)
+        ensure_table(spark, at, new.schema, by=tuple(by))
+        folders = few_rows(settled_ids(new.select(*by).distinct()))
+        old = spark.read.schema(new.schema).parquet(at).join(folders, by, "left_semi")
+        kept = old.join(few_rows(settled_ids(new.select("job_id").distinct())), "job_id", "left_anti").select(*new.columns)
+        kept.unionByName(new).hint("rebalance", *by).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(at)
 
 
-def completions(results: DataFrame, finished: str) -> DataFrame:
-    """One event per finished job: where its result is, scored by time; the last write counts."""
+def completions(results: DataFrame, finished: str, earlier: DataFrame | None = None) -> DataFrame:
+    """One event per finished job: where its result is, scored by time; the last write counts, also over the
+    ``earlier`` events (job_id, object_key, score)."""
     score = F.unix_timestamp(F.col(finished).cast("timestamp")).cast("double")
-    return results.groupBy("job_id").agg(
-        F.max_by("object_key", score).alias("object_key"), F.max(score).alias("score"))
+    events = results.select("job_id", "object_key", score.alias("score"))
+    if earlier is not None:
+        events = events.unionByName(earlier.select("job_id", "object_key", F.col("score").cast("double").alias("score")))
+    return events.groupBy("job_id").agg(F.max_by("object_key", "score").alias("object_key"), F.max("score").alias("score"))
 
 
 def poll(job_ids: DataFrame, completions: DataFrame, objects: DataFrame) -> DataFrame:
@@ -34,8 +47,22 @@ def poll(job_ids: DataFrame, completions: DataFrame, objects: DataFrame) -> Data
     A short list of ids is broadcast to the completions, and the hits (at most one per
     asked id) to the objects, so neither table is shuffled for it.
     """
+    asked, hits = _hits(job_ids, completions)
+    return _answer(asked, hits, objects)
+
+
+def poll_stored(job_ids: DataFrame, completions: DataFrame, path: str) -> DataFrame:
+    """``poll`` against the object store at ``path``: of it only the folders of the hits are read."""
+    asked, hits = _hits(job_ids, completions)
+    return _answer(asked, hits, stored_of(job_ids.sparkSession, path, hits))
+
+
+def _hits(job_ids: DataFrame, completions: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = settled_ids(job_ids.select("job_id").distinct())
-    hits = settled_ids(completions.select("job_id", "object_key").join(few_rows(asked), "job_id"))
+    return asked, settled_ids(completions.select("job_id", "object_key").join(few_rows(asked), "job_id"))
+
+
+def _answer(asked: DataFrame, hits: DataFrame, objects: DataFrame) -> DataFrame:
     found = objects.select("object_key", "content").join(few_rows(hits), "object_key").select("job_id", "content")
     return asked.join(hits, "job_id", "left").join(found, "job_id", "left").select(
         "job_id", F.col("object_key").isNotNull().alias("available"),

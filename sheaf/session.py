@@ -16,6 +16,7 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.variant.allowDuplicateKeys": "true",  # of a repeated JSON key the last value counts
 }
 
 SPREAD_BYTES_PER_CORE = 32 << 20
@@ -73,7 +74,7 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
-RANGE_BYTES, UNKNOWN_BYTES = 128 << 20, 1 << 50
+RANGE_BYTES, UNKNOWN_BYTES, MOST_PARTS = 128 << 20, 1 << 50, 50_000
 
 
 def range_parts(df: DataFrame) -> int:
@@ -82,7 +83,7 @@ def range_parts(df: DataFrame) -> int:
     Rows made by Python have no size that the optimizer knows, and get the session's number.
     """
     least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
-    return max(least, size // RANGE_BYTES) if size < UNKNOWN_BYTES else least
+    return max(least, min(size // RANGE_BYTES, MOST_PARTS)) if size < UNKNOWN_BYTES else least
 
 
 FEW_ROWS, FEW_BYTES = 200_000, 64 << 20

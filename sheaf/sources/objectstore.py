@@ -4,12 +4,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from sheaf.operators.objects import upsert_objects
+from sheaf.operators.objects import get_objects, list_objects, upsert_objects
 from sheaf.schema import OBJECT
 from sheaf.session import few_rows, settled_ids
 
 STORED = StructType([*OBJECT.fields, StructField("prefix", StringType()), StructField("day", StringType())])
 NO_PART = "-"
+BUCKETS = 256
 
 
 def ensure_table(spark: SparkSession, path: str, schema: StructType, strict: bool = False,
@@ -20,11 +21,13 @@ def ensure_table(spark: SparkSession, path: str, schema: StructType, strict: boo
 
 
 def placed(objects: DataFrame) -> DataFrame:
-    """Adds the folder columns. A key that is not dated (a bare job id) goes to folder ``-``."""
+    """Adds the folder columns. A key that is not dated (a bare job id) goes to one of 256 folders by its hash, so that
+    a put of some of them rewrites those folders alone."""
     key = F.col("object_key")
     day = F.regexp_extract(key, r"^[^/]+/(\d{4}/\d{2}/\d{2})/", 1)
     return objects.withColumn("prefix", F.when(day != "", F.substring_index(key, "/", 1)).otherwise(NO_PART)).withColumn(
-        "day", F.when(day != "", F.replace(day, F.lit("/"), F.lit("-"))).otherwise(NO_PART))
+        "day", F.when(day != "", F.replace(day, F.lit("/"), F.lit("-"))).otherwise(
+            F.concat(F.lit(NO_PART), F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("string"))))
 
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
@@ -32,16 +35,16 @@ def read_objects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def put_objects(spark: SparkSession, path: str, writes: DataFrame) -> None:
-    """Stores (object_key, content, content_type, seq), replacing objects of the same key.
+    """Stores (object_key, content, content_type, seq), replacing objects of the same key unless they have a higher seq.
 
     Only the folders that get a write are read and rewritten. Where the new keys are few, the
     objects that stay go straight from their old files to their new ones, without a shuffle.
     """
     ensure_table(spark, path, STORED, by=("prefix", "day"))
-    new = placed(upsert_objects(None, writes)).select(*STORED.fieldNames())
     keys = settled_ids(writes.select("object_key").distinct())
     current = _touched(spark, path, keys)
     small = few_rows(keys)
+    new = placed(upsert_objects(current.join(small, "object_key", "left_semi"), writes)).select(*STORED.fieldNames())
     kept = current.join(small, "object_key", "left_anti").select(*STORED.fieldNames())
     if small is keys:
         _rewrite(_by_folder(kept.unionByName(new)), path)
@@ -50,17 +53,36 @@ def put_objects(spark: SparkSession, path: str, writes: DataFrame) -> None:
 
 
 def remove_objects(spark: SparkSession, path: str, keys: DataFrame) -> None:
-    """Deletes by key. A folder keeps a row for each deleted key with null content, so a folder
-    that lost all objects is rewritten as well; readers see only rows with content."""
+    """Deletes by key. A folder keeps a row for each deleted key with null content and length, so a folder
+    that lost all objects is rewritten as well; readers see only rows with a length."""
     gone = settled_ids(keys.select("object_key").distinct())
     small = few_rows(gone)
     marked = _touched(spark, path, gone).join(small.withColumn("_gone", F.lit(True)), "object_key", "left")
-    rows = marked.withColumn("content", F.when(F.col("_gone").isNull(), F.col("content"))).select(*STORED.fieldNames())
+    stays = F.col("_gone").isNull()
+    rows = marked.withColumns({c: F.when(stays, F.col(c)) for c in ("content", "length")}).select(*STORED.fieldNames())
     _rewrite(_by_folder(rows) if small is gone else rows, path)
 
 
 def live_objects(spark: SparkSession, path: str) -> DataFrame:
-    return read_objects(spark, path).filter(F.col("content").isNotNull())
+    return read_objects(spark, path).filter(F.col("length").isNotNull())
+
+
+def list_stored(spark: SparkSession, path: str, prefix: str = "anon") -> DataFrame:
+    """Keys below a prefix: only its folders (and those of undated keys) are read, and no contents."""
+    first, dated, _ = prefix.partition("/")
+    folder = F.col("prefix") == first if dated else F.startswith(F.col("prefix"), F.lit(first))
+    return list_objects(live_objects(spark, path).filter(folder | (F.col("prefix") == NO_PART)), prefix)
+
+
+def get_stored(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """Content of each asked key, from the folders of these keys alone; a missing object gives empty bytes."""
+    asked = settled_ids(keys.select("object_key").distinct())
+    return get_objects(asked, stored_of(spark, path, asked))
+
+
+def stored_of(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """Stored objects in the folders that hold the keys."""
+    return _touched(spark, path, keys.select("object_key")).filter(F.col("length").isNotNull())
 
 
 MAX_LISTED = 10_000

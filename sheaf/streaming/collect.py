@@ -7,17 +7,17 @@ makes a repeated micro-batch harmless, and the second query reads the first one'
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.operators.attempts import OK
+from sheaf.operators.attempts import OK, TRANSPORT_ERROR
 from sheaf.operators.codec import decode
 from sheaf.operators.extract import Field, extract_records
 from sheaf.operators.groups import profile_channels
 from sheaf.operators.html import parse_html
 from sheaf.operators.objects import object_keys
-from sheaf.plans.collect import PAGE_RECORD, with_requests
+from sheaf.plans.collect import PAGE_RECORD, log_order, with_requests
 from sheaf.sources.log import read_log
 
-RAW = ("job_id string, topic string, offset long, timestamp timestamp, scrape_type string, url string, "
-       "object_key string, html string")
+RAW = ("job_id string, topic string, partition int, offset long, timestamp timestamp, scrape_type string, url string, "
+       "outcome string, object_key string, html string")
 
 
 def dedup_stream(tasks: DataFrame, at: str, delay: str, key: str = "job_id") -> DataFrame:
@@ -27,7 +27,10 @@ def dedup_stream(tasks: DataFrame, at: str, delay: str, key: str = "job_id") ->
 
 
 def raw_results(spark: SparkSession, log_path: str, pages: DataFrame, delay: str, name: str = "scrape-all") -> DataFrame:
-    """Streaming raw results of a profile. ``pages`` is static, one row per URL.
+    """Streaming raw results of a profile, one row per job with its outcome. ``pages`` is static, one row per URL.
+
+    A job with an unsupported method or without a captured page gets its outcome without a result; ``catch_up``
+    takes such jobs up again.
 
     Cancels are not looked at here: a tombstone may come after its task was done. They count
     when results are read, by ``settled_results``. Every micro-batch is joined to all of
@@ -36,15 +39,27 @@ def raw_results(spark: SparkSession, log_path: str, pages: DataFrame, delay: str
     topics = profile_channels(name)
     read = decode(read_log(spark, log_path, topics, stream=True).filter(F.col("value").isNotNull()))
     tasks = dedup_stream(read.filter(F.col("error").isNull()).drop("cancel", "error"), "timestamp", delay)
-    requests = with_requests(tasks).filter(F.col("request_error").isNull())
-    found = requests.join(pages.select("url", "html"), "url")
-    return object_keys(found, "timestamp", filename="data.html").select(
-        "job_id", "topic", "offset", "timestamp", "scrape_type", "url", "object_key", "html")
+    found = with_requests(tasks).join(pages.select("url", "html"), "url", "left")
+    outcome = (F.when(F.col("request_error").isNotNull(), F.col("request_error"))
+               .when(F.col("html").isNull(), TRANSPORT_ERROR).otherwise(OK))
+    keyed = object_keys(found.withColumn("outcome", outcome), "timestamp", filename="data.html")
+    done = F.col("outcome") == OK
+    return keyed.select(
+        "job_id", "topic", "partition", "offset", "timestamp", "scrape_type", "url", "outcome",
+        F.when(done, F.col("object_key")).alias("object_key"), F.when(done, F.col("html")).alias("html"))
+
+
+def rejected_entries(spark: SparkSession, log_path: str, name: str = "scrape-all") -> DataFrame:
+    """Streaming entries of a profile whose bytes are no task message."""
+    read = decode(read_log(spark, log_path, profile_channels(name), stream=True).filter(F.col("value").isNotNull()))
+    return read.filter(F.col("error").isNotNull()).select(
+        "topic", "partition", "offset", "timestamp", "key", "value", "error")
 
 
 def run_stream(spark: SparkSession, log_path: str, pages: DataFrame, out: str, delay: str,
                name: str = "scrape-all", spec: dict[str, Field] = PAGE_RECORD, available_now: bool = False) -> list:
-    """Starts both queries; with ``available_now`` they stop when the log has been read."""
+    """Starts the queries for raw results, records and rejected entries; with ``available_now`` they stop when
+    the log has been read."""
 
     def start(df: DataFrame, kind: str):
         writer = df.writeStream.format("parquet").option("checkpointLocation", f"{out}/_checkpoints/{kind}")
@@ -54,18 +69,20 @@ def run_stream(spark: SparkSession, log_path: str, pages: DataFrame, out: str, d
     first = start(raw_results(spark, log_path, pages, delay, name), "raw")
     if available_now:
         first.awaitTermination()
-    raw = spark.readStream.schema(RAW).parquet(f"{out}/raw")
-    keep = ("scrape_type", "url", "object_key", "topic", "offset", "timestamp")
+    raw = spark.readStream.schema(RAW).parquet(f"{out}/raw").filter(F.col("outcome") == OK)
+    keep = ("scrape_type", "url", "object_key", "topic", "partition", "offset", "timestamp", "outcome")
     records = extract_records(parse_html(raw, key="job_id", keep=keep), spec, keep=keep)
     second = start(records.withColumnRenamed("page_id", "job_id"), "records")
+    third = start(rejected_entries(spark, log_path, name), "rejected")
     if available_now:
         second.awaitTermination()
-    return [first, second]
+        third.awaitTermination()
+    return [first, second, third]
 
 
 def settled_results(records: DataFrame, log: DataFrame) -> DataFrame:
-    """Records of jobs that no later tombstone in the log cancels (read when results are asked for)."""
+    """Records, or outcomes, of jobs that no later tombstone in the log cancels (read when results are asked for)."""
     cancels = log.filter(F.col("value").isNull()).groupBy(F.col("key").cast("string").alias("job_id")).agg(
-        F.max("offset").alias("_cancelled"))
-    later = (F.col("r.job_id") == F.col("c.job_id")) & (F.col("c._cancelled") > F.col("r.offset"))
-    return records.alias("r").join(cancels.alias("c"), later, "left_anti").withColumn("outcome", F.lit(OK))
+        F.max(log_order()).alias("_cancelled"))
+    later = (F.col("r.job_id") == F.col("c.job_id")) & (F.col("c._cancelled") > F.col("r._at"))
+    return records.withColumn("_at", log_order()).alias("r").join(cancels.alias("c"), later, "left_anti").drop("_at")
