@@ -182,9 +182,8 @@ union all select 'POST', (select max(id) from fx_items) + row_number() over (ord
 def items_two_runs(fx: Inputs) -> DataFrame:
     """The highest id is deleted in one run, and not given again in the next."""
     base = fx.view("fx_items")
-    last = base.groupBy().agg(F.max("id").alias("id")).select(
-        F.lit(1).cast("long").alias("seq"), "id", F.lit("DELETE").alias("op"), F.lit("").alias("name"), F.lit("").alias("description"), F.lit(0.0).alias("price"))
     next_id = changes.following_id(base)
+    last = base.filter(F.col("id") == next_id - 1).select(F.lit(1).cast("long").alias("seq"), "id", F.lit("DELETE").alias("op"), "name", "description", "price")
     table, first = changes.apply_changes(base, last, next_id)
     posts = base.select(F.col("id").alias("seq"), "id", F.lit("POST").alias("op"), "name", "description", "price")
     _, second = changes.apply_changes(table, posts, changes.id_after(next_id, last))

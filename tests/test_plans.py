@@ -4,10 +4,12 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from sheaf.operators import extract, groups, html, objects, zset
+from sheaf.operators import extract, groups, html, objects, requests, zset
 from sheaf.plans import collect, results
 from sheaf.plans.catalog import QUERIES
-from sheaf.session import few_rows
+from sheaf.plans.checks_results import _store
+from sheaf.session import few_rows, row_bytes
+from sheaf.sources import objectstore
 
 
 @pytest.fixture(autouse=True)
@@ -73,9 +75,58 @@ def test_large_sides_are_not_broadcast(spark):
     assert "Broadcast" not in plan(spark.range(10).join(few_rows(spark.range(300_000)), "id"))
 
 
+WRITERS = (
+    "collect_stream", "collect_late", "collect_catch_up", "dedup_streamed", "put_objects", "removed_objects", "results", "results_twice",
+    "store_get", "store_list", "store_poll", "store_late_write")
+
+
+@pytest.fixture(scope="module")
+def store(spark, fx):
+    return _store(fx)
+
+
+def test_store_reads_only_the_folders_asked_for(spark, fx, store):
+    bare = fx.view("fx_objects").select(F.col("job_id").alias("object_key")).limit(2)
+    text = plan(objectstore.get_stored(spark, store, bare))
+    assert "PartitionFilters: [prefix" in text or "isnotnull(prefix" in text and "prefix#" in text.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_a_listing_reads_no_contents(spark, store):
+    text = plan(objectstore.list_stored(spark, store, "team/"))
+    assert "content:binary" not in text and "prefix" in text.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_an_undated_put_leaves_other_folders_alone(spark, store):
+    def files():
+        return {f"{r['prefix']}/{r['day']}/{r['f']}" for r in objectstore.read_objects(spark, store).select(
+            "prefix", "day", F.col("_metadata.file_name").alias("f")).distinct().collect()}
+
+    before = files()
+    objectstore.put_objects(spark, store, spark.createDataFrame([("new-job", bytearray(b"x"), "text/plain", 1)], "object_key string, content binary, content_type string, seq long"))
+    after = files()
+    assert len(before - after) <= 1 and 1 <= len(after - before) <= 2
+
+
+def test_captures_are_not_sorted_or_shuffled_with_their_contents(fx):
+    text = plan(requests.latest_captures(fx.table("pages"), fx.tasks()))
+    assert "max_by" not in text and not [line for line in text.split("\n") if "Exchange" in line and "html" in line]
+
+
+def test_counting_for_a_broadcast_moves_one_row_per_task(spark):
+    df = spark.range(1000)
+    text = plan(df.agg(F.count("*"), F.sum(row_bytes(df))))
+    assert "partial_count" in text and "Limit" not in text
+
+
+def test_latest_position_leaves_the_log_where_it_is(fx):
+    at = fx.view("fx_stream").groupBy("channel").agg(F.max("msg_id").alias("position"))
+    text = plan(groups.start_at(fx.view("fx_stream"), "latest", at))
+    assert not [line for line in text.split("\n") if "Exchange hash" in line and "payload" in line]
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_no_query_uses_a_cross_join_or_one_partition(spark, name):
-    if name in ("collect_stream", "dedup_streamed", "put_objects", "removed_objects", "results"):
+    if name in WRITERS:
         pytest.skip("writes tables; its parts are covered by others")
     text = plan(QUERIES[name](spark, DATA))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition"):
