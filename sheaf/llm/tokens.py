@@ -1,8 +1,11 @@
 """Token ids of documents in a file format of compressed bit or byte planes, and back."""
 
+import json
+import re
 import sys
 import types
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +18,8 @@ from pyspark.taskcontext import TaskContext
 from sheaf.session import range_parts
 
 BLOCK_IDS, LEVEL, END_ID = 1 << 16, 3, 1
-#: Words whose ids a Python worker remembers, about 200 MB at the most.
-KNOWN_WORDS = 1_000_000
+#: Words, and pieces of words, whose ids a Python worker remembers, about 300 MB at the most.
+KNOWN_WORDS, KNOWN_PIECES = 1_000_000, 500_000
 PIECES = "array<struct<seq:bigint,doc_id:{kind},since:bigint,n:bigint,at:bigint>>"
 
 
@@ -25,6 +28,51 @@ def worker_store() -> dict:
     return sys.modules.setdefault("sheaf_worker_store", types.ModuleType("sheaf_worker_store")).__dict__
 
 
+#: How a tokenizer may prepare a text for its ids to be those of its words, and of the pieces of these. Fixed values.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of visible Latin-1 characters, which that preparation only lower-cases, and their pieces by that pattern.
+LATIN = re.compile("[!-~\xa1-\xff]+")
+LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PIECES_OF = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer drops white space and joins nothing over it, by the preparation named above."""
+    normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = [x["type"] for x in normal.get("normalizers", [])]
+    split, level = [*pre.get("pretokenizers", []), {}, {}][:2]
+    cuts = {k: split.get(k) for k in ("type", "pattern", "behavior", "invert")}
+    return (
+        steps == NORMALIZERS and len(pre.get("pretokenizers", [])) == 2 and level.get("type") == "ByteLevel"
+        and not level.get("add_prefix_space") and not level.get("use_regex")
+        and cuts == {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True})
+
+
+class PieceIds(dict):
+    """The ids of a piece of a word, by the tokenizer's model."""
+
+    def __init__(self, tokenizer):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.level, self.cut = ByteLevel(add_prefix_space=False, use_regex=False), tokenizer.model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= KNOWN_PIECES:
+            self.clear()
+        spelt = piece if piece.isascii() else self.level.pre_tokenize_str(piece)[0][0]
+        ids = self[piece] = as_bytes([t.id for t in self.cut(spelt)])
+        return ids
+
+
 class WordIds(dict):
     """The ids of a word, by the tokenizers library, as little-endian unsigned 32-bit integers."""
 
@@ -32,23 +80,35 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_words, self.pieces = by_words(json.loads(tokenizer_json)), PieceIds(self.tokenizer)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if LATIN.fullmatch(word):
+            ids = b"".join(map(self.pieces.__getitem__, PIECES_OF.findall(word.lower())))
+        else:
+            ids = self.whole(word)
         self[word] = ids
         return ids
 
+    def whole(self, text: str) -> bytes:
+        return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
     def encode(self, text: str) -> bytes:
-        """Word by word: this tokenizer drops white space and joins nothing over it, so the ids are those of the whole text.
+        """Word by word, where the tokenizer drops white space and joins nothing over it, so the ids are those of the whole text.
 
         Where lower-casing goes letter by letter and no letter is composed (Latin-1), it comes first, so that fewer words differ.
+        Another tokenizer, and a text that spells one of its special tokens, in any case, takes the whole text.
         """
+        low = text.lower()
+        if not self.by_words or any(x in text or x in low for x in self.special):
+            return self.whole(text)
         try:
             if not text.isascii():
                 text.encode("latin-1")
-            text = text.lower()
+            text = low
         except UnicodeEncodeError:
             pass
         for space in "\n\t\r\x0b\x0c":

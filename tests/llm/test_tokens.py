@@ -1,3 +1,5 @@
+import json
+import random
 import zlib
 
 import numpy as np
@@ -59,5 +61,18 @@ def test_planes_round_trip(planes, n):
 def test_word_by_word_is_the_whole_text():
     t = Tokenizer.from_file(TOKENIZER)
     known = tokens.WordIds(t.to_str())
-    for text in ["", " ", "Ünder Ÿ ÿ µ ß İ ΑΣ ΑΣ. J̌ x ́y", "a b c d\x1ce\x85f", "don't WE'LL 1234 ＦＵＬＬ <|startoftext|>x<|endoftext|>", "é ̈́ 각 각 ﬁ Ǆ"]:
+    assert known.by_words
+    rnd = random.Random(7)
+    marks = ["'s", "'LL", "<|EndOfText|>", "<|startoftext|>", "ς", "Σ", "İ", "́", "　", "一"]
+    some = ["".join(rnd.choices([chr(c) for c in range(256)] + marks, k=rnd.randint(1, 20))) for _ in range(2000)]
+    for text in [*some, "", " ", "Ünder Ÿ ÿ µ ß İ ΑΣ ΑΣ. J̌ x ́y", "a b c d\x1ce\x85f", "don't WE'LL 1234 ＦＵＬＬ <|startoftext|>x<|endoftext|>", "é ̈́ 각 각 ﬁ Ǆ"]:
         assert np.frombuffer(known.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_another_tokenizer_takes_whole_texts():
+    spec = json.loads(Tokenizer.from_file(TOKENIZER).to_str())
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": r"[\\p{L}\\s]+|[^\\p{L}\\s]+"}
+    known = tokens.WordIds(json.dumps(spec))
+    assert not known.by_words
+    t = Tokenizer.from_str(json.dumps(spec))
+    assert np.frombuffer(known.encode("a b  Cd, e"), "<u4").tolist() == t.encode("a b  Cd, e", add_special_tokens=False).ids
