@@ -3,7 +3,10 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheaf.session import few_rows, settled, settled_ids
+from sheaf.session import few_rows, range_parts, settled, settled_ids
+
+#: Up to so many values of a leading id column (such as channels) are listed in a filter.
+MOST_LISTED = 100
 
 
 def group_limit(spark: SparkSession) -> int:
@@ -33,8 +36,25 @@ def first_rows(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
 
 
 def fetched(df: DataFrame, picked: DataFrame, on: list[str]) -> DataFrame:
-    """The rows of ``df`` for settled ids; few ids are broadcast."""
-    return df.join(few_rows(picked), on)
+    """The rows of ``df`` for settled ids; few ids are broadcast.
+
+    The bounds of the last id column for each value of the first (or over all, if these are many) go into the scan, so that
+    folders and row groups without any of the ids are not read.
+    """
+    return df.filter(bounds(picked, on[0], on[-1])).join(few_rows(picked), on)
+
+
+def bounds(picked: DataFrame, first: str, last: str) -> Column:
+    """A filter of literals that all picked rows pass. The driver reads up to 101 rows for it."""
+    by = picked.groupBy(first).agg(F.min(last).alias("lo"), F.max(last).alias("hi"))
+    read = by.limit(MOST_LISTED + 1).collect()
+    if len(read) > MOST_LISTED:
+        lo, hi = by.agg(F.min("lo"), F.max("hi")).first()
+        return F.col(last).between(lo, hi)
+    out = F.lit(False)
+    for value, lo, hi in read:
+        out = out | (F.col(first).eqNullSafe(F.lit(value)) if value is None else F.col(first) == value) & F.col(last).between(lo, hi)
+    return out
 
 
 def ranked(
@@ -53,7 +73,7 @@ def ranked(
     partition. The placed rows are kept in the shared folder, as both parts must see the
     same partition bounds.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or range_parts(df)
     by = [F.col(k) for k in keys]
     placed = settled(
         df.repartitionByRange(n, *by, *order)

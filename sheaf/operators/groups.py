@@ -89,12 +89,15 @@ def take(df: DataFrame, n: int, queue: str = "queue", order: str = "seq") -> tup
     return fetched(df, ids, [queue, order]), df.join(few_rows(ids), [queue, order], "left_anti")
 
 
-def read_group(log: DataFrame, deliveries: DataFrame, group: str, count: int) -> DataFrame:
+def read_group(log: DataFrame, deliveries: DataFrame, group: str, count: int, after: dict[str, int] | None = None) -> DataFrame:
     """The next ``count`` entries per channel that the group never got.
 
-    They are found by their ids, so payloads take no part in the anti join.
+    They are found by their ids, so payloads take no part in the anti join. ``after`` gives a position per channel
+    up to which the group got all: neither the log nor the deliveries are read before it.
     """
     ids = ["channel", "msg_id"]
+    if after:
+        log, deliveries = start_at(log, after), start_at(deliveries, after)
     got = deliveries.filter(F.col("grp") == group).select(*ids)
     open_ids = log.select(*ids).join(got, ids, "left_anti")
     return fetched(log, settled_ids(first_n(open_ids, ["channel"], [F.col("msg_id")], count)), ids)

@@ -244,3 +244,48 @@ def collect_catch_up(fx: Inputs) -> DataFrame:
 def collect_resumed(fx: Inputs) -> DataFrame:
     done = fx.tasks().filter("page_id % 2 = 0").select("job_id")
     return collect.run_batch(task_log(fx), fx.table("pages"), finished=done).outcomes.select("job_id", "outcome")
+
+
+HOT = "(select min(url) from pages)"
+
+
+@check("collect_hot_url", f"""
+with hot as (select job_id, scrape_type, method, enqueued_at, case when page_id%3=0 then {HOT} else url end as url from fx_tasks),
+latest as (select url, max(page_id) as page_id from pages group by url)
+select concat('anon/',strftime(enqueued_at,'%Y/%m/%d'),'/',job_id,'/data.html') as object_key, md5(html) as digest
+from hot join latest using (url) join pages using (page_id) where not (scrape_type='API' and method='TRACE')""")
+def collect_hot_url(fx: Inputs) -> DataFrame:
+    """A third of the tasks ask for one URL; the spreading of such URLs is on at any size."""
+    url = F.when(F.col("page_id") % 3 == 0, F.lit(fx.table("pages").agg(F.min("url")).first()[0])).otherwise(F.col("url"))
+    sent = codec.encode_tasks(fx.tasks().withColumn("url", url))
+    log = logs.entries(sent, intake.topic_of(F.col("scrape_type")), F.col("job_id"), F.col("value"), F.col("page_id"), F.col("enqueued_at"))
+    made = collect.run_batch(log, fx.table("pages"), hot_above=0)
+    return made.objects.select("object_key", F.md5("content").alias("digest"))
+
+
+@check("group_next_after", """
+select channel, msg_id from (select channel, msg_id, row_number() over (partition by channel order by msg_id) as rn from fx_stream
+ where msg_id>(select max(msg_id)//2 from fx_stream) and msg_id not in (select msg_id from fx_deliveries where grp='scrape-all'))
+where rn<=3""")
+def group_next_after(fx: Inputs) -> DataFrame:
+    """Reading on from the position up to which a group has all."""
+    log = fx.view("fx_stream")
+    half = log.agg(F.max("msg_id")).first()[0] // 2
+    after = {c: half for c in groups.profile_channels("scrape-all")}
+    return groups.read_group(log, fx.view("fx_deliveries"), "scrape-all", 3, after).select("channel", "msg_id")
+
+
+@check("collect_fetched", RUN + f""",
+asked as (select * replace (case when scrape_type='API' then method else 'GET' end as method) from live),
+made as (select job_id, page_id, {METHOD}='TRACE' as bad, {REQUEST_URL} as request_url from asked)
+select job_id, case when bad then 'Unsupported HTTP method.' when contains(request_url,'#') then 'http_error' else 'ok' end as outcome,
+ cast(case when bad then 0 when contains(request_url,'#') then 3 when contains(request_url,'/en/') then 2 else 1 end as bigint)
+  + case when page_id%3=1 and not bad and not contains(request_url,'#') then 1 else 0 end as attempts,
+ case when bad or contains(request_url,'#') then null else md5(request_url) end as digest from made""")
+def collect_fetched(fx: Inputs) -> DataFrame:
+    """A run that calls out; every third job had one failed attempt before."""
+    at = F.col("enqueued_at").cast("timestamp").alias("attempted_at")
+    before = fx.tasks().filter("page_id % 3 = 1").select("job_id", F.lit(1).alias("attempt"), at, F.lit(503).alias("status"))
+    made = collect.run_fetched(task_log(fx), _fake_session, before, wait=0)
+    contents = made.objects.select("object_key", F.md5("content").alias("digest"))
+    return made.outcomes.join(contents, "object_key", "left").select("job_id", "outcome", "attempts", "digest")

@@ -1,20 +1,21 @@
 """The whole way of a batch: log entries to stored results and completion events."""
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.skew import CHECK_ABOVE_BYTES, lookup
-from sheaf.operators.attempts import OK, TRANSPORT_ERROR
+from sheaf.operators.attempts import OK, TRANSPORT_ERROR, classify, failed_queue, resolve_attempts
 from sheaf.operators.codec import decode
 from sheaf.operators.extract import Field, extract_records
 from sheaf.operators.groups import live_tasks, profile
 from sheaf.operators.html import parse_html
 from sheaf.operators.objects import object_keys
-from sheaf.operators.requests import build_requests, latest_captures
+from sheaf.operators.requests import build_requests, fetch, latest_captures
 from sheaf.plans.results import completions
-from sheaf.schema import TOPICS
+from sheaf.schema import RETRY_WAIT_SECONDS, TOPICS
 from sheaf.session import settled
 
 #: How much wider a page is than the row that asks for it, at the least.
@@ -72,14 +73,16 @@ def with_requests(tasks: DataFrame) -> DataFrame:
 
 
 def run_batch(log: DataFrame, captures: DataFrame, name: str = "scrape-all",
-              spec: dict[str, Field] = PAGE_RECORD, finished: DataFrame | None = None) -> Collected:
+              spec: dict[str, Field] = PAGE_RECORD, finished: DataFrame | None = None,
+              hot_above: int = CHECK_ABOVE_BYTES) -> Collected:
     """Reads, decodes, deduplicates, resolves, parses and announces a batch of tasks.
 
     Every entry ends in one place: a job's outcome, ``rejected`` (undecodable bytes), a cancel or a copy. Jobs
     of ``finished`` (job_id), such as the ``ok`` ones of earlier runs, are left out.
 
     Each page is parsed once, however many tasks ask for it, and the records (not the pages)
-    are then brought to the tasks. Tasks and records are kept in the shared folder: several
+    are then brought to the tasks. URLs that very many tasks ask for are looked for among more than ``hot_above`` bytes of
+    tasks, and spread. Tasks and records are kept in the shared folder: several
     outputs use them, and neither the log nor the pages should be gone through again for each.
     """
     tasks, rejected = tasks_of(log, name)
@@ -88,7 +91,7 @@ def run_batch(log: DataFrame, captures: DataFrame, name: str = "scrape-all",
     requests = settled(with_requests(tasks))
     pages = latest_captures(captures, requests)
     per_page = settled(extract_records(parse_html(pages, keep=("url",)), spec, keep=("url",)))
-    seen = lookup(requests, per_page, "url", spread_by="job_id")
+    seen = lookup(requests, per_page, "url", "job_id", hot_above)
     outcome = (F.when(F.col("request_error").isNotNull(), F.col("request_error"))
                .when(F.col("page_id").isNull(), TRANSPORT_ERROR).otherwise(OK))
     keyed = object_keys(seen.withColumn("outcome", outcome), "timestamp", filename="data.html")
@@ -99,7 +102,7 @@ def run_batch(log: DataFrame, captures: DataFrame, name: str = "scrape-all",
     stored = outcomes.filter(done)
     asked = requests.filter(F.col("request_error").isNull()).select("job_id", "url", "timestamp")
     content = lookup(
-        asked, pages.select("url", "html"), "url", "job_id", check_above=CHECK_ABOVE_BYTES // WIDER).filter(F.col("html").isNotNull())
+        asked, pages.select("url", "html"), "url", "job_id", check_above=hot_above // WIDER).filter(F.col("html").isNotNull())
     objects = object_keys(content, "timestamp", filename="data.html").select(
         "object_key", F.col("html").cast("binary").alias("content"), F.lit("text/html").alias("content_type"),
         F.unix_micros("timestamp").alias("seq"))
@@ -114,3 +117,44 @@ def catch_up(log: DataFrame, outcomes: DataFrame, captures: DataFrame, name: str
     For jobs whose page was captured late, and for those a stream dropped as later than its watermark.
     """
     return run_batch(log, captures, name, spec, outcomes.filter(F.col("outcome") == OK))
+
+
+@dataclass
+class Fetched:
+    """Outputs of a batch that calls out, to be written by the caller: ``attempts`` are those of this run."""
+
+    outcomes: DataFrame
+    attempts: DataFrame
+    objects: DataFrame
+    failed: DataFrame
+    rejected: DataFrame
+
+
+def run_fetched(log: DataFrame, open_session: Callable, attempts_so_far: DataFrame | None = None, name: str = "scrape-all",
+                wait: float = RETRY_WAIT_SECONDS) -> Fetched:
+    """A batch whose responses come from the caller's function (see ``fetch``) and not from captures.
+
+    Every live job gets an outcome with its number of ``attempts``: that of its first success, else of its last attempt.
+    Append ``attempts`` to a table and give that table (job_id, attempt, attempted_at, status) to the next run, which
+    goes on with the jobs that have attempts left. Response contents go to ``objects`` alone.
+    """
+    tasks, rejected = tasks_of(log, name)
+    requests = settled(with_requests(tasks))
+    made = settled(fetch(requests, open_session, attempts_so_far, wait=wait))
+    narrow = ["job_id", "attempt", "attempted_at", "status"]
+    known = made.select(*narrow)
+    if attempts_so_far is not None:
+        known = known.unionByName(attempts_so_far.select(*narrow))
+    judged = classify(known)
+    best = resolve_attempts(judged, "job_id", "attempt").select("job_id", "outcome", "attempts")
+    ended = requests.select("job_id", "scrape_type", "url", "timestamp", "request_error").join(best, "job_id", "left")
+    keyed = object_keys(ended, "timestamp", filename="data.html")
+    outcome = F.coalesce("request_error", "outcome", F.lit(TRANSPORT_ERROR))
+    outcomes = keyed.select(
+        "job_id", "scrape_type", "url", outcome.alias("outcome"), F.coalesce("attempts", F.lit(0).cast("long")).alias("attempts"),
+        F.when(F.col("outcome") == OK, F.col("object_key")).alias("object_key"))
+    contents = classify(made).filter(F.col("outcome") == OK).select("job_id", "content")
+    objects = outcomes.filter(F.col("object_key").isNotNull()).join(contents, "job_id").join(
+        requests.select("job_id", F.unix_micros("timestamp").alias("seq")), "job_id").select(
+        "object_key", "content", F.lit("text/html").alias("content_type"), "seq")
+    return Fetched(outcomes, made, objects, failed_queue(judged, "job_id", "attempted_at"), rejected)

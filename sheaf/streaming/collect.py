@@ -1,23 +1,27 @@
-"""The same way continuously: file log to raw results to records, exactly once per job.
+"""The same way continuously: file log to outcomes to records, exactly once per job.
 
-Two streaming queries, each with its own checkpoint and a Parquet sink. The sink's own log
-makes a repeated micro-batch harmless, and the second query reads the first one's sink.
+Streaming queries, each with its own checkpoint and a Parquet sink. The sink's own log
+makes a repeated micro-batch harmless, and the second query reads the first one's sink. Pages are parsed once, ahead
+of the streams, and only their ids and records meet the jobs: no stream carries HTML.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.functions.skew import CHECK_ABOVE_BYTES, lookup
 from sheaf.operators.attempts import OK, TRANSPORT_ERROR
 from sheaf.operators.codec import decode
 from sheaf.operators.extract import Field, extract_records
 from sheaf.operators.groups import profile_channels
 from sheaf.operators.html import parse_html
 from sheaf.operators.objects import object_keys
-from sheaf.plans.collect import PAGE_RECORD, log_order, with_requests
+from sheaf.plans.collect import PAGE_RECORD, WIDER, log_order, with_requests
+from sheaf.session import few_rows, settled_ids
 from sheaf.sources.log import read_log
+from sheaf.sources.objectstore import ensure_table
 
 RAW = ("job_id string, topic string, partition int, offset long, timestamp timestamp, scrape_type string, url string, "
-       "outcome string, object_key string, html string")
+       "outcome string, object_key string, page_id long")
 
 
 def dedup_stream(tasks: DataFrame, at: str, delay: str, key: str = "job_id") -> DataFrame:
@@ -33,20 +37,44 @@ def raw_results(spark: SparkSession, log_path: str, pages: DataFrame, delay: str
     takes such jobs up again.
 
     Cancels are not looked at here: a tombstone may come after its task was done. They count
-    when results are read, by ``settled_results``. Every micro-batch is joined to all of
-    ``pages``, so a large table of captures calls for long triggers.
+    when results are read, by ``settled_results``. Every micro-batch is joined to the urls and ids of all
+    ``pages``, so a large table of captures calls for long triggers; ``raw_objects`` brings contents in.
     """
     topics = profile_channels(name)
     read = decode(read_log(spark, log_path, topics, stream=True).filter(F.col("value").isNotNull()))
     tasks = dedup_stream(read.filter(F.col("error").isNull()).drop("cancel", "error"), "timestamp", delay)
-    found = with_requests(tasks).join(pages.select("url", "html"), "url", "left")
+    found = with_requests(tasks).join(pages.select("url", F.col("page_id").cast("long").alias("page_id")), "url", "left")
     outcome = (F.when(F.col("request_error").isNotNull(), F.col("request_error"))
-               .when(F.col("html").isNull(), TRANSPORT_ERROR).otherwise(OK))
+               .when(F.col("page_id").isNull(), TRANSPORT_ERROR).otherwise(OK))
     keyed = object_keys(found.withColumn("outcome", outcome), "timestamp", filename="data.html")
     done = F.col("outcome") == OK
     return keyed.select(
         "job_id", "topic", "partition", "offset", "timestamp", "scrape_type", "url", "outcome",
-        F.when(done, F.col("object_key")).alias("object_key"), F.when(done, F.col("html")).alias("html"))
+        F.when(done, F.col("object_key")).alias("object_key"), F.when(done, F.col("page_id")).alias("page_id"))
+
+
+def raw_objects(raw: DataFrame, pages: DataFrame) -> DataFrame:
+    """Stored objects (object_key, content, content_type, seq) of the ``ok`` results: each with its page's content."""
+    asked = raw.filter(F.col("outcome") == OK).select("job_id", "object_key", "timestamp", "page_id")
+    found = lookup(asked, pages.select("page_id", "html"), "page_id", "job_id", CHECK_ABOVE_BYTES // WIDER)
+    return found.select(
+        "object_key", F.col("html").cast("binary").alias("content"), F.lit("text/html").alias("content_type"),
+        F.unix_micros("timestamp").alias("seq"))
+
+
+def page_records(spark: SparkSession, pages: DataFrame, spec: dict[str, Field], path: str) -> DataFrame:
+    """Records of all pages, kept below ``path``; pages that are there from an earlier run are not parsed again."""
+    def records(of: DataFrame) -> DataFrame:
+        return extract_records(parse_html(of), spec).withColumn("page_id", F.col("page_id").cast("long"))
+
+    schema = records(pages).schema
+    ensure_table(spark, path, schema)
+    there = spark.read.schema(schema).parquet(path)
+    if not there.isEmpty():
+        new = settled_ids(pages.select("page_id").join(there.select("page_id"), "page_id", "left_anti"))
+        pages = pages.join(few_rows(new), "page_id", "left_semi")
+    records(pages).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def rejected_entries(spark: SparkSession, log_path: str, name: str = "scrape-all") -> DataFrame:
@@ -58,8 +86,9 @@ def rejected_entries(spark: SparkSession, log_path: str, name: str = "scrape-all
 
 def run_stream(spark: SparkSession, log_path: str, pages: DataFrame, out: str, delay: str,
                name: str = "scrape-all", spec: dict[str, Field] = PAGE_RECORD, available_now: bool = False) -> list:
-    """Starts the queries for raw results, records and rejected entries; with ``available_now`` they stop when
-    the log has been read."""
+    """Starts the queries for raw results, records and rejected entries, once the pages (url, page_id, html) are parsed;
+    with ``available_now`` they stop when the log has been read."""
+    parsed = page_records(spark, pages, spec, f"{out}/pages")
 
     def start(df: DataFrame, kind: str):
         writer = df.writeStream.format("parquet").option("checkpointLocation", f"{out}/_checkpoints/{kind}")
@@ -70,9 +99,7 @@ def run_stream(spark: SparkSession, log_path: str, pages: DataFrame, out: str, d
     if available_now:
         first.awaitTermination()
     raw = spark.readStream.schema(RAW).parquet(f"{out}/raw").filter(F.col("outcome") == OK)
-    keep = ("scrape_type", "url", "object_key", "topic", "partition", "offset", "timestamp", "outcome")
-    records = extract_records(parse_html(raw, key="job_id", keep=keep), spec, keep=keep)
-    second = start(records.withColumnRenamed("page_id", "job_id"), "records")
+    second = start(raw.join(parsed, "page_id").drop("page_id"), "records")
     third = start(rejected_entries(spark, log_path, name), "rejected")
     if available_now:
         second.awaitTermination()

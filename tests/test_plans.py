@@ -4,12 +4,15 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
+from sheaf.functions import ranking
 from sheaf.operators import extract, groups, html, objects, requests, zset
 from sheaf.plans import collect, results
 from sheaf.plans.catalog import QUERIES
-from sheaf.plans.checks_results import _store
+from sheaf.plans.checks_results import _store, task_log
 from sheaf.session import few_rows, row_bytes
+from sheaf.sources import log as logs
 from sheaf.sources import objectstore
+from sheaf.streaming.collect import raw_results
 
 
 @pytest.fixture(autouse=True)
@@ -65,6 +68,25 @@ def test_group_reads_fetch_payloads_by_broadcast_ids(fx):
     assert "BroadcastHashJoin" in text and "Exchange hash" not in text
 
 
+def test_picked_rows_are_bounded_in_the_scan(spark, fx, tmp_path):
+    fx.view("fx_stream").write.partitionBy("channel").parquet(f"{tmp_path}/log")
+    log = spark.read.parquet(f"{tmp_path}/log")
+    text = groups.dequeue(log, 3, "channel", "msg_id")._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    scan = [line for line in text.split("\n") if "PushedFilters" in line and "msg_id" in line]
+    folders = [line for line in text.split("\n") if "PartitionFilters" in line and "channel" in line]
+    assert any("GreaterThanOrEqual(msg_id" in line for line in scan) and folders
+
+
+def test_bounds_of_picked_rows(spark):
+    rows = spark.createDataFrame([(None, 1), ("a", 5), ("a", 9), ("b", 2)], "k string, n long")
+    assert rows.filter(ranking.bounds(rows, "k", "n")).count() == 4
+    assert rows.filter(ranking.bounds(rows.filter("k = 'a'"), "k", "n")).count() == 2
+    assert rows.filter(ranking.bounds(rows.limit(0), "k", "n")).count() == 0
+    many = spark.range(300).select(F.col("id").cast("string").alias("k"), F.col("id").alias("n"))
+    assert many.filter(ranking.bounds(many.filter("n >= 100"), "k", "n")).count() == 200
+
+
 def test_upserts_combine_before_the_shuffle(fx):
     text = plan(groups.live_tasks(fx.view("fx_log"), F.col("tombstone")))
     assert "partial_min_by" in text and text.count("Exchange hash") == 1
@@ -112,6 +134,14 @@ def test_captures_are_not_sorted_or_shuffled_with_their_contents(fx):
     assert "max_by" not in text and not [line for line in text.split("\n") if "Exchange" in line and "html" in line]
 
 
+def test_no_stream_carries_html(spark, fx, tmp_path):
+    logs.produce(task_log(fx), f"{tmp_path}/log")
+    jobs = raw_results(spark, f"{tmp_path}/log", fx.table("pages"), "1 day")
+    text = jobs._jdf.queryExecution().analyzed().toString()
+    assert "Join LeftOuter" in text
+    assert all("Relation" in line for line in text.split("\n") if "html#" in line)
+
+
 def test_counting_for_a_broadcast_moves_one_row_per_task(spark):
     df = spark.range(1000)
     text = plan(df.agg(F.count("*"), F.sum(row_bytes(df))))

@@ -11,7 +11,7 @@ from sheaf.schema import OBJECT
 from sheaf.session import scratch
 from sheaf.sources import log as logs
 from sheaf.sources import objectstore
-from sheaf.streaming.collect import run_stream, settled_results
+from sheaf.streaming.collect import raw_objects, run_stream, settled_results
 from sheaf.streaming.depth import change_stream
 
 
@@ -151,8 +151,13 @@ def test_stream_equals_batch_and_a_second_run_adds_nothing(spark, fx):
     assert run().count() == once == records.select("job_id").distinct().count()
     fields = ["job_id", "url", "scrape_type", "object_key", *collect.PAGE_RECORD]
     live = settled_results(records, logs.read_log(spark, f"{path}/log")).select(*fields)
-    batch = collect.run_batch(whole, fx.table("pages")).outcomes.filter("outcome = 'ok'").select(*fields)
+    made = collect.run_batch(whole, fx.table("pages"))
+    batch = made.outcomes.filter("outcome = 'ok'").select(*fields)
     assert live.exceptAll(batch).count() == 0 and batch.exceptAll(live).count() == 0
+    assert spark.read.parquet(f"{path}/out/pages").count() == pages.count()
+    stored = settled_results(spark.read.parquet(f"{path}/out/raw"), logs.read_log(spark, f"{path}/log"))
+    got, there = (x.select("object_key", F.md5("content").alias("digest")) for x in (raw_objects(stored, pages), made.objects))
+    assert got.exceptAll(there).count() == 0 and there.exceptAll(got).count() == 0
 
 
 def test_streamed_queue_changes(spark, fx):
