@@ -5,7 +5,11 @@ from pyspark.sql import functions as F
 
 from sheaf.session import few_rows, range_parts
 
-SEED, POWER, HASH_BITS, MOST_RATE = "mix-1", 0.5, 52, 500
+SEED, POWER, HASH_BITS = "mix-1", 0.5, 52
+#: A rate above this is the sum of so many even parts that none is above it. More epochs than this are refused.
+MOST_RATE = 500
+#: Copies of a row are dealt out in blocks of so many, as an array of all of them need not fit in memory.
+BLOCK = 1 << 16
 
 
 def hashed(*parts: Column) -> Column:
@@ -58,19 +62,31 @@ def mixed(
     Adds ``copy``, from 1, and ``order_key``, by which the rows are placed and sorted (columns of these names are replaced). The number is the inverse of the
     distribution function at a hash of the seed and the row's id (of a null id, its text), so a lost task gives the same rows again;
     repeated rows come equally often. A null source is a source; null and empty texts have no size and come as
-    their source's do. Rates go up to 500; a higher one stops the run. Only the sources' rates are joined, broadcast if
+    their source's do. Of a rate above 500, which a source that is small beside the others has, the number is the sum of
+    independent Poisson numbers of even parts of the rate, each the inverse at a hash of its own; so there is no
+    highest rate, up to the 2^31 that ``copy`` can count. Only ``epochs`` above 500 are refused. Only the sources' rates are joined, broadcast if
     few; the global order needs no sampling, as hashes are even: one shuffle.
     """
+    if epochs > MOST_RATE:
+        raise ValueError(f"all sources are to be repeated more than {MOST_RATE} times")
     key = row_key(doc_id, text)
-    table = rates(docs, source, text, weights, epochs).select(
-        "__source", F.when(F.col("__rate") <= MOST_RATE, steps(F.col("__rate"))).otherwise(
-            F.raise_error(F.lit("a source is to be repeated more than 500 times")).cast("array<double>")).alias("__steps"))
-    u = (hashed(F.lit(seed), F.lit("n"), key) + 0.5) / F.lit(float(1 << HASH_BITS))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / MOST_RATE)).cast("int")
+    table = rates(docs, source, text, weights, epochs).select("__source", parts.alias("__parts"), steps(F.col("__rate") / parts).alias("__steps"))
+
+    def u(draw):
+        return (hashed(F.lit(seed), draw, key) + 0.5) / F.lit(float(1 << HASH_BITS))
+
+    def drawn(at):
+        return F.size(F.filter("__steps", lambda c: c <= at)).cast("long")
+
+    more = F.aggregate(F.sequence(F.lit(1), F.col("__parts") - 1), F.lit(0).cast("long"), lambda n, i: n + drawn(u(F.concat(F.lit("n"), i.cast("string")))))
+    first = F.col("__block") * BLOCK
     counted = (
-        docs.withColumn("__u", u).join(few_rows(table), F.col(source).eqNullSafe(F.col("__source")))
-        .withColumn("__n", F.size(F.filter("__steps", lambda c: c <= F.col("__u"))))
+        docs.withColumn("__u", u(F.lit("n"))).join(few_rows(table), F.col(source).eqNullSafe(F.col("__source")))
+        .withColumn("__n", drawn(F.col("__u")) + F.when(F.col("__parts") > 1, more).otherwise(0))
         .filter(F.col("__n") > 0)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+        .withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / BLOCK))))
+        .withColumn("copy", F.explode(F.sequence((first + 1).cast("int"), F.least(first + BLOCK, F.col("__n")).cast("int"))))
         .withColumn("order_key", hashed(F.lit(seed), F.lit("order"), key, F.col("copy").cast("string")))
         .select(*dict.fromkeys([*docs.columns, "copy", "order_key"]))
     )

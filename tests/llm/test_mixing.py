@@ -52,3 +52,26 @@ def test_weights_set_the_shares(llm):
 def test_no_rows(none, odd):
     assert mixing.mixed(none).count() == 0
     assert mixing.mixed(odd, weights={}).count() == 0
+
+
+def test_rates_that_come_with_size_are_drawn_in_parts(llm):
+    docs = llm.createDataFrame([(1, "x" * 4_000_000, "large"), (2, "ab", "small"), (3, "cd", None)], "doc_id long, text string, source string")
+    small = math.sqrt(2) / (2000 + 2 * math.sqrt(2)) * 4_000_004 / 2
+    parts = math.ceil(small / 500)
+    assert parts == 3
+
+    def count(key):
+        draws = ["n", *(f"n{i}" for i in range(1, parts))]
+        return sum(poisson_inverse(small / parts, (int(hashlib.md5(f"mix-1:{d}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) for d in draws)
+
+    copies = {}
+    for r in mixing.mixed(docs.repartition(2)).select("doc_id", "copy").collect():
+        copies.setdefault(r["doc_id"], []).append(r["copy"])
+    for k in (2, 3):
+        assert sorted(copies[k]) == list(range(1, count(k) + 1)) and abs(len(copies[k]) - small) < 6 * math.sqrt(small)
+
+
+def test_copies_are_numbered_over_blocks(llm):
+    docs = llm.createDataFrame([(1, "x" * 100_000, "a"), (2, "y", "b")], "doc_id long, text string, source string")
+    row = mixing.mixed(docs, weights={"b": 2}).selectExpr("count(*) n", "min(copy) least", "max(copy) most", "count(distinct copy) d", "min(doc_id) id").first()
+    assert row["n"] == row["most"] == row["d"] > mixing.BLOCK and row["least"] == 1 and row["id"] == 2
