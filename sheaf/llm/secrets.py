@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import heapq
 import math
 import re
 
@@ -15,10 +16,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # of maximal runs, those of 16 or more
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ["assign", "access", "hex", "value"]
-#: Where a credential's value follows, besides the above.
+#: Before a credential's value, besides the above. The search goes on right behind the keyword, as its value may hold the next context.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code|key)?|pwd|secret|token|api[_-]?key|(?:access|private|client|auth)[_-]?(?:key|secret|token)|credentials?|bearer)["']?\x20{0,3}(?:[:=]|is\x20|\x20)\x20{0,3}["']?(?P<value>[!-~]{6,256})""",
+    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code|key)?|pwd|secret|token|api[_-]?key|(?:access|private|client|auth)[_-]?(?:key|secret|token)|credentials?|bearer)(?=\\{0,3}["']?\x20{0,3}(?P<sign>[:=]|is\x20|\x20)\x20{0,3}(?P<quote>\\{0,3}["']|))""",
     re.I | re.A)
+#: Where a value without quotes ends: at a space or a character outside ASCII, at a quote that closes what is around it, at a tag, and at a
+#: comma, semicolon or & before the next name. In a query string every & ends it.
+NAME = r"""(?=[A-Za-z_][\w.-]{0,60}["']?\x20?[:=])"""
+ENDS = r"""[^!-~]|\\{0,3}["'`](?![A-Za-z0-9])|[,;](?=[^!-~]|\Z|\\{0,3}["'\[{])|[,;&]""" + NAME + r"""|<(?=/?[A-Za-z])|&(?=amp;)"""
+END, QUERY_END, LINE_END = re.compile(ENDS, re.A), re.compile(ENDS + "|&", re.A), re.compile(r"[\r\n]")
+CLOSED = {q: re.compile(rf"(?:[^{q}\\\r\n]|\\[^\r\n])*+{q}") for q in "\"'"}
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer")
 #: log10 of the guesses from which a value counts as a secret; below it are placeholders and plain words.
 LEAST_GUESSES = 8.0
@@ -35,7 +42,7 @@ ROWS = ["`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./"]
 WALKS = [*ROWS, "abcdefghijklmnopqrstuvwxyz", "0123456789", "1qaz", "2wsx", "3edc", "4rfv", "5tgb", "6yhn", "7ujm"]
 LEET = str.maketrans("@4301$57!", "aaeoissti")
 DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
-REPEAT = re.compile(r"(.{1,8}?)\1+", re.S)
+LONGEST_UNIT = 8  # of repeats
 
 
 def brute(text: str) -> float:
@@ -55,16 +62,38 @@ def walk_of(low: str, at: int) -> int:
     return best
 
 
-def log_guesses(value: str, words: dict[str, int]) -> float:
-    """log10 of the guesses for a value: of all cuts into words, dates, repeats, walks and brute-force spans the cheapest."""
+def log_guesses(value: str, words: dict[str, int], enough: float = math.inf) -> float:
+    """log10 of the guesses for a value: of all cuts into words, dates, repeats, walks and brute-force spans the cheapest.
+
+    Once every cut costs ``enough``, a number not below it is given without going on, so the work does not grow with a long random value.
+    """
     low, n = value.lower(), len(value)
+    if len(low) != n:  # a few letters have a longer lower case
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain, longest = low.translate(LEET), max(map(len, words), default=0)
-    best = [0.0] + [math.inf] * n
+    best, ahead = [0.0] + [math.inf] * n, []  # the latter: (cost, place) of places reached
+    same, units = [0] * (LONGEST_UNIT + 1), {}  # how far the text goes on as it did so many characters before; costs of repeated units
 
     def offer(i, j, cost):
-        best[j] = min(best[j], best[i] + cost)
+        if best[i] + cost < best[j]:
+            best[j] = best[i] + cost
+            heapq.heappush(ahead, (best[j], j))
+
+    def repeat(i):
+        for size in range(1, LONGEST_UNIT + 1):
+            at = max(i, same[size])
+            while at + size < n and low[at] == low[at + size]:
+                at += 1
+            same[size] = at
+            if at - i >= size:
+                return size, (at - i) // size + 1
+        return None
 
     for i in range(n):
+        while ahead and ahead[0][1] < i:
+            heapq.heappop(ahead)
+        if ahead and ahead[0][0] >= enough:
+            return ahead[0][0]
         offer(i, i + 1, brute(value[i]))
         for j in range(i + 2, min(n, i + longest) + 1):
             for form, extra in ((low, 0.0), (plain, 0.3)):
@@ -74,10 +103,11 @@ def log_guesses(value: str, words: dict[str, int]) -> float:
                     offer(i, j, math.log10(rank + 1) + extra + capitals)
         if m := DATE.match(value, i):
             offer(i, m.end(), 2.1 if m.end() - i == 4 else 4.6)
-        if m := REPEAT.match(low, i):
-            unit = m[1]
-            once = log_guesses(unit, words) if len(unit) > 1 else 1.1
-            offer(i, m.end(), once + math.log10((m.end() - i) // len(unit)))
+        if r := repeat(i):
+            unit = low[i : i + r[0]]
+            if unit not in units:
+                units[unit] = log_guesses(unit, words) if len(unit) > 1 else 1.1
+            offer(i, i + r[0] * r[1], units[unit] + math.log10(r[1]))
         if (k := walk_of(low, i)) >= 3:
             for j in range(i + 3, i + k + 1):
                 offer(i, j, 1.5 + math.log10(j - i))
@@ -95,20 +125,62 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+def contexts(text: str):
+    """(start, end, whether after a sign or in quotes) of the values in credential contexts, by start.
+
+    A value in quotes goes to its closing quote on the line, after a sign with the spaces in it; another one to its delimiter, without
+    the signs of the sentence around it. There is no longest value. One that begins with a context of its own gives way to that one's.
+    """
+    ends = {}
+
+    def first(pattern, start):  # kept, as the next value may have the same end
+        at, to = ends.get(pattern, (0, -1))
+        if not at <= start <= to:
+            m = pattern.search(text, start)
+            ends[pattern] = start, to = start, m.start() if m else len(text)
+        return to
+
+    def closing(quote, start):
+        if len(quote) == 1:
+            m = CLOSED[quote].match(text, start)
+            return m.end() - 1 if m else -1
+        return text.find(quote, start, first(LINE_END, start))
+
+    for m in CONTEXT.finditer(text):
+        start, sign, quote = m.end("quote"), m["sign"] in (":", "="), m["quote"]
+        inner = CONTEXT.match(text, start)
+        if inner and inner["sign"] in (":", "="):
+            continue
+        end = closing(quote, start) if quote else -1
+        if end >= 0 and (sign or not re.search(r"\s", text[start:end])):
+            yield start, end, True
+            continue
+        end = first(QUERY_END if m["sign"] == "=" else END, start)
+        while end > start and text[end - 1] in ("\"'`.,;:)]}>" if sign else "\"'`.,;:)]}>!?"):
+            end -= 1
+        yield start, end, sign or bool(quote)
+
+
 def value_spans(text: str, base: list[tuple], words: dict[str, int]) -> list[tuple[int, int, int]]:
-    """Values in credential contexts that are hard to guess and that no base span meets."""
+    """Values in credential contexts that are hard to guess and that no base span, and no value before, meets."""
     low = text.lower()
     if not any(x in low for x in HINTS):
         return []
     out, kinds = [], [[(s, e) for s, k, e in base if k == kind] for kind in range(3)]  # apart from each other within a kind
-    for m in CONTEXT.finditer(text):
-        value = m["value"].rstrip("\"'.,;:!?)]}>")
-        start, end = m.start("value"), m.start("value") + len(value)
+    done, easy = 0, ""
+    for start, end, marked in contexts(text):
         last = [x[i - 1] for x in kinds if (i := bisect.bisect_left(x, (end, 0)))]
-        if len(value) < 6 or any(start < e for _, e in last):
+        if start < done or end - start < LEAST_GUESSES or any(start < e for _, e in last):
+            continue
+        value = text[start:end]
+        if 0 < len(easy) - len(value) <= LONGEST_UNIT and easy.startswith(value) and easy.endswith(value):
+            easy = value  # a repeat, once less often than the one before
             continue
-        if len(set(value)) > 3 and re.search(r"[0-9!-/:-@\[-`{-~]", value) and log_guesses(value, words) >= LEAST_GUESSES:
+        if len(set(value)) > 3 and re.search(r"[0-9!-/:-@\[-`{-~]", value) and log_guesses(value, words, LEAST_GUESSES) >= LEAST_GUESSES:
             out.append((start, 3, end))
+            done = end
+        else:
+            easy = value
     return out
 
 

@@ -83,3 +83,29 @@ def test_guess_costs_and_contexts():
     text = 'pwd: "xK9#vQ2$mT", passphrase = changeme; password=f8Zq!w3Lr0Np and a token of 7hG2kd9LmQ4 thanks'
     found = [text[s:e] for s, _, e in secrets.value_spans(text, secrets.base_spans(text), RANKS)]
     assert found == ["xK9#vQ2$mT", "f8Zq!w3Lr0Np"]
+
+
+def values(text):
+    return [text[s:e] for s, _, e in secrets.value_spans(text, secrets.base_spans(text), RANKS)]
+
+
+def test_a_value_ends_at_its_quote_or_delimiter():
+    long = "".join(hashlib.md5(str(i).encode()).hexdigest().upper() + "." for i in range(40)) + "Z"
+    assert values(f"Authorization: Bearer {long}\nprivate_key: {long}!") == [long, long + "!"]
+    assert values('{"pwd":"Xk9$w2Q!","token":"abcdefghijkl"}') == ["Xk9$w2Q!"]
+    assert values(r'"{\"pwd\":\"Xk9$w2Q!\",\"passcode\":\"Lm4#z,8&Rt\"}"') == ["Xk9$w2Q!", "Lm4#z,8&Rt"]
+    assert values("https://a.b/?pwd=Xk9$w2Q!&client_secret=Lm4%23z8Rt&debug") == ["Xk9$w2Q!", "Lm4%23z8Rt"]
+    assert values("pwd=Xk9$w2Q!,user=bob;passcode:Lm4#z8Rt;x=1") == ["Xk9$w2Q!", "Lm4#z8Rt"]
+    assert values("pwd: a,B3&x;Y9 <b>passcode: Lm4#z8Rt</b>") == ["a,B3&x;Y9", "Lm4#z8Rt"]
+    assert values(r"""pwd: "Xk9\"w2 Q!" passcode: 'Lm4#z8Rt""") == [r'Xk9\"w2 Q!', "Lm4#z8Rt"]
+
+
+def test_one_context_does_not_take_the_next():
+    assert values("secret password: Xk9$w2Q!") == ["Xk9$w2Q!"]
+    assert values("token: Bearer Xk9$w2Q#7 and the secret is password=Lm4#z8Rt") == ["Xk9$w2Q#7", "Lm4#z8Rt"]
+
+
+def test_the_work_on_long_values_is_bounded():
+    assert secrets.log_guesses("xK9#vQ2$mT" * 2 + "Wq" * 200_000, RANKS, 8.0) >= 8
+    assert abs(secrets.log_guesses("a" * 50_000, RANKS, 8.0) - (1.1 + 4.69897)) < 1e-3
+    assert len(values("pwd:x!" * 20_000)) == 1 and values("pwd:" * 100_000) == []
