@@ -29,6 +29,8 @@ CLOSED = {q: re.compile(rf"(?:[^{q}\\\r\n]|\\[^\r\n])*+{q}") for q in "\"'"}
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer")
 #: log10 of the guesses from which a value counts as a secret; below it are placeholders and plain words.
 LEAST_GUESSES = 8.0
+#: The same for a word of letters alone, in capitals or small but for its first, after a bare space or "is": prose has words of up to 15 letters there.
+PLAIN_GUESSES = 16.0
 #: Words tried first by guessers, the commonest first. Fixed values; a caller may give others.
 COMMON = (
     "password 123456 qwerty admin welcome letmein monkey dragon master login abc123 iloveyou sunshine princess football secret "
@@ -173,10 +175,11 @@ def value_spans(text: str, base: list[tuple], words: dict[str, int]) -> list[tup
         if start < done or end - start < LEAST_GUESSES or any(start < e for _, e in last):
             continue
         value = text[start:end]
+        least = PLAIN_GUESSES if not marked and value.isalpha() and (value[1:].islower() or value.isupper()) else LEAST_GUESSES
         if 0 < len(easy) - len(value) <= LONGEST_UNIT and easy.startswith(value) and easy.endswith(value):
             easy = value  # a repeat, once less often than the one before
             continue
-        if len(set(value)) > 3 and re.search(r"[0-9!-/:-@\[-`{-~]", value) and log_guesses(value, words, LEAST_GUESSES) >= LEAST_GUESSES:
+        if log_guesses(value, words, least) >= least:
             out.append((start, 3, end))
             done = end
         else:
@@ -212,7 +215,8 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row of ``docs``, repeated ones too.
 
     A null or empty text has no spans. ``spans`` lists kind:start:end, in code points, by start: the fixed patterns and
-    the ``value`` spans, those of credential contexts whose value takes 10^8 guesses or more.
+    the ``value`` spans, those of credential contexts whose value takes 10^8 guesses or more; after a bare space or "is", a word
+    of letters alone, in small ones or in capitals but for its first, counts from 10^16, as prose goes on so. A value that meets a fixed pattern's span has no span of its own.
     """
     found = scanner(words)(F.col(text))
     return docs.select(F.col(doc_id).alias("doc_id"), found.alias("found")).select("doc_id", "found.*")

@@ -109,3 +109,10 @@ def test_the_work_on_long_values_is_bounded():
     assert secrets.log_guesses("xK9#vQ2$mT" * 2 + "Wq" * 200_000, RANKS, 8.0) >= 8
     assert abs(secrets.log_guesses("a" * 50_000, RANKS, 8.0) - (1.1 + 4.69897)) < 1e-3
     assert len(values("pwd:x!" * 20_000)) == 1 and values("pwd:" * 100_000) == []
+
+
+def test_letters_and_few_characters_count_by_their_cost():
+    assert values("pwd: xKqZvWtYbRnMpLdF") == values("bearer xKqZvWtYbRnMpLdF") == ["xKqZvWtYbRnMpLdF"]
+    assert values("bearer QxZvRtYpLmNbKjHg, pwd is 'xqzvkwjyb'") == ["QxZvRtYpLmNbKjHg", "xqzvkwjyb"]
+    assert values("passcode=1001101000110") == ["1001101000110"]
+    assert values("pwd: passwordsecretadmin; token=" + "*" * 30 + "\nthe secret ingredients, a token representatives gave") == []
