@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr".split())
-RAW = set("script style title textarea iframe noscript template svg math object embed canvas audio video select xmp noframes".split())
+RAW = set("script style title textarea iframe noscript template xmp noframes".split())  # up to their end tag, without tags
+#: Elements that hold tags, and no text of the page.
+FOREIGN = set("svg math object canvas audio video select".split())
 BOILER = set("nav aside footer form button fieldset label dialog menu head".split())
 ARTICLE = set("article main".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -27,6 +29,10 @@ TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
+#: What no element of ``FOREIGN`` holds: an end tag behind it is another one's. And the options of a select.
+OUTER = re.compile(r"</?(?:article|main|body|html)(?=[\s/>])", re.I)
+OPTIONS = re.compile(r"(?:\s*</?(?:option|optgroup)(?=[\s/>])[^>]*>[^<]*)*", re.I)
+
 FEATURES = ["words", "link", "words_before", "link_before", "words_after", "link_after", "boiler", "article", "heading"]
 #: The labelled table: features of blocks of pages in general use, and 1 where the block is main text. Fixed values.
 LABELLED = [
@@ -140,8 +146,27 @@ class Blocks:
                 return  # a stray end tag closes nothing outside of its article
 
 
+class Ends:
+    """Where the elements of ``FOREIGN`` that have an end tag of their own end; those without one are as if empty."""
+
+    def __init__(self, html: str):
+        self.html, self.found = html, {}
+
+    def of(self, tag: str, start: int) -> int | None:
+        if tag not in self.found:
+            ends, waiting = {}, []
+            for m in re.finditer(rf"<(/?){tag}(?=[\s/>])[^>]*>?", self.html, re.I):
+                if not m[1]:
+                    waiting.append(m.start())
+                elif waiting:
+                    ends[waiting.pop()] = m.end()
+            self.found[tag] = ends
+        end = self.found[tag].get(start)
+        return None if end is None or OUTER.search(self.html, start, end) else end
+
+
 def blocks_of(html: str) -> Blocks:
-    out, at = Blocks(), 0
+    out, at, ends = Blocks(), 0, Ends(html)
     while m := TAG.search(html, at):
         if m.start() > at:
             out.text(html[at : m.start()])
@@ -151,11 +176,16 @@ def blocks_of(html: str) -> Blocks:
             continue
         tag = tag.lower()
         if close:
-            out.end(tag)
+            if tag not in FOREIGN:
+                out.end(tag)
         elif tag in RAW:
             if not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
+            out.flush()
+        elif tag in FOREIGN:
+            if not attributes.endswith("/"):
+                at = ends.of(tag, m.start()) or (OPTIONS.match(html, at).end() if tag == "select" else at)
             if tag not in ("svg", "math", "canvas"):
                 out.flush()
         else:

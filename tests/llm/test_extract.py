@@ -51,3 +51,15 @@ def test_odd_pages(llm):
     assert len(out) == len(rows) and [r["text"] for r in out if r["page_id"] == 5] == ["\n".join(["x y z"] * 20_000)]
     assert {r["text"] for r in out if r["page_id"] in (1, 2, 6, 7)} == {""}
     assert extract.extracted(df.limit(0)).count() == 0
+
+
+def test_elements_without_an_end_tag():
+    tree = extract.trained()
+    for tag in ("embed", "object", "audio", "video", "canvas", "select", "svg", "math"):
+        page = f"<article><p>One here.</p><{tag} id=1><p>Two here.</p></article><aside><{tag}><b>no</b></{tag}></aside><article><p>Three here.</p></article>"
+        assert extract.main_text_of(page, tree) == "One here.\nTwo here.\nThree here.", tag
+        if tag != "embed":
+            page = f"<article><p>One here.</p><{tag}><b>no</b><{tag}>no</{tag}>no</{tag}><p>Two here.</p></article>"
+            assert extract.main_text_of(page, tree) == "One here.\nTwo here.", tag
+    page = "<article><p>One here.<select><option>A<option>B</option></p><p>Two <svg><path d=1></svg>here.</p></article>"
+    assert extract.main_text_of(page, tree) == "One here.\nTwo here."
