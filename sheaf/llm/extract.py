@@ -14,7 +14,7 @@ INLINE = set(
 RAW = set("script style title textarea iframe noscript template xmp noframes".split())  # up to their end tag, without tags
 #: Elements that hold tags, and no text of the page.
 FOREIGN = set("svg math object canvas audio video select".split())
-BOILER = set("nav aside footer form button fieldset label dialog menu head".split())
+BOILER = set("nav aside footer button fieldset label dialog menu head".split())
 ARTICLE = set("article main".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 BOILER_NAMES = set(
@@ -23,6 +23,11 @@ BOILER_NAMES = set(
     "reply replies discussion disqus share sharing social related recommended newsletter subscribe signup login search "
     "pagination pager toolbar widget teaser tags".split())
 ARTICLE_NAMES = set("article post entry story content maincontent articlebody body text".split())
+#: Words behind the head word of a name, and the names of parts that hold articles of others.
+PLACES = set("area list item items bar box block section container wrap wrapper inner outer link links button buttons posts form left right top bottom primary secondary".split())
+OF_OTHERS = set("comment comments respond reply replies discussion disqus related recommended".split())
+#: A form holds article text if it holds an article, a first heading, or so many words in blocks of so many.
+FORM_WORDS, FORM_BLOCK = 40, 20
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 
 TAG = re.compile(
@@ -48,6 +53,12 @@ LABELLED = [
     (60, 0.0, 12, 0.0, 70, 0.0, 1, 0, 0, 0), (35, 0.0, 40, 0.0, 38, 0.0, 1, 1, 0, 0), (2, 0.0, 35, 0.0, 1, 0.0, 1, 0, 1, 0),
     (5, 0.0, 90, 0.0, 28, 0.0, 1, 1, 1, 0), (7, 0.8, 6, 0.9, 7, 0.7, 0, 0, 0, 0), (10, 1.0, 11, 1.0, 9, 1.0, 0, 0, 0, 0),
     (90, 0.0, 60, 0.0, 85, 0.0, 1, 0, 0, 0), (120, 0.0, 4, 0.0, 95, 0.0, 1, 0, 0, 0), (150, 0.1, 80, 0.0, 0, 0.0, 1, 1, 0, 0),
+    # parts whose names leave it in doubt, and forms around articles: their short and linked text, then their articles
+    (2, 1.0, 3, 1.0, 4, 1.0, 0.5, 0, 0, 0), (5, 0.8, 6, 0.9, 7, 0.7, 0.5, 0, 0, 0), (4, 0.0, 3, 1.0, 6, 0.0, 0.5, 0, 0, 0),
+    (8, 0.0, 5, 0.0, 0, 0.0, 0.5, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0.5, 0, 0, 0), (6, 0.9, 3, 1.0, 40, 0.0, 0.5, 0, 0, 0),
+    (60, 0.0, 50, 0.0, 70, 0.0, 0.5, 0, 0, 1), (45, 0.1, 40, 0.0, 30, 0.0, 0.5, 1, 0, 1), (80, 0.0, 7, 0.0, 60, 0.0, 0.5, 0, 0, 1),
+    (22, 0.0, 60, 0.0, 55, 0.0, 0.5, 1, 0, 1), (6, 0.0, 70, 0.0, 52, 0.0, 0.5, 1, 0, 1), (35, 0.0, 8, 0.0, 38, 0.0, 0.5, 0, 0, 1),
+    (7, 0.0, 2, 1.0, 60, 0.0, 0.5, 0, 1, 1), (5, 0.0, 40, 0.0, 55, 0.0, 0.5, 1, 1, 1), (30, 0.0, 0, 0.0, 45, 0.0, 0.5, 0, 0, 1),
     # reader comments
     (25, 0.0, 3, 0.5, 18, 0.0, 1, 0, 0, 0), (40, 0.0, 2, 1.0, 33, 0.0, 1, 1, 0, 0), (3, 0.5, 40, 0.0, 25, 0.0, 1, 0, 0, 0),
     (70, 0.0, 4, 0.0, 66, 0.0, 1, 0, 0, 0), (2, 0.0, 50, 0.0, 12, 0.0, 1, 0, 1, 0), (1, 0.0, 20, 0.0, 30, 0.0, 1, 1, 0, 0),
@@ -73,29 +84,63 @@ LABELLED = [
 ]
 
 
-def names_of(attributes: str) -> tuple[set[str], bool]:
-    """Parts of class and id names and roles of a tag, and whether it is hidden."""
-    names, hidden = set(), False
+def mark_of(name: str) -> float:
+    """1 if a class or id is a name of boilerplate, or its head word is; 0.5 if another part of it is, which says little; else 0."""
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    if not set(parts) & BOILER_NAMES:
+        return 0.0
+    if parts[-1] in BOILER_NAMES or parts[0] == "comment":
+        return 1.0
+    head = list(parts)
+    while len(head) > 1 and (head[-1] in PLACES or head[-1].isdigit()):
+        head.pop()
+    return 1.0 if head[-1] in BOILER_NAMES and not set(parts) & ARTICLE_NAMES else 0.5
+
+
+def names_of(attributes: str) -> tuple[set[str], bool, float, bool]:
+    """Parts of class and id names and roles of a tag, whether it is hidden, how its names mark it, and whether as holding articles of others."""
+    names, hidden, mark, others = set(), False, 0.0, False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
         elif name == "role":
-            hidden |= value in ROLES
+            hidden |= value in ROLES - {"form"}
+            mark = max(mark, float(value == "form"))
         elif name in ("class", "id"):
             for word in value.split():
-                if not re.match(r"(has|with|no|without|is|not)[-_]", word):
-                    names.update(re.split(r"[-_]+", word))
-    return names, hidden
+                if not re.match(r"(has|with|no|without|is|not|category|tag|tax|type|format|status)[-_]", word):
+                    own = set(re.split(r"[-_]+", word))
+                    names |= own
+                    mark = max(mark, mark_of(word))
+                    others |= bool(own & OF_OTHERS)
+    return names, hidden, mark, others
+
+
+class Mark:
+    """What an open element's name, or its being a form, says of the text in it; what it turns out to hold can lower it."""
+
+    def __init__(self, value: float, form: bool, others: bool):
+        self.value, self.form, self.others, self.words = value, form, others, 0
+
+    def holds_article(self, tag: str):
+        if tag == "main" or not self.others:
+            self.value = 0.0
+
+    def holds_text(self, words: int, link: float, heading: int):
+        if self.form and self.value == 1.0:
+            self.words += words if words >= FORM_BLOCK and link < 0.5 else 0
+            if heading == 1 or self.words >= FORM_WORDS:
+                self.value = 0.5
 
 
 class Blocks:
     """Collects the text blocks of a page, with what stands open around each."""
 
     def __init__(self):
-        self.open: list[tuple[str, bool, bool]] = []  # (tag, is boilerplate, is article)
-        self.parts, self.linked, self.in_link, self.heading = [], 0, 0, False
-        self.texts, self.rows = [], []
+        self.open: list[tuple[str, bool, bool, Mark | None]] = []  # (tag, is boilerplate, is article, mark)
+        self.parts, self.linked, self.in_link, self.heading = [], 0, 0, 0
+        self.texts, self.found = [], []
 
     def text(self, raw: str):
         value = unescape(raw) if "&" in raw else raw
@@ -109,10 +154,20 @@ class Blocks:
             if own:
                 words, text = len(own), " ".join(own)
                 boiler, article = any(x[1] for x in self.open), any(x[2] for x in self.open)
+                link, marks = min(1.0, self.linked / max(1, words)), [x[3] for x in self.open if x[3]]
+                if not boiler:
+                    for i, mark in enumerate(marks):
+                        if not any(x.value == 1.0 and not x.form for x in marks[i + 1 :]):
+                            mark.holds_text(words, link, self.heading)
                 self.texts.append(text)
-                self.rows.append((words, min(1.0, self.linked / max(1, words)), boiler, article, self.heading))
+                self.found.append((words, link, boiler, marks, article, self.heading > 0))
         self.parts, self.linked = [], 0
 
+    @property
+    def rows(self) -> list[tuple]:
+        """Of each block its words, share of links, 1 if it is in boilerplate or 0.5 if that is in doubt, and whether in an article and a heading."""
+        return [(w, link, 1.0 if b else max((m.value for m in marks), default=0.0), a, h) for w, link, b, marks, a, h in self.found]
+
     def start(self, tag: str, attributes: str):
         if tag in INLINE:
             self.in_link += tag == "a"
@@ -121,23 +176,28 @@ class Blocks:
             return
         self.flush()
         self.in_link = 0
-        self.heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+        self.heading = int(tag[1]) if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" else 0
         if tag in VOID or attributes.endswith("/"):
             return
-        names, hidden = names_of(attributes) if attributes else (set(), False)
+        names, hidden, mark, others = names_of(attributes) if attributes else (set(), False, 0.0, False)
         article = tag in ARTICLE or bool(names & ARTICLE_NAMES)
-        boiler = tag in BOILER or hidden or tag not in ("html", "body", "main") and bool(names & BOILER_NAMES)
+        boiler = tag in BOILER or hidden
+        mark = 1.0 if tag == "form" else 0.0 if tag in ("html", "body", "main", "article") else mark
+        if tag in ARTICLE:
+            for x in self.open:
+                if x[3]:
+                    x[3].holds_article(tag)
         boiler |= tag == "header" and not any(x[2] for x in self.open)
         if tag == "p" and self.open and self.open[-1][0] == "p":
             self.open.pop()
-        self.open.append((tag, boiler, article and not boiler))
+        self.open.append((tag, boiler, article and not boiler and mark < 1, Mark(mark, tag == "form", others) if mark else None))
 
     def end(self, tag: str):
         if tag in INLINE:
             self.in_link = max(0, self.in_link - (tag == "a"))
             return
         self.flush()
-        self.in_link, self.heading = 0, False
+        self.in_link, self.heading = 0, 0
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 del self.open[i:]

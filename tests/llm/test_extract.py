@@ -63,3 +63,26 @@ def test_elements_without_an_end_tag():
             assert extract.main_text_of(page, tree) == "One here.\nTwo here.", tag
     page = "<article><p>One here.<select><option>A<option>B</option></p><p>Two <svg><path d=1></svg>here.</p></article>"
     assert extract.main_text_of(page, tree) == "One here.\nTwo here."
+
+
+def test_names_and_forms_around_an_article():
+    tree = extract.trained()
+    text = [" ".join(f"w{i}" for i in range(n)) for n in (40, 60, 30)]
+    body = "<h1>A head line here</h1>" + "".join(f"<p>{t}</p>" for t in text)
+    want = "\n".join(["A head line here", *text])
+    menu = "<ul class=nav-links><li><a href=a>One</a><li><a href=b>Two</a></ul>"
+    article = f"<article class='post tag-search category-social sidebar'>{body}</article>"
+    comments = "<div id=comments class=comments-area><article class=comment-body><p>I do not agree with this at all, and here is a long reason for that.</p></article></div>"
+    for page in (
+        article,
+        f"<div class='content-sidebar-wrap'>{article}{comments}</div>",
+        f"<div class='sidebar'><div class=social-banner>{article}</div></div>",
+        f"<form id=aspnetForm>{menu}{article}</form>",
+        f"<form id=aspnetForm>{menu}<div>{body}</div></form>",
+        f"<div class='content-sidebar-wrap'>{menu}<div>{body}</div></div>",
+        f"<div class='post tag-search category-social'>{body}</div>",
+        f"<div class=social-stream>{menu}<main>{body}{comments}</main></div>",
+    ):
+        assert extract.main_text_of(f"<body>{menu}{page}<footer>All rights are with us.</footer></body>", tree) == want, page
+    for name in ("sidebar", "primary-sidebar", "sidebar-2", "cookie-notice", "comments-area", "share-buttons", "related-posts"):
+        assert extract.main_text_of(f"<body>{article}<div class={name}><p>{text[0]}</p><p>{text[2]}</p></div></body>", tree) == want, name
