@@ -75,7 +75,8 @@ def part_of(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_ROWS) -> np.ndarray:
     """Weights from a sample of up to ``most`` labelled documents outside the held-out part.
 
-    The sample is the labelled ids with the smallest hashes, so it is the same on each run. It is dealt to ``FITS`` tasks
+    The sample is the labelled ids with the smallest hashes, so it is the same on each run, and of rows that share an id
+    the one whose text has the smallest hash, so it has no more rows than ids. It is dealt to ``FITS`` tasks
     that each fit a model, and the models are averaged: at most ``BUCKETS`` + 1 numbers reach the driver. Null
     labels and ids labelled both ways are left out; without any label all weights are zero, and all scores 0.5.
     """
@@ -86,6 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         .orderBy("__at", "__id").limit(most)
     )
     sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(known), "__id")
+    sample = sample.groupBy("__id", "__y", "__at").agg(F.min(F.struct(F.xxhash64("__text").alias("hash"), "__text"))["__text"].alias("__text"))
     parts = (
         sample.repartition(FITS, "__at").sortWithinPartitions("__at", F.xxhash64("__text")).select("__text", "__y")
         .mapInArrow(fitted, "bucket long, weight double")

@@ -42,3 +42,11 @@ def test_odd_rows(llm, odd, none):
     assert quality.scored(none, labels).count() == 0
     kept = quality.accepted(odd, labels.limit(0))
     assert kept.columns == odd.columns and kept.count() == odd.count()
+
+
+def test_repeated_rows_of_an_id_are_fitted_once(llm):
+    docs, labels = (llm.read.parquet(f"{DATA}/{t}.parquet").select("doc_id", c) for t, c in (("documents", "text"), ("labels", "quality")))
+    known = labels.filter("quality in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").groupBy("doc_id").count().filter("count = 1")
+    one = docs.join(known.orderBy("doc_id").limit(1).select("doc_id"), "doc_id")
+    once, often = quality.train(docs, labels), quality.train(docs.union(one.crossJoin(llm.range(300)).select("doc_id", "text")), labels)
+    assert one.count() == 1 and np.count_nonzero(once) and np.allclose(once, often)
