@@ -17,12 +17,18 @@ from sheaf.sources import objectstore
 from sheaf.streaming.collect import run_stream, settled_results
 
 
+def _with_own(fields, *own: str):
+    """JSON text of the given fields (texts and columns) behind the page's own ones, named as in ``own`` ("column as name")."""
+    fields = [F.lit(x) if isinstance(x, str) else x for x in fields]
+    return F.concat(F.regexp_replace(F.to_json(F.struct(*[F.expr(x) for x in own])), r"\}$", ","), *fields, F.lit("}"))
+
+
 @check("text_spaces", """
 select page_id, 'td' as tag, chr(160) as text from pages
 union all select page_id, 'pre', concat('x', page_id, '  ', chr(10), ' c') from pages""")
 def text_spaces(fx: Inputs) -> DataFrame:
     """A no-break space is text, and any open ``pre`` keeps white space."""
-    text = F.concat(F.lit("<td>&nbsp;</td><pre>x"), "page_id", F.lit("<b>  \n </b>c</pre>"))
+    text = F.concat("html", F.lit("<td>&nbsp;</td><pre>x"), "page_id", F.lit("<b>  \n </b>c</pre>"))
     trees = parse_html(fx.table("pages").withColumn("html", text))
     return html.find_all(trees, "td").unionByName(html.find_all(trees, "pre")).select("page_id", "tag", "text")
 
@@ -30,21 +36,22 @@ def text_spaces(fx: Inputs) -> DataFrame:
 @check("verified_nulls", """
 select page_id, case page_id%3 when 1 then 'jobId: string expected' when 2 then 'params: string{k:string} expected' end as reason from pages""")
 def verified_nulls(fx: Inputs) -> DataFrame:
-    raw = F.when(F.col("page_id") % 3 == 0, '{"jobId":null,"headers":null,"url":"u"}').when(
-        F.col("page_id") % 3 == 1, '{"jobId":5}').otherwise('{"body":null,"params":{"a":1}}')
+    raw = F.when(F.col("page_id") % 3 == 0, _with_own(['"jobId":null,"headers":null'], "url", "html as body")).when(
+        F.col("page_id") % 3 == 1, _with_own(['"jobId":5'], "url", "html as body")).otherwise(_with_own(['"body":null,"params":{"a":1}'], "url", "html as jobId"))
     return intake.verify_tasks(fx.table("pages").select("page_id", raw.alias("raw")), "raw").select("page_id", "reason")
 
 
 @check("coerced_falsy", "select page_id, case page_id%3 when 2 then 'headers: object expected' end as reason from pages")
 def coerced_falsy(fx: Inputs) -> DataFrame:
-    raw = F.when(F.col("page_id") % 3 == 0, '{"url":"u","headers":false,"params":""}').when(
-        F.col("page_id") % 3 == 1, '{"headers":0,"params":null}').otherwise('{"headers":"x"}')
+    own = "url", "html as body"
+    raw = F.when(F.col("page_id") % 3 == 0, _with_own(['"headers":false,"params":""'], *own)).when(
+        F.col("page_id") % 3 == 1, _with_own(['"headers":0,"params":null'], *own)).otherwise(_with_own(['"headers":"x"'], *own))
     return intake.coerced(fx.table("pages").select("page_id", raw.alias("raw")), "raw").select("page_id", "reason")
 
 
 @check("requests_repeated_keys", "select page_id, concat('v',page_id) as url, cast(null as string) as reason from pages")
 def requests_repeated_keys(fx: Inputs) -> DataFrame:
-    raw = F.concat(F.lit('{"url":"u","headers":{},"url":"v'), "page_id", F.lit('"}'))
+    raw = _with_own(['"headers":{},"url":"v', F.col("page_id").cast("string"), '"'], "url", "html as note")
     parsed = intake.parse_requests(fx.table("pages").select("page_id", raw.alias("raw")), "raw")
     return intake.with_reason(parsed).select("page_id", "url", "reason")
 
