@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheaf.llm.words import NON_SPACE, Words, chunks, texts_of
 
@@ -49,22 +50,33 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
     return weights(np.arange(BUCKETS + 1))
 
 
-def fitted(batches):
-    """Arrow batches (text, label) of one part of the sample, in order, to (bucket, weight) rows."""
-    rows = []
-    for batch in batches:
-        data, offsets = texts_of(batch.column(0))
-        labels = batch.column(1).to_pylist()
-        for at, to in chunks(offsets):
-            buckets, text = features(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
-            for j in range(to - at):
-                own, count = np.unique(buckets[text == j], return_counts=True)
-                x = np.append(count / np.sqrt(max(1, count.sum())), 1.0)
-                rows.append((np.append(own, BUCKETS), x, labels[at + j]))
-    if rows:
-        w = fit(rows)
-        at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["bucket", "weight"])
+@F.arrow_udf(T.BinaryType())
+def packed(texts: pa.Array) -> pa.Array:
+    """Each text's buckets, as 32-bit numbers, and behind them as many 32-bit values: its counts over the root of their sum."""
+    out = []
+    data, offsets = texts_of(texts)
+    for at, to in chunks(offsets):
+        buckets, text = features(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        order = np.argsort(text, kind="stable")
+        edges = np.searchsorted(text[order], np.arange(to - at + 1))
+        for j in range(to - at):
+            own, count = np.unique(buckets[order[edges[j] : edges[j + 1]]], return_counts=True)
+            out.append(own.astype("<i4").tobytes() + (count / np.sqrt(max(1, count.sum()))).astype("<f4").tobytes())
+    return pa.array(out, pa.binary())
+
+
+def unpacked(row: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and values of a packed row, and behind them the bias's."""
+    half = len(row) // 8
+    return np.append(np.frombuffer(row, "<i4", half), BUCKETS), np.append(np.frombuffer(row, "<f4", half, half * 4), 1.0)
+
+
+def fitted(part: pa.Table) -> pa.Table:
+    """One part of the sample, (row, y, at, part), to one row: how many rows it has, and its weights that are not zero, packed."""
+    part = part.sort_by([("at", "ascending"), ("row", "ascending")])
+    w = fit([(*unpacked(row), y) for row, y in zip(part["row"].to_pylist(), part["y"].to_pylist())])
+    at = np.flatnonzero(w)
+    return pa.table({"n": pa.array([len(part)], pa.int64()), "buckets": pa.array([at.astype("<i4").tobytes()]), "weights": pa.array([w[at].astype("<f8").tobytes()])})
 
 
 def part_of(doc_id: Column) -> Column:
@@ -76,25 +88,27 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Weights from a sample of up to ``most`` labelled documents outside the held-out part.
 
     The sample is the labelled ids with the smallest hashes, so it is the same on each run, and of rows that share an id
-    the one whose text has the smallest hash, so it has no more rows than ids. It is dealt to ``FITS`` tasks
-    that each fit a model, and the models are averaged: at most ``BUCKETS`` + 1 numbers reach the driver. Null
-    labels and ids labelled both ways are left out; without any label all weights are zero, and all scores 0.5.
+    the one whose text has the smallest hash, so it has no more rows than ids. A hash of the id deals it to ``FITS`` parts that
+    each fit a model, and the models are averaged by the rows they were fitted on: so the weights do not depend on how
+    rows are partitioned. Tasks get the rows' buckets, not their texts: at most 2 MB a row, however long its text. Up to ``FITS``
+    rows of packed weights reach the driver. Null labels and ids labelled both ways are left out; without any label all
+    weights are zero, and all scores 0.5.
     """
     known = (
         labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & (part_of(F.col(doc_id)) != HELD_OUT))
-        .groupBy(F.col(doc_id).alias("__id")).agg(F.min(label).alias("__y"), F.max(label).alias("__most"))
-        .filter(F.col("__y") == F.col("__most")).select("__id", F.col("__y").cast("int"), F.xxhash64("__id").alias("__at"))
-        .orderBy("__at", "__id").limit(most)
+        .groupBy(F.col(doc_id).alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("most"))
+        .filter(F.col("y") == F.col("most")).select("id", F.col("y").cast("int"), F.xxhash64("id").alias("at"))
+        .orderBy("at", "id").limit(most)
     )
-    sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(known), "__id")
-    sample = sample.groupBy("__id", "__y", "__at").agg(F.min(F.struct(F.xxhash64("__text").alias("hash"), "__text"))["__text"].alias("__text"))
-    parts = (
-        sample.repartition(FITS, "__at").sortWithinPartitions("__at", F.xxhash64("__text")).select("__text", "__y")
-        .mapInArrow(fitted, "bucket long, weight double")
+    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")
+    sample = sample.groupBy("id", "y", "at").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
+    models = (
+        sample.select(packed("text").alias("row"), "y", "at", F.pmod("at", F.lit(FITS)).alias("part"))
+        .groupBy("part").applyInArrow(fitted, "n long, buckets binary, weights binary").collect()
     )
     out = np.zeros(BUCKETS + 1)
-    found = parts.groupBy("bucket").agg((F.sum("weight") / FITS).alias("weight")).toPandas()
-    out[found["bucket"].to_numpy(np.int64)] = found["weight"].to_numpy()
+    for m in models:
+        out[np.frombuffer(m["buckets"], "<i4")] += np.frombuffer(m["weights"], "<f8") * (m["n"] / sum(x["n"] for x in models))
     return out
 
 
@@ -124,6 +138,6 @@ def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` scored 0.5 or more."""
+    """The rows of ``docs`` scored 0.5 or more, with all their columns, whatever these are named."""
     score = scorer(docs, train(docs, labels, doc_id, text))
-    return docs.withColumn("__score", score(F.col(text))).filter(F.col("__score") >= 0.5).select(*docs.columns)
+    return docs.filter(score(F.col(text)) >= 0.5)

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -50,3 +51,52 @@ def test_repeated_rows_of_an_id_are_fitted_once(llm):
     one = docs.join(known.orderBy("doc_id").limit(1).select("doc_id"), "doc_id")
     once, often = quality.train(docs, labels), quality.train(docs.union(one.crossJoin(llm.range(300)).select("doc_id", "text")), labels)
     assert one.count() == 1 and np.count_nonzero(once) and np.allclose(once, often)
+
+
+def by_hand(rows, rounds=quality.ROUNDS):
+    """The updates, one coordinate at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        a = z.get(i, 0.0)
+        return 0.0 if abs(a) <= quality.L1 else ((quality.L1 if a > 0 else -quality.L1) - a) / (
+            (quality.BETA + n.get(i, 0.0) ** 0.5) / quality.ALPHA + quality.L2)
+
+    for _ in range(rounds):
+        for x, y in rows:
+            old = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(old[i] * v for i, v in x.items())))))
+            for i, v in x.items():
+                g = (p - y) * v
+                now = n.get(i, 0.0) + g * g
+                z[i] = z.get(i, 0.0) + g - (now ** 0.5 - n.get(i, 0.0) ** 0.5) / quality.ALPHA * old[i]
+                n[i] = now
+    return {i: weight(i) for i in z}
+
+
+def test_updates_equal_those_by_hand():
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(60):
+        at = np.unique(rng.integers(0, 50, rng.integers(0, 9)))
+        rows.append((np.append(at, quality.BUCKETS), np.append(rng.random(len(at)), 1.0), int(rng.integers(0, 2))))
+    found = quality.fit(rows)
+    expected = by_hand([(dict(zip(i.tolist(), x.tolist())), y) for i, x, y in rows])
+    out = np.zeros(quality.BUCKETS + 1)
+    out[list(expected)] = list(expected.values())
+    assert np.allclose(found, out)
+
+
+def test_the_model_does_not_depend_on_partitions(llm):
+    docs, labels = (llm.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    old = llm.conf.get("spark.sql.shuffle.partitions")
+    models = []
+    try:
+        for n in (1, 4, 211):
+            llm.conf.set("spark.sql.shuffle.partitions", str(n))
+            models.append(quality.train(docs.repartition(n), labels.repartition(n)))
+            models.append(quality.train(docs.repartition(n), labels.repartition(n), most=4))
+    finally:
+        llm.conf.set("spark.sql.shuffle.partitions", old)
+    assert all((a == models[0]).all() for a in models[::2]) and all((a == models[1]).all() for a in models[1::2])
+    assert np.count_nonzero(models[1])
