@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontaminate, extract, lines, mixing, quality, revisits, secrets, simhash, tokens, urlfilter
+from sheaf.llm import crosstoken, decontaminate, extract, lines, mixing, quality, revisits, secrets, simhash, tokens, urlfilter
 from sheaf.llm.words import tuned
 from sheaf.session import scratch
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PAIR = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -176,3 +177,10 @@ def op10(spark, pages):
     found = revisits.resolved(archive(pages))
     text = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     return found.withColumn("headers", text)
+
+
+@query("op13_alignment", "documents")
+def op13(spark, documents):
+    """Groups as a digest, which is empty where a text has no tokens."""
+    rows = crosstoken.aligned(documents, *PAIR)
+    return rows.withColumn("groups_sha256", F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")).drop("groups")
