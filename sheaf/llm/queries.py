@@ -3,10 +3,12 @@
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sheaf.llm import crosstoken, decontaminate, extract, lines, mixing, quality, revisits, secrets, simhash, tokens, urlfilter
+from sheaf.llm import crosstoken, decontaminate, extract, lines, mixing, periodic, quality, revisits, secrets, simhash, tokens, urlfilter
 from sheaf.llm.words import tuned
 from sheaf.session import scratch
 
@@ -179,6 +181,34 @@ def op10(spark, pages):
     return found.withColumn("headers", text)
 
 
+@F.arrow_udf(T.StringType())
+def repeated(texts: pa.Array, seeds: pa.Array) -> pa.Array:
+    """Texts whose words from some place on are made to repeat with a period, both taken from the seed; of a null a null."""
+    out = []
+    for text, g in zip(texts.cast(pa.large_binary()).to_pylist(), seeds.to_pylist()):
+        words = text.split() if text else []
+        if words:
+            a = g % len(words)
+            p = 1 + (len(words) - a) // (3 + g % 8)
+            words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+        out.append(None if text is None else b" ".join(words).decode())
+    return pa.array(out, pa.string())
+
+
+@query("op12_periodic_runs", "documents")
+def op12(spark, documents):
+    """Runs of the documents, a tenth of which are made periodic. A null id plants nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    planted = repeated(F.when(h % 10 == 0, F.col("text")), F.floor(h / 10).cast("long"))
+    rows = periodic.runs(documents.select("doc_id", F.coalesce(planted, "text").alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return rows.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.floor(1000 * F.col("best.length") / -F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 @query("op13_alignment", "documents")
 def op13(spark, documents):
     """Groups as a digest, which is empty where a text has no tokens."""

@@ -35,8 +35,8 @@ def lowered(byte: int) -> int:
 
 #: Words of letters, digits and all non-ASCII characters, A-Z lower-cased.
 ALNUM = class_table({b: lowered(b) for b in range(256) if b >= 128 or chr(b).isalnum()})
-#: Words of anything but ASCII white space.
-NON_SPACE = class_table({b: b for b in range(256) if b not in SPACES})
+#: Words of anything but ASCII white space. The byte 0 becomes a tab, which no word has.
+NON_SPACE = class_table({b: b or 9 for b in range(256) if b not in SPACES})
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +78,7 @@ class Words:
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, groups: np.ndarray | None = None):
+        self.data, self.offsets = data, offsets
         self.bytes, self.n = table[data], len(offsets) - 1
         kind = (self.bytes != 0).astype(np.uint8) if groups is None else groups[data]
         edge = np.ones(len(data) + 1, bool)
@@ -109,3 +110,17 @@ class Words:
             h = h * np.uint64(FACTOR) + words[i : i + n]
         at = np.flatnonzero(self.text[:n] == self.text[k - 1 :])
         return mix(h[at] + np.uint64(k)), at
+
+    def joined(self, kept: np.ndarray) -> pa.Array:
+        """Of each text the kept words, joined by one space."""
+        at = np.flatnonzero(kept)
+        size = np.zeros(len(self.data) + 1, np.int8)
+        np.add.at(size, self.starts[at], 1)
+        np.add.at(size, self.ends[at], -1)
+        inside = np.cumsum(size[:-1], dtype=np.int8) > 0
+        out = self.data.copy()
+        gaps = self.ends[at[:-1]][self.text[at[:-1]] == self.text[at[1:]]]  # behind words with one to follow in their text
+        out[gaps] = 32
+        inside[gaps] = True
+        edges = np.append(0, np.cumsum(inside))[self.offsets]
+        return pa.Array.from_buffers(pa.large_string(), self.n, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(out[inside])]).cast(pa.string())
