@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm import crosstoken, decontaminate, extract, lines, mixing, periodic, quality, revisits, secrets, simhash, tokens, urlfilter
+from sheaf.llm import crosstoken, decontaminate, extract, lines, mixing, periodic, quality, revisits, secrets, simhash, substrings, tokens, urlfilter
 from sheaf.llm.words import tuned
 from sheaf.session import scratch
 
@@ -181,6 +181,12 @@ def op10(spark, pages):
     return found.withColumn("headers", text)
 
 
+@query("op11_substrings", "documents")
+def op11(spark, documents):
+    rows = substrings.deduplicated(documents)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @F.arrow_udf(T.StringType())
 def repeated(texts: pa.Array, seeds: pa.Array) -> pa.Array:
     """Texts whose words from some place on are made to repeat with a period, both taken from the seed; of a null a null."""
