@@ -13,7 +13,7 @@ from sheaf.plans.checks_results import RUN, _store, _writes, task_log
 from sheaf.plans.fixtures import Inputs
 from sheaf.session import scratch
 from sheaf.sources import log as logs
-from sheaf.sources import objectstore
+from sheaf.sources import commits, objectstore
 from sheaf.streaming.collect import run_stream, settled_results
 
 
@@ -169,7 +169,7 @@ def results_twice(fx: Inputs) -> DataFrame:
     rows = fx.tasks().select("job_id", "scrape_type", F.date_format("enqueued_at", "yyyy-MM-dd").alias("day"), "page_id")
     for _ in range(2):
         results.store_results(rows, rows.drop("page_id"), path)
-    read = results.results_by_kind(fx.spark.read.parquet(f"{path}/raw"), fx.spark.read.parquet(f"{path}/structured"))
+    read = results.results_by_kind(results.read_results(rows, path, "raw"), results.read_results(rows.drop("page_id"), path, "structured"))
     return read.groupBy("scrape_type", "kind").agg(F.count("*").alias("n"))
 
 
@@ -296,3 +296,73 @@ def collect_fetched(fx: Inputs) -> DataFrame:
     made = collect.run_fetched(task_log(fx), _fake_session, before, wait=0)
     contents = made.objects.select("object_key", F.md5("content").alias("digest"))
     return made.outcomes.join(contents, "object_key", "left").select("job_id", "outcome", "attempts", "digest")
+
+
+GROWN = """select object_key, case when object_key like 'team/%' then md5('second') else md5(html) end as digest from fx_objects
+union all select job_id, md5(case when page_id%3=0 then 'again' else job_id end) from fx_objects join fx_tasks using (job_id) where page_id%5<>0"""
+
+
+def _grown(fx: Inputs) -> str:
+    """A store folded twice, with puts and removals between and after; its files grow from one folding to the next."""
+    path, bare = _store(fx), fx.tasks().select(F.col("job_id").alias("object_key"), "page_id")
+    objectstore.compact_objects(fx.spark, path)
+    again = bare.filter("page_id % 3 = 0").select(
+        "object_key", F.lit(b"again").alias("content"), F.lit("text/plain").alias("content_type"), F.lit(1).cast("long").alias("seq"))
+    objectstore.put_objects(fx.spark, path, again)
+    objectstore.remove_objects(fx.spark, path, bare.filter("page_id % 10 = 0"))
+    objectstore.compact_objects(fx.spark, path)
+    objectstore.remove_objects(fx.spark, path, bare.filter("page_id % 10 = 5"))
+    return path
+
+
+@check("store_compacted", f"select * from ({GROWN})")
+def store_compacted(fx: Inputs) -> DataFrame:
+    """Folding changes no result, and nothing that was replaced comes back once it is deleted."""
+    path = _grown(fx)
+    objectstore.compact_objects(fx.spark, path)
+    commits.vacuum(fx.spark, path, older_than=0)
+    return objectstore.live_objects(fx.spark, path).select("object_key", F.md5("content").alias("digest"))
+
+
+@check("store_grown", f"select * from ({GROWN}) union all select concat('none/',job_id), md5('') from fx_objects")
+def store_grown(fx: Inputs) -> DataFrame:
+    """Gets from a store in part folded, of keys that are there and keys that are not."""
+    path, names = _grown(fx), fx.view("fx_objects").select("object_key", "job_id")
+    kept = fx.tasks().filter("page_id % 5 <> 0").select(F.col("job_id").alias("object_key"))
+    asked = names.select("object_key").unionByName(kept).unionByName(names.select(F.concat(F.lit("none/"), "job_id").alias("object_key")))
+    return objectstore.get_stored(fx.spark, path, asked).select("object_key", F.md5("content").alias("digest"))
+
+
+@check("store_two_writers", """
+select object_key, md5(html) as digest from fx_objects union all select concat('b/',job_id), md5(job_id) from fx_objects
+union all select 'both', md5('second')""")
+def store_two_writers(fx: Inputs) -> DataFrame:
+    """Two puts, each written before the other is committed, and a folding that began before either: all is kept."""
+    spark, path = fx.spark, scratch(fx.spark, "objects")
+    first = _writes(fx)
+    bare = fx.view("fx_objects").select(
+        F.concat(F.lit("b/"), "job_id").alias("object_key"), F.encode("job_id", "UTF-8").alias("content"), F.lit("t").alias("content_type"),
+        F.lit(0).cast("long").alias("seq"))
+    both = spark.createDataFrame([("both", b"first", "t", 0), ("both", b"second", "t", 1)], "object_key string, content binary, content_type string, seq long")
+    written = []
+    for rows in (first.unionByName(both.filter("seq = 1")), bare.unionByName(both.filter("seq = 0"))):
+        at = commits.unfinished(path)
+        rows.withColumn("length", F.octet_length("content").cast("long")).write.parquet(at)
+        written.append(at)
+    for at in written:
+        commits.finish(spark, at, path, commits.PUT)
+    return objectstore.live_objects(spark, path).select("object_key", F.md5("content").alias("digest"))
+
+
+@check("results_moved_day", """
+select job_id, scrape_type, case when page_id%2=0 then '2030-01-01' else strftime(enqueued_at,'%Y-%m-%d') end as day, unnest(['raw','structured']) as kind
+from fx_tasks""")
+def results_moved_day(fx: Inputs) -> DataFrame:
+    """Every second job is stored again on another day: its first row is gone, also once the table is folded."""
+    path = scratch(fx.spark, "results")
+    rows = fx.tasks().select("job_id", "scrape_type", F.date_format("enqueued_at", "yyyy-MM-dd").alias("day"), "page_id")
+    moved = rows.filter("page_id % 2 = 0").withColumn("day", F.lit("2030-01-01"))
+    for made in (rows, moved):
+        results.store_results(made, made.drop("page_id"), path)
+    results.compact_results(rows, path, "raw")
+    return results.results_by_kind(results.read_results(rows, path, "raw"), results.read_results(rows.drop("page_id"), path, "structured"))

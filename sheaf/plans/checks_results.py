@@ -103,8 +103,8 @@ def stored_results(fx: Inputs) -> DataFrame:
     keep = ("job_id", "scrape_type", "day")
     records = extract_records(parse_html(raw, keep=keep), collect.PAGE_RECORD, keep=keep)
     results.store_results(raw, records, path)
-    read = results.results_by_kind(fx.spark.read.parquet(f"{path}/raw"), fx.spark.read.parquet(f"{path}/structured"))
-    return read.groupBy("scrape_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "kind").agg(F.count("*").alias("n"))
+    read = results.results_by_kind(results.read_results(raw, path, "raw"), results.read_results(records, path, "structured"))
+    return read.groupBy("scrape_type", "day", "kind").agg(F.count("*").alias("n"))
 
 
 @check("completions", """

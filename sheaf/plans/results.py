@@ -4,8 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.schema import NOT_READY
-from sheaf.session import few_rows, settled, settled_ids
-from sheaf.sources.objectstore import ensure_table, stored_of
+from sheaf.session import few_rows, settled_ids
+from sheaf.sources import commits
+from sheaf.sources.objectstore import stored_of
 
 
 def results_by_kind(raw: DataFrame, structured: DataFrame) -> DataFrame:
@@ -16,19 +17,21 @@ def results_by_kind(raw: DataFrame, structured: DataFrame) -> DataFrame:
 
 
 def store_results(raw: DataFrame, structured: DataFrame, path: str) -> None:
-    """Puts both kinds into their tables, in folders by scrape type and day; a job stored again replaces its rows.
+    """Puts both kinds into their tables; a job stored again replaces its row, whatever scrape type and day that one had.
 
-    Only the folders that get rows are read and rewritten, so storing a run twice changes nothing.
+    Each is appended as a commit of its own, so what is stored is neither read nor rewritten.
     """
-    by = ["scrape_type", "day"]
     for kind, rows in (("raw", raw), ("structured", structured)):
-        spark, at, new = rows.sparkSession, f"{path}/{kind}", settled(rows)
-        ensure_table(spark, at, new.schema, by=tuple(by))
-        folders = few_rows(settled_ids(new.select(*by).distinct()))
-        old = spark.read.schema(new.schema).parquet(at).join(folders, by, "left_semi")
-        kept = old.join(few_rows(settled_ids(new.select("job_id").distinct())), "job_id", "left_anti").select(*new.columns)
-        kept.unionByName(new).hint("rebalance", *by).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(at)
+        commits.append(rows, f"{path}/{kind}")
+
+
+def read_results(like: DataFrame, path: str, kind: str) -> DataFrame:
+    """The stored results of a kind, one row per job, with the columns of ``like``."""
+    return commits.current(like.sparkSession, f"{path}/{kind}", like.schema, "job_id")
+
+
+def compact_results(like: DataFrame, path: str, kind: str) -> None:
+    commits.compact(like.sparkSession, f"{path}/{kind}", like.schema, "job_id")
 
 
 def completions(results: DataFrame, finished: str, earlier: DataFrame | None = None) -> DataFrame:
@@ -52,7 +55,7 @@ def poll(job_ids: DataFrame, completions: DataFrame, objects: DataFrame) -> Data
 
 
 def poll_stored(job_ids: DataFrame, completions: DataFrame, path: str) -> DataFrame:
-    """``poll`` against the object store at ``path``: of it only the folders of the hits are read."""
+    """``poll`` against the object store at ``path``: of it only the hits are read."""
     asked, hits = _hits(job_ids, completions)
     return _answer(asked, hits, stored_of(job_ids.sparkSession, path, hits))
 

@@ -1,16 +1,17 @@
-"""The object store: Parquet by prefix and day, one row per object."""
+"""The object store: Parquet commits, one row per object once they are folded."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from sheaf.operators.objects import get_objects, list_objects, upsert_objects
+from sheaf.operators.objects import get_objects, list_objects
 from sheaf.schema import OBJECT
-from sheaf.session import few_rows, settled_ids
+from sheaf.session import settled_ids
+from sheaf.sources import commits
 
-STORED = StructType([*OBJECT.fields, StructField("prefix", StringType()), StructField("day", StringType())])
-NO_PART = "-"
-BUCKETS = 256
+KEY, ORDER = "object_key", ["seq"]
+#: Up to so many asked keys are listed in the scan's filters and looked up in the files' key ranges.
+MOST_LISTED = 200
 
 
 def ensure_table(spark: SparkSession, path: str, schema: StructType, strict: bool = False,
@@ -20,94 +21,52 @@ def ensure_table(spark: SparkSession, path: str, schema: StructType, strict: boo
     empty.write.mode("errorifexists" if strict else "ignore").partitionBy(*by).parquet(path)
 
 
-def placed(objects: DataFrame) -> DataFrame:
-    """Adds the folder columns. A key that is not dated (a bare job id) goes to one of 256 folders by its hash, so that
-    a put of some of them rewrites those folders alone."""
-    key = F.col("object_key")
-    day = F.regexp_extract(key, r"^[^/]+/(\d{4}/\d{2}/\d{2})/", 1)
-    return objects.withColumn("prefix", F.when(day != "", F.substring_index(key, "/", 1)).otherwise(NO_PART)).withColumn(
-        "day", F.when(day != "", F.replace(day, F.lit("/"), F.lit("-"))).otherwise(
-            F.concat(F.lit(NO_PART), F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("string"))))
-
-
-def read_objects(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORED).parquet(path)
-
-
 def put_objects(spark: SparkSession, path: str, writes: DataFrame) -> None:
     """Stores (object_key, content, content_type, seq), replacing objects of the same key unless they have a higher seq.
 
-    Only the folders that get a write are read and rewritten. Where the new keys are few, the
-    objects that stay go straight from their old files to their new ones, without a shuffle.
+    The rows are appended as a commit of their own: nothing stored is read, rewritten or locked, and of two writers at
+    once both are kept. Which row counts is settled when objects are read.
     """
-    ensure_table(spark, path, STORED, by=("prefix", "day"))
-    keys = settled_ids(writes.select("object_key").distinct())
-    current = _touched(spark, path, keys)
-    small = few_rows(keys)
-    new = placed(upsert_objects(current.join(small, "object_key", "left_semi"), writes)).select(*STORED.fieldNames())
-    kept = current.join(small, "object_key", "left_anti").select(*STORED.fieldNames())
-    if small is keys:
-        _rewrite(_by_folder(kept.unionByName(new)), path)
-    else:
-        _rewrite(kept.unionByName(_by_folder(new)), path)
+    commits.append(writes.withColumn("length", F.octet_length("content").cast("long")).select(*OBJECT.fieldNames()), path)
 
 
 def remove_objects(spark: SparkSession, path: str, keys: DataFrame) -> None:
-    """Deletes by key. A folder keeps a row for each deleted key with null content and length, so a folder
-    that lost all objects is rewritten as well; readers see only rows with a length."""
-    gone = settled_ids(keys.select("object_key").distinct())
-    small = few_rows(gone)
-    marked = _touched(spark, path, gone).join(small.withColumn("_gone", F.lit(True)), "object_key", "left")
-    stays = F.col("_gone").isNull()
-    rows = marked.withColumns({c: F.when(stays, F.col(c)) for c in ("content", "length")}).select(*STORED.fieldNames())
-    _rewrite(_by_folder(rows) if small is gone else rows, path)
+    """Deletes by key what was stored before; a later put stores anew, whatever its seq."""
+    commits.append(keys.select(KEY).distinct(), path, commits.REMOVAL)
+
+
+def compact_objects(spark: SparkSession, path: str) -> None:
+    """Folds puts and removals into files sorted by key. Files without a changed key stay as they are."""
+    commits.compact(spark, path, OBJECT, KEY, ORDER)
 
 
 def live_objects(spark: SparkSession, path: str) -> DataFrame:
-    return read_objects(spark, path).filter(F.col("length").isNotNull())
+    return commits.current(spark, path, OBJECT, KEY, ORDER)
 
 
 def list_stored(spark: SparkSession, path: str, prefix: str = "anon") -> DataFrame:
-    """Keys below a prefix: only its folders (and those of undated keys) are read, and no contents."""
-    first, dated, _ = prefix.partition("/")
-    folder = F.col("prefix") == first if dated else F.startswith(F.col("prefix"), F.lit(first))
-    return list_objects(live_objects(spark, path).filter(folder | (F.col("prefix") == NO_PART)), prefix)
+    """Keys below a prefix: contents are not read, and the prefix prunes what is sorted by key."""
+    rows = commits.current(spark, path, StructType([OBJECT[KEY], OBJECT["seq"]]), KEY, ORDER, where=F.startswith(F.col(KEY), F.lit(prefix)))
+    return list_objects(rows, prefix)
 
 
 def get_stored(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """Content of each asked key, from the folders of these keys alone; a missing object gives empty bytes."""
-    asked = settled_ids(keys.select("object_key").distinct())
+    """Content of each asked key; a missing object gives empty bytes."""
+    asked = settled_ids(keys.select(KEY).distinct())
     return get_objects(asked, stored_of(spark, path, asked))
 
 
 def stored_of(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """Stored objects in the folders that hold the keys."""
-    return _touched(spark, path, keys.select("object_key")).filter(F.col("length").isNotNull())
-
-
-MAX_LISTED = 10_000
-
-
-def _touched(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """Stored objects of the folders that hold any of the keys.
-
-    A list of up to 10,000 folders goes into the scan as partition filters; more are joined.
-    """
-    stored = read_objects(spark, path)
-    folders = settled_ids(placed(keys).select("prefix", "day").distinct())
-    listed = folders.limit(MAX_LISTED + 1).collect()
-    if len(listed) <= MAX_LISTED:
-        stored = stored.filter(F.col("prefix").isin(sorted({f.prefix for f in listed}))
-                               & F.col("day").isin(sorted({f.day for f in listed})))
-    return stored.join(few_rows(folders), ["prefix", "day"], "left_semi")
-
-
-def _by_folder(rows: DataFrame) -> DataFrame:
-    return rows.hint("rebalance", "prefix", "day")
-
-
-def _rewrite(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix", "day").parquet(path)
+    """Stored objects of settled keys. A few keys are filters of the scan, and of folded commits only the files whose key
+    range may hold one are opened; there a Bloom filter of the keys, which Parquet keeps for each row group, tells most contents apart unread."""
+    asked = settled_ids(keys.select(KEY).distinct())
+    found = commits.live(spark, path)
+    listed = [r[0] for r in asked.limit(MOST_LISTED + 1).collect()]
+    if len(listed) > MOST_LISTED:
+        return commits.current(spark, path, OBJECT, KEY, ORDER, found, asked=asked)
+    listed = [k for k in listed if k is not None]
+    files = commits.files_of(spark, path, found, listed) if found.of(commits.FOLDED) and listed else None
+    return commits.current(spark, path, OBJECT, KEY, ORDER, found, files=files, where=F.col(KEY).isin(listed))
 
 
 def read_files(spark: SparkSession, path: str, with_content: bool = True) -> DataFrame:

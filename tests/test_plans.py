@@ -1,5 +1,7 @@
 """Plans that must hold at scale, with automatic broadcasts off so that only checked hints count."""
 
+import os
+
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -9,9 +11,9 @@ from sheaf.operators import extract, groups, html, objects, requests, zset
 from sheaf.plans import collect, results
 from sheaf.plans.catalog import QUERIES
 from sheaf.plans.checks_results import _store, task_log
-from sheaf.session import few_rows, row_bytes
+from sheaf.session import few_rows, row_bytes, scratch
 from sheaf.sources import log as logs
-from sheaf.sources import objectstore
+from sheaf.sources import commits, objectstore
 from sheaf.streaming.collect import raw_results
 
 
@@ -99,7 +101,7 @@ def test_large_sides_are_not_broadcast(spark):
 
 WRITERS = (
     "collect_stream", "collect_late", "collect_catch_up", "dedup_streamed", "put_objects", "removed_objects", "results", "results_twice",
-    "store_get", "store_list", "store_poll", "store_late_write")
+    "store_get", "store_list", "store_poll", "store_late_write", "store_compacted", "store_grown", "store_two_writers", "results_moved_day")
 
 
 @pytest.fixture(scope="module")
@@ -107,26 +109,79 @@ def store(spark, fx):
     return _store(fx)
 
 
-def test_store_reads_only_the_folders_asked_for(spark, fx, store):
-    bare = fx.view("fx_objects").select(F.col("job_id").alias("object_key")).limit(2)
-    text = plan(objectstore.get_stored(spark, store, bare))
-    assert "PartitionFilters: [prefix" in text or "isnotnull(prefix" in text and "prefix#" in text.split("PartitionFilters: [")[1].split("]")[0]
+OBJECTS = "object_key string, content binary, content_type string, seq long"
 
 
-def test_a_listing_reads_no_contents(spark, store):
-    text = plan(objectstore.list_stored(spark, store, "team/"))
-    assert "content:binary" not in text and "prefix" in text.split("PartitionFilters: [")[1].split("]")[0]
+def files_below(path):
+    return {os.path.relpath(os.path.join(d, f), path) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet") and "_ranges" not in d}
 
 
-def test_an_undated_put_leaves_other_folders_alone(spark, store):
-    def files():
-        return {f"{r['prefix']}/{r['day']}/{r['f']}" for r in objectstore.read_objects(spark, store).select(
-            "prefix", "day", F.col("_metadata.file_name").alias("f")).distinct().collect()}
+@pytest.fixture(scope="module")
+def folded(spark):
+    """A store of 4000 objects in several files sorted by key, and a later put of two."""
+    path = scratch(spark, "objects")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    objectstore.put_objects(spark, path, spark.range(4000).selectExpr(
+        "format_string('k%05d', id) as object_key", "cast(repeat(cast(id as string), 50) as binary) as content", "'t' as content_type", "0L as seq"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    objectstore.compact_objects(spark, path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    objectstore.put_objects(spark, path, spark.createDataFrame([("k00007", b"new", "t", 1), ("other", b"x", "t", 1)], OBJECTS))
+    return path
+
+
+def test_a_put_writes_its_own_rows_alone(spark, folded):
+    before = {f: os.stat(os.path.join(folded, f)).st_mtime_ns for f in files_below(folded)}
+    row = spark.createDataFrame([("k00001", b"y", "t", 3)], OBJECTS).coalesce(1)
+    objectstore.put_objects(spark, folded, row)
+    after = {f: os.stat(os.path.join(folded, f)).st_mtime_ns for f in files_below(folded)}
+    assert before.items() <= after.items() and len(after) == len(before) + 1
+    source = plan(row)
+    assert "Exchange" not in source
+    objectstore.remove_objects(spark, folded, row)
+    objectstore.put_objects(spark, folded, row)
+
+
+def test_a_get_opens_only_files_that_may_hold_its_keys(spark, folded):
+    found = commits.live(spark, folded)
+    ranges = {r["file"]: (r["lo"], r["hi"]) for r in commits.ranges(spark, folded, found).collect()}
+    assert len(ranges) > 2
+    keys = ["k00007", "k00009", "k00010", "none"]
+    may = {f for f, (lo, hi) in ranges.items() if any(lo <= k <= hi for k in keys)}
+    assert may and len(may) < len(ranges)
+    asked = spark.createDataFrame([(k,) for k in keys], "object_key string")
+    opened = {"/".join(f.split("/")[-2:]) for f in objectstore.stored_of(spark, folded, asked).inputFiles()}
+    assert {f for f in opened if f in ranges} == may
+    got = {r["object_key"]: bytes(r["content"]) for r in objectstore.get_stored(spark, folded, asked).collect()}
+    assert got == {"k00007": b"new", "k00009": b"9" * 50, "k00010": b"10" * 50, "none": b""}
+    assert "PushedFilters: [In(object_key" in plan(objectstore.stored_of(spark, folded, asked))
+
+
+def test_many_keys_and_few_give_the_same(spark, folded, monkeypatch):
+    asked = spark.range(0, 4200, 70).selectExpr("format_string('k%05d', id) as object_key")
+    few = {tuple(r) for r in objectstore.get_stored(spark, folded, asked).collect()}
+    monkeypatch.setattr(objectstore, "MOST_LISTED", 3)
+    assert few == {tuple(r) for r in objectstore.get_stored(spark, folded, asked).collect()}
+
+
+def test_folding_rewrites_only_files_with_changed_keys(spark, folded):
+    before = commits.live(spark, folded)
+    ranges = {r["file"]: (r["lo"], r["hi"]) for r in commits.ranges(spark, folded, before).collect()}
+    objectstore.compact_objects(spark, folded)
+    after = commits.live(spark, folded)
+    kept = {r["file"] for r in commits.ranges(spark, folded, after).collect()}
+    changed = {f for f, (lo, hi) in ranges.items() if any(lo <= k <= hi for k in ("k00001", "k00007"))}
+    assert set(ranges) - kept == changed and not after.of(commits.PUT) and not after.of(commits.REMOVAL)
+    n = objectstore.live_objects(spark, folded).select("object_key")
+    assert n.count() == n.distinct().count() == 4001
+    assert commits.compact(spark, folded, objectstore.OBJECT, "object_key", ["seq"]) is None
+    gone = commits.vacuum(spark, folded, older_than=0)
+    assert gone and commits.vacuum(spark, folded, older_than=0) == [] and objectstore.live_objects(spark, folded).count() == 4001
 
-    before = files()
-    objectstore.put_objects(spark, store, spark.createDataFrame([("new-job", bytearray(b"x"), "text/plain", 1)], "object_key string, content binary, content_type string, seq long"))
-    after = files()
-    assert len(before - after) <= 1 and 1 <= len(after - before) <= 2
+
+def test_a_listing_reads_no_contents(spark, store):
+    text = plan(objectstore.list_stored(spark, store, "team/"))
+    assert "content:binary" not in text and "StringStartsWith(object_key,team/)" in text
 
 
 def test_captures_are_not_sorted_or_shuffled_with_their_contents(fx):
