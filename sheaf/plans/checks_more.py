@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.operators import attempts, changes, codec, groups, html, intake, requests
+from sheaf.operators import attempts, changes, codec, groups, html, intake, intervals, requests
 from sheaf.operators.extract import Field, extract_records
 from sheaf.operators.html import parse_html
 from sheaf.plans import collect, results
@@ -11,9 +11,9 @@ from sheaf.plans.check import check
 from sheaf.plans.checks_fetch import CLASS, METHOD, REQUEST_URL, _fake_session
 from sheaf.plans.checks_results import RUN, _store, _writes, task_log
 from sheaf.plans.fixtures import Inputs
-from sheaf.session import scratch
+from sheaf.session import scratch, settled
 from sheaf.sources import log as logs
-from sheaf.sources import commits, objectstore
+from sheaf.sources import commits, objectstore, zsets
 from sheaf.streaming.collect import run_stream, settled_results
 
 
@@ -366,3 +366,60 @@ def results_moved_day(fx: Inputs) -> DataFrame:
         results.store_results(made, made.drop("page_id"), path)
     results.compact_results(rows, path, "raw")
     return results.results_by_kind(results.read_results(rows, path, "raw"), results.read_results(rows.drop("page_id"), path, "structured"))
+
+
+def _sets(fx: Inputs, path: str) -> None:
+    """Scores of the first half folded; then those of the second half, and members removed and one of them added again."""
+    scores, names = fx.view("fx_scores"), fx.view("fx_scores").select("set_name", "member").distinct()
+    half = scores.agg(F.max("seq")).first()[0] // 2
+    zsets.zadd_stored(fx.spark, path, scores.filter(F.col("seq") <= half))
+    zsets.fold_sets(fx.spark, path)
+    zsets.zadd_stored(fx.spark, path, scores.filter(F.col("seq") > half))
+    zsets.zremove_stored(fx.spark, path, names.filter("member like '%7}'"))
+    zsets.zadd_stored(fx.spark, path, names.filter("member like '%17}'").select("set_name", "member", F.lit(50.0).alias("score"), F.lit(0).alias("seq")))
+
+
+SETS = """
+with kept as (select set_name, member, arg_max(score, seq) as score from fx_scores where member not like '%7}' group by 1, 2
+ union all select distinct set_name, member, 50.0 from fx_scores where member like '%17}'),
+placed as (select *, row_number() over (partition by set_name order by score, member)-1 as rank, count(*) over (partition by set_name) as size from kept)
+"""
+
+
+@check("zrange_stored", SETS + "select set_name, member, score, rank from placed where rank between 4 and 12")
+def zrange_stored(fx: Inputs) -> DataFrame:
+    """A window in the middle of stored sets, before the changes are folded in."""
+    path = scratch(fx.spark, "sets")
+    _sets(fx, path)
+    return zsets.zrange_stored(fx.spark, path, 4, 12)
+
+
+@check("zrange_stored_desc", SETS + "select set_name, member, score, size-1-rank as rank from placed where size-1-rank between 2 and size-3")
+def zrange_stored_desc(fx: Inputs) -> DataFrame:
+    """All but a few members in reverse, once all changes are folded in."""
+    path = scratch(fx.spark, "sets")
+    _sets(fx, path)
+    zsets.fold_sets(fx.spark, path)
+    return zsets.zrange_stored(fx.spark, path, 2, -3, desc=True)
+
+
+@check("group_next_intervals", """
+select channel, msg_id, payload from (select s.*, row_number() over (partition by channel order by msg_id) as rn
+ from fx_stream s anti join fx_deliveries d using (channel, msg_id)) where rn<=6""")
+def group_next_intervals(fx: Inputs) -> DataFrame:
+    """Two reads of three entries a channel, the second one from the first one's state."""
+    log = fx.view("fx_stream")
+    state = settled(intervals.as_intervals(fx.view("fx_deliveries"), log))
+    first, after = intervals.read_group_intervals(log, state, "scrape-all", 3)
+    second, _ = intervals.read_group_intervals(log, settled(after), "scrape-all", 3)
+    return first.unionByName(second).select("channel", "msg_id", "payload")
+
+
+@check("pending_intervals", """
+select d.grp, d.channel, d.msg_id from fx_deliveries d
+ left join fx_acks a on a.grp=d.grp and a.channel=d.channel and a.msg_id=d.msg_id where a.msg_id is null""")
+def pending_intervals(fx: Inputs) -> DataFrame:
+    """The entries of what is left of the delivered intervals once the acknowledged ones are taken out."""
+    log = fx.view("fx_stream")
+    delivered, acked = (settled(intervals.as_intervals(fx.view(v), log)) for v in ("fx_deliveries", "fx_acks"))
+    return intervals.entries_in(log, intervals.pending_intervals(delivered, acked))

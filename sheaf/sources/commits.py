@@ -146,22 +146,44 @@ def current(
     return folded.join(touched, key, "left_anti").unionByName(newest(changed, removals, key, order)).select(*schema.fieldNames())
 
 
-def ranges(spark: SparkSession, path: str, found: Live) -> DataFrame:
-    """(file, lo, hi, n) of all live files of folded commits."""
+def ranges(spark: SparkSession, path: str, found: Live, schema: str) -> DataFrame:
+    """The tables of all live files of folded commits; ``file`` is ``commit/file``."""
     commits = found.of(FOLDED)
     if not commits:
-        return spark.createDataFrame([], "file string, lo string, hi string, n long")
-    rows = spark.read.schema("file string, lo string, hi string, n long").parquet(*[f"{path}/{c.name}/{RANGES}" for c in commits])
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(*[f"{path}/{c.name}/{RANGES}" for c in commits])
     gone = [f"{c}/{f}" for c, fs in found.rewritten.items() for f in fs]
     commit = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)/{RANGES}/", 1)
     return rows.withColumn("file", F.concat_ws("/", commit, "file")).filter(~F.col("file").isin(gone))
 
 
-def files_of(spark: SparkSession, path: str, found: Live, keys: list[str]) -> list[str]:
+def key_ranges(spark: SparkSession, path: str, found: Live, schema: T.StructType, key: str) -> DataFrame:
+    """(file, lo, hi, n): the least and the greatest key of each live file of folded commits."""
+    kind = schema[key].dataType.simpleString()
+    return ranges(spark, path, found, f"file string, lo {kind}, hi {kind}, n long")
+
+
+def files_of(spark: SparkSession, path: str, found: Live, schema: T.StructType, key: str, keys: list) -> list[str]:
     """The files of folded commits whose range may hold one of a few keys."""
-    asked = F.array(*[F.lit(k) for k in keys])
+    asked = F.array(*[F.lit(k) for k in keys]).cast(T.ArrayType(schema[key].dataType))
     meets = F.exists(asked, lambda k: k.between(F.col("lo"), F.col("hi")))
-    return [r[0] for r in ranges(spark, path, found).filter(meets).select("file").collect()]
+    return [r[0] for r in key_ranges(spark, path, found, schema, key).filter(meets).select("file").collect()]
+
+
+#: Up to so many asked keys are listed in the scan's filters and looked up in the files' key ranges.
+MOST_LISTED = 200
+
+
+def picked(spark: SparkSession, path: str, schema: T.StructType, key: str, order: list[str], asked: DataFrame) -> DataFrame:
+    """The rows that count of settled, distinct keys. A few keys are filters of the scan, and of folded commits only the files whose key
+    range may hold one are opened; there a Bloom filter of the keys, which Parquet keeps for each row group, tells most others apart unread."""
+    found = live(spark, path)
+    listed = [r[0] for r in asked.select(key).limit(MOST_LISTED + 1).collect()]
+    if len(listed) > MOST_LISTED:
+        return current(spark, path, schema, key, order, found, asked=asked)
+    listed = [k for k in listed if k is not None]
+    files = files_of(spark, path, found, schema, key, listed) if found.of(FOLDED) and listed else None
+    return current(spark, path, schema, key, order, found, files=files, where=F.col(key).isin(listed))
 
 
 def compact(spark: SparkSession, path: str, schema: T.StructType, key: str, order: list[str] = []) -> str | None:
@@ -176,15 +198,22 @@ def compact(spark: SparkSession, path: str, schema: T.StructType, key: str, orde
     keys = settled_ids(read(spark, path, T.StructType([schema[key]]), found, (PUT, REMOVAL)).select(key).distinct())
     files = _holding(spark, path, T.StructType([schema[key]]), key, found, keys)
     rows = current(spark, path, schema, key, order, found, files=files)
+    written = rows.repartitionByRange(key).sortWithinPartitions(key).write.option(
+        f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+
+    def listed(kept: DataFrame) -> DataFrame:
+        return kept.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n"))
+
+    return fold(spark, path, written, schema, listed, [c.name for c in later] + files, max(c.at for c in found.commits))
+
+
+def fold(spark: SparkSession, path: str, written, schema: T.StructType, listed, replaces: list[str], number: int) -> str:
+    """Commits what a writer has to write in place of other commits and files, with a table of its files that ``listed`` makes."""
     at = unfinished(path)
-    (rows.repartitionByRange(key).sortWithinPartitions(key).write
-     .option(f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(at))
-    kept = spark.read.schema(schema).parquet(at)
-    kept.groupBy(F.col("_metadata.file_name").alias("file")).agg(
-        F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n")).write.parquet(f"{at}/{RANGES}")
-    names = [c.name for c in later] + files
-    spark.createDataFrame([(n,) for n in names], "name string").write.json(f"{at}/{REPLACES}")
-    return finish(spark, at, path, FOLDED, max(c.at for c in found.commits))
+    written.parquet(at)
+    listed(spark.read.schema(schema).parquet(at)).write.parquet(f"{at}/{RANGES}")
+    spark.createDataFrame([(n,) for n in replaces], "name string").write.json(f"{at}/{REPLACES}")
+    return finish(spark, at, path, FOLDED, number)
 
 
 def _holding(spark: SparkSession, path: str, schema: T.StructType, key: str, found: Live, keys: DataFrame) -> list[str]:

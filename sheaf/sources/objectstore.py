@@ -10,8 +10,6 @@ from sheaf.session import settled_ids
 from sheaf.sources import commits
 
 KEY, ORDER = "object_key", ["seq"]
-#: Up to so many asked keys are listed in the scan's filters and looked up in the files' key ranges.
-MOST_LISTED = 200
 
 
 def ensure_table(spark: SparkSession, path: str, schema: StructType, strict: bool = False,
@@ -57,16 +55,8 @@ def get_stored(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
 
 
 def stored_of(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """Stored objects of settled keys. A few keys are filters of the scan, and of folded commits only the files whose key
-    range may hold one are opened; there a Bloom filter of the keys, which Parquet keeps for each row group, tells most contents apart unread."""
-    asked = settled_ids(keys.select(KEY).distinct())
-    found = commits.live(spark, path)
-    listed = [r[0] for r in asked.limit(MOST_LISTED + 1).collect()]
-    if len(listed) > MOST_LISTED:
-        return commits.current(spark, path, OBJECT, KEY, ORDER, found, asked=asked)
-    listed = [k for k in listed if k is not None]
-    files = commits.files_of(spark, path, found, listed) if found.of(commits.FOLDED) and listed else None
-    return commits.current(spark, path, OBJECT, KEY, ORDER, found, files=files, where=F.col(KEY).isin(listed))
+    """Stored objects of the keys."""
+    return commits.picked(spark, path, OBJECT, KEY, ORDER, settled_ids(keys.select(KEY).distinct()))
 
 
 def read_files(spark: SparkSession, path: str, with_content: bool = True) -> DataFrame:

@@ -101,7 +101,7 @@ def test_large_sides_are_not_broadcast(spark):
 
 WRITERS = (
     "collect_stream", "collect_late", "collect_catch_up", "dedup_streamed", "put_objects", "removed_objects", "results", "results_twice",
-    "store_get", "store_list", "store_poll", "store_late_write", "store_compacted", "store_grown", "store_two_writers", "results_moved_day")
+    "store_get", "store_list", "store_poll", "store_late_write", "store_compacted", "store_grown", "store_two_writers", "results_moved_day", "zrange_stored", "zrange_stored_desc")
 
 
 @pytest.fixture(scope="module")
@@ -144,7 +144,7 @@ def test_a_put_writes_its_own_rows_alone(spark, folded):
 
 def test_a_get_opens_only_files_that_may_hold_its_keys(spark, folded):
     found = commits.live(spark, folded)
-    ranges = {r["file"]: (r["lo"], r["hi"]) for r in commits.ranges(spark, folded, found).collect()}
+    ranges = {r["file"]: (r["lo"], r["hi"]) for r in commits.key_ranges(spark, folded, found, objectstore.OBJECT, "object_key").collect()}
     assert len(ranges) > 2
     keys = ["k00007", "k00009", "k00010", "none"]
     may = {f for f, (lo, hi) in ranges.items() if any(lo <= k <= hi for k in keys)}
@@ -160,16 +160,16 @@ def test_a_get_opens_only_files_that_may_hold_its_keys(spark, folded):
 def test_many_keys_and_few_give_the_same(spark, folded, monkeypatch):
     asked = spark.range(0, 4200, 70).selectExpr("format_string('k%05d', id) as object_key")
     few = {tuple(r) for r in objectstore.get_stored(spark, folded, asked).collect()}
-    monkeypatch.setattr(objectstore, "MOST_LISTED", 3)
+    monkeypatch.setattr(commits, "MOST_LISTED", 3)
     assert few == {tuple(r) for r in objectstore.get_stored(spark, folded, asked).collect()}
 
 
 def test_folding_rewrites_only_files_with_changed_keys(spark, folded):
     before = commits.live(spark, folded)
-    ranges = {r["file"]: (r["lo"], r["hi"]) for r in commits.ranges(spark, folded, before).collect()}
+    ranges = {r["file"]: (r["lo"], r["hi"]) for r in commits.key_ranges(spark, folded, before, objectstore.OBJECT, "object_key").collect()}
     objectstore.compact_objects(spark, folded)
     after = commits.live(spark, folded)
-    kept = {r["file"] for r in commits.ranges(spark, folded, after).collect()}
+    kept = {r["file"] for r in commits.key_ranges(spark, folded, after, objectstore.OBJECT, "object_key").collect()}
     changed = {f for f, (lo, hi) in ranges.items() if any(lo <= k <= hi for k in ("k00001", "k00007"))}
     assert set(ranges) - kept == changed and not after.of(commits.PUT) and not after.of(commits.REMOVAL)
     n = objectstore.live_objects(spark, folded).select("object_key")
