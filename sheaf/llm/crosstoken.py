@@ -15,10 +15,12 @@ from pyspark.taskcontext import TaskContext
 from sheaf.llm.words import mix
 from sheaf.session import settled
 
-#: Where both tokenizers start anew, if they split at spaces at all: a single space between two other characters.
-CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A unit of text: white space and what follows it up to the next. Characters 28 to 31 are white space to Python, and not to the tokenizers.
+UNIT = re.compile(r"\s*\S+|\s+")
+BEHIND = re.compile(r"\S(\s)")
+ODD = "\x1c\x1d\x1e\x1f"
 #: Units in a task's memory, and their characters; distinct units whose pairs are counted at a time.
-MOST_UNITS, MOST_CHARS, COUNTED = 200_000, 16 << 20, 100_000
+MOST_UNITS, MOST_CHARS, COUNTED = 500_000, 16 << 20, 100_000
 #: Counts are summed in blocks of so many, in two steps of which the first has so many ways.
 BLOCK, WAYS = 4096, 64
 B_BITS = 32
@@ -44,11 +46,11 @@ class ByteLevel:
         spec, table = json.loads(spec), byte_table()
         self.bytes = {i: bytes(table[c] for c in t) for t, i in spec["model"]["vocab"].items()}
         split = spec.get("pre_tokenizer") or {}
-        # the library's own pattern takes a space only as the first character of a piece
+        # the library's own pattern joins nothing to white space behind it
         self.at_spaces = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    def encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(" " + text, add_special_tokens=False).ids
 
 
 class Pieces:
@@ -61,75 +63,94 @@ class Pieces:
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = {
             i: bytes([int(t[3:5], 16)]) if self.model.is_byte(i) else t.replace("\u2581", " ").encode() for i, t in enumerate(names)}
-        # no piece has a space behind another character, so none reaches over a cut
-        self.at_spaces = not any(re.search("[^\u2581]\u2581", t) for t in names)
+        #: White space that some piece joins to something before it.
+        self.joined = {c for t in names for c in BEHIND.findall(t.replace("\u2581", " "))}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode(text, num_threads=1)
 
 
 class Unit:
-    """What the tokenizers make of a piece of text: how many tokens, the groups as text, and the pairs that end together.
-
-    ``pairs`` is None where the tokens do not spell the text.
-    """
+    """What the tokenizers make of a piece of text: how many tokens, the groups as text, and the pairs that end together, as 64-bit numbers."""
 
     __slots__ = ("n_a", "n_b", "groups", "pairs", "n_links", "n_best", "count_sum")
 
-    def __init__(self, text: str, a: list[int], b: list[int], a_bytes: dict, b_bytes: dict):
-        whole = (" " + text).encode()
-        self.n_a, self.n_b, self.groups, self.pairs = len(a), len(b), "", None
-        self.n_links, self.n_best, self.count_sum = 0, None, None
-        if not text or b"".join([a_bytes[i] for i in a]) != whole or b"".join([b_bytes[i] for i in b]) != whole:
-            return
-        groups, pairs, i, j = [], [], 0, 0
-        y, ahead = -1, 0  # B's token, and by how many bytes it ends behind A's
-        for x, token in enumerate(a):
-            ahead -= len(a_bytes[token])
-            while ahead < 0:
-                y += 1
-                ahead += len(b_bytes[b[y]])
-            if not ahead:
-                groups.append(",".join(map(str, a[i : x + 1])) + "|" + ",".join(map(str, b[j : y + 1])))
-                pairs.append(token << B_BITS | b[y])
-                i, j = x + 1, y + 1
-        self.groups, self.n_links, self.pairs = ";".join(groups), len(groups), np.array(pairs, np.int64)
+    def __init__(self, n_a: int, n_b: int, groups: str, pairs: bytes):
+        self.n_a, self.n_b, self.groups, self.pairs = n_a, n_b, groups, pairs
+        self.n_links, self.n_best, self.count_sum = len(pairs) // 8, None, None
+
+
+def pairs_of(units) -> np.ndarray:
+    return np.frombuffer(b"".join([u.pairs for u in units]), np.int64)
 
 
 class Aligner:
-    """One task's two tokenizers, and the units of text they have met."""
+    """One task's two tokenizers, and the units of text they have met. Units have their ``groups`` if asked for."""
 
-    def __init__(self, a_spec: str, b_model: bytes):
+    def __init__(self, a_spec: str, b_model: bytes, with_groups: bool = True):
+        self.with_groups = with_groups
         self.a, self.b = ByteLevel(a_spec), Pieces(b_model)
-        self.in_units = self.a.at_spaces and self.b.at_spaces
+        self.in_units = self.a.at_spaces and " " not in self.b.joined
+        self.odd = re.compile(f"[{re.escape(ODD + ''.join(sorted(self.b.joined)))}]")
+        self.sizes = [np.array([len(t.bytes.get(i, b"")) for i in range(max(t.bytes) + 1)], np.int64) for t in (self.a, self.b)]
+        self.names = [str(i) for i in range(max(len(self.a.bytes), len(self.b.bytes)) + 1)]
         self.known: dict[str, Unit] = {}
         self.bad: set[str] = set()
         self.chars = 0
 
-    def align(self, texts: list[str]) -> list[Unit]:
-        return [Unit(t, a, b, self.a.bytes, self.b.bytes) for t, a, b in zip(texts, self.a.encode(texts), self.b.encode(texts))]
+    def align(self, parts: list[str]) -> list[Unit] | None:
+        """A text that begins with a space, cut where both tokenizers start anew, to a unit for each part; None if the tokens do not spell it."""
+        text = "".join(parts)
+        whole, ids = text.encode(), (self.a.encode(text[1:]), self.b.encode(text[1:]))
+        if not whole or any(b"".join(map(t.bytes.__getitem__, x)) != whole for t, x in zip((self.a, self.b), ids)):
+            return None
+        a, b = (np.array(x, np.int64) for x in ids)
+        a_ends, b_ends = (np.cumsum(size[x]) for size, x in zip(self.sizes, (a, b)))
+        _, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+        pairs = (a[at_a] << B_BITS | b[at_b]).tobytes()
+        groups = self.grouped(*ids, at_a, at_b) if self.with_groups else []
+        ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in parts])
+        cuts = [np.append(0, np.searchsorted(x, ends, "right")).tolist() for x in (a_ends, b_ends, a_ends[at_a])]
+        return [
+            Unit(x - w, y - v, ";".join(groups[u:z]), pairs[8 * u : 8 * z])
+            for w, x, v, y, u, z in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:], cuts[2], cuts[2][1:])]
+
+    def grouped(self, a: list[int], b: list[int], at_a: np.ndarray, at_b: np.ndarray) -> list[str]:
+        """The groups that end at the given tokens, each as text."""
+        names = self.names
+        a, b = [names[i] for i in a], [names[i] for i in b]
+        to_a, to_b = (at_a + 1).tolist(), (at_b + 1).tolist()
+        return [
+            (a[i] if j - i == 1 else ",".join(a[i:j])) + "|" + (b[k] if m - k == 1 else ",".join(b[k:m]))
+            for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b)]
+
+    def learn(self, new: list[str]) -> None:
+        """Takes units in, all as one text behind a word; one by one, if their tokens do not spell it, and units of white space alone, which
+        would join what follows."""
+        words = [p for p in new if not p.isspace()]
+        found = dict(zip(words, (self.align([" x", *words]) or [])[1:]))
+        for p in new:
+            unit = found.get(p) or (self.align([" x", p]) or [None, None])[1]
+            if unit is None:
+                self.bad.add(p)
+            self.known[p] = unit
+            self.chars += len(p)
 
     def units(self, texts: list[str | None]) -> list[list[Unit]]:
         """Each text as units whose tokens, one after another, are those of the whole text; none for a text without tokens.
 
         A unit is kept for the next texts. A text with a unit that its tokens do not spell is aligned as a whole.
         """
-        if not self.in_units:
-            return [[u] if u.pairs is not None else [] for u in (self.align([t])[0] if t else Unit("", [], [], {}, {}) for t in texts)]
         if len(self.known) > MOST_UNITS or self.chars > MOST_CHARS:
             self.known, self.bad, self.chars = {}, set(), 0
-        parts = [CUT.split(t) if t else [] for t in texts]
+        parts = [UNIT.findall(" " + t) if t and self.in_units and not self.odd.search(t) else [] for t in texts]
         new = list(set().union(*parts).difference(self.known))
-        for p, unit in zip(new, self.align(new)):
-            self.known[p] = unit
-            self.chars += len(p)
-            if unit.pairs is None:
-                self.bad.add(p)
+        if new:
+            self.learn(new)
         out = []
         for t, ps in zip(texts, parts):
-            if self.bad and not self.bad.isdisjoint(ps):
-                whole = self.align([t])[0]
-                out.append([whole] if whole.pairs is not None else [])
+            if t and (not ps or self.bad and not self.bad.isdisjoint(ps)):
+                out.append(self.align([" " + t]) or [])
             else:
                 out.append(list(map(self.known.__getitem__, ps)))
         return out
@@ -186,13 +207,12 @@ def partial_counts(texts: DataFrame, tokenizers) -> DataFrame:
     """(pair, n): the pairs that each task meets, with counts; a pair is A's id above 32 bits of B's id."""
 
     def run(batches):
-        aligner, met = Aligner(*tokenizers.value), Counter()
+        aligner, met = Aligner(*tokenizers.value, with_groups=False), Counter()
 
         def counted():
             n = np.fromiter(met.values(), np.int64, len(met))
-            pairs = np.concatenate([u.pairs for u in met])
-            pairs, of = np.unique(pairs, return_inverse=True)
-            n = np.bincount(of, np.repeat(n, [len(u.pairs) for u in met]).astype(np.float64), len(pairs))
+            pairs, of = np.unique(pairs_of(met), return_inverse=True)
+            n = np.bincount(of, np.repeat(n, [u.n_links for u in met]).astype(np.float64), len(pairs))
             met.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], names=["pair", "n"])
 
@@ -249,11 +269,11 @@ class Counts:
     def fill(self, units: list[Unit]) -> None:
         """Looks the links of some units up."""
         if units:
-            n = self.hashed.verified(np.concatenate([u.pairs for u in units]))
-            edges = np.cumsum([0, *[len(u.pairs) for u in units]])
-            sums, best = (np.append(0, np.cumsum(x)) for x in (self.counts[n], self.best[n].astype(np.int64)))
-            for u, a, z in zip(units, edges[:-1], edges[1:]):
-                u.count_sum, u.n_best = int(sums[z] - sums[a]), int(best[z] - best[a])
+            n = self.hashed.verified(pairs_of(units))
+            edges = np.cumsum([0, *[u.n_links for u in units]]).tolist()
+            sums, best = (np.append(0, np.cumsum(x))[edges] for x in (self.counts[n], self.best[n].astype(np.int64)))
+            for u, s, b in zip(units, np.diff(sums).tolist(), np.diff(best).tolist()):
+                u.count_sum, u.n_best = s, b
 
 
 def counted(docs: DataFrame, a_file: str, b_file: str, text: str = "text") -> tuple[Counts, object]:
@@ -289,8 +309,9 @@ def aligned(docs: DataFrame, a_file: str, b_file: str, doc_id: str = "doc_id", t
     ``a1,a2|b1;a3|b2``. ``count_sum`` sums how many links of the corpus each link's ids have, and ``n_best`` counts the links whose
     number is the highest of their B id, ties included. Texts are aligned twice: for the counts, and to look them up.
 
-    Both tokenizers start anew at a single space between other characters, so they run on what lies between these cuts, once for all
-    its occurrences that a task meets; tokenizers that may reach over a space take whole texts, which the files' own settings tell.
+    Both tokenizers start anew where white space begins, so they run on what lies between these cuts, once for all its occurrences
+    that a task meets. Whether they do the files' own settings and entries tell; tokenizers that may reach over a space, and texts with
+    other white space that an entry joins to what is before it, such as a carriage return, are aligned as a whole.
 
     A null or empty text, and one that its tokens do not spell byte by byte, has no tokens: zeros and empty ``groups``. Repeated
     rows, and rows with a null id, each count and give a row; no rows give no rows.
