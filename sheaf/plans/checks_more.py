@@ -9,12 +9,14 @@ from sheaf.operators.html import parse_html
 from sheaf.plans import collect, results
 from sheaf.plans.check import check
 from sheaf.plans.checks_fetch import CLASS, METHOD, REQUEST_URL, _fake_session
-from sheaf.plans.checks_results import RUN, _store, _writes, task_log
+from sheaf.plans.checks_results import RUN, RUN_FIELDS, _store, _writes, task_log
 from sheaf.plans.fixtures import Inputs
 from sheaf.session import scratch, settled
 from sheaf.sources import log as logs
 from sheaf.sources import commits, objectstore, zsets
-from sheaf.streaming.collect import run_stream, settled_results
+from sheaf.streaming.attempts import retry_stream
+from sheaf.streaming.collect import captured_records, dedup_stream, run_stream, run_two_streams, settled_results
+from sheaf.streaming.depth import change_stream, depth_of
 
 
 def _with_own(fields, *own: str):
@@ -423,3 +425,104 @@ def pending_intervals(fx: Inputs) -> DataFrame:
     log = fx.view("fx_stream")
     delivered, acked = (settled(intervals.as_intervals(fx.view(v), log)) for v in ("fx_deliveries", "fx_acks"))
     return intervals.entries_in(log, intervals.pending_intervals(delivered, acked))
+
+
+def _run(stream: DataFrame, path: str, name: str) -> None:
+    """Runs a stream to the end of what is there, into ``path/name``."""
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoints/{name}").trigger(availableNow=True).start(
+        f"{path}/{name}").awaitTermination()
+
+
+TRIES = """
+with tries as (select concat('job-',attempt_id//3) as job, attempt_id, attempt_at, status, attempt_id%3 as k from fx_attempts where attempt_id//3%4<>attempt_id%3),
+"""
+
+
+@check("stream_retries", TRIES + f"""
+judged as (select *, row_number() over (partition by job order by attempt_id) as rn, {CLASS} as outcome from tries),
+firsts as (select job, min(rn) filter (outcome='ok') as good, max(rn) as n from judged where rn<=3 group by job),
+said as (select job, coalesce(good, n) as rn, case when good is not null then 'done' when n>=3 then 'failed' else 'due' end as state from firsts)
+select job, state, rn as attempts, outcome, status from said join judged using (job, rn)""")
+def stream_retries(fx: Inputs) -> DataFrame:
+    """The last word on each job of a stream that is stopped in the middle and started again."""
+    spark, path = fx.spark, scratch(fx.spark, "retries")
+    n, at = F.col("attempt_id"), F.timestamp_seconds(F.col("attempt_id") * 60)
+    tries = fx.view("fx_attempts").filter(F.floor(n / 3) % 4 != n % 3).select(
+        F.concat(F.lit("job-"), F.floor(n / 3)).alias("job"), "attempt_id", at.alias("at"), F.col("status").cast("int").alias("status"))
+    half, last = tries.agg(F.expr("median(attempt_id)").cast("long"), F.max("attempt_id")).first()
+    end = spark.range(1).select(F.lit("end").alias("job"), F.lit(0).cast("long").alias("attempt_id"), F.timestamp_seconds(F.lit(last * 60 + 7200)).alias("at"),
+                                F.lit(200).alias("status"))
+    parts = (tries.filter(n <= half), tries.filter(n > half), end, end.withColumn("at", F.col("at") + F.expr("interval 2 hours")))
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/tries")
+        read = spark.readStream.schema(tries.schema).parquet(f"{path}/tries")
+        _run(retry_stream(attempts.classify(read), "job", "attempt_id", "at", "1 hour"), path, "said")
+    said = spark.read.parquet(f"{path}/said").filter("job <> 'end'")
+    rank = F.struct(F.col("state") != "due", "attempts")
+    last = said.groupBy("job").agg(F.max_by(F.struct("state", "attempts", "outcome", "status"), rank).alias("r"))
+    return last.select("job", "r.state", F.col("r.attempts").cast("long").alias("attempts"), "r.outcome", F.col("r.status").cast("long").alias("status"))
+
+
+@check("depth_stream", """
+with changes as (select channel, time_bucket(interval 1 hour, ts) as w, 1 as d from fx_stream
+ union all select channel, time_bucket(interval 1 hour, ts), -1 from fx_stream where msg_id%3=0),
+slots as (select channel, w, sum(d) as change from changes group by 1, 2),
+runs as (select *, sum(change) over (partition by channel order by w) as depth from slots)
+select channel, cast(w as timestamp) as window_start, cast(change as bigint) as change, cast(depth as bigint) as depth,
+ cast(ceil(greatest(depth,0)/10) as bigint) as workers from runs""")
+def depth_stream(fx: Inputs) -> DataFrame:
+    """Entries and acknowledgements in two runs, where those of the second are mostly older than those of the first."""
+    spark, path = fx.spark, scratch(fx.spark, "depth")
+    log = fx.view("fx_stream").select("channel", "msg_id", F.col("ts").cast("timestamp").alias("ts"))
+    acks = log.filter("msg_id % 3 = 0").withColumnRenamed("ts", "acked_at")
+    late = F.col("msg_id") % 2 == 0
+    middle = F.timestamp_seconds(F.lit(log.agg(F.expr("median(unix_timestamp(ts))")).first()[0]))
+    for first in (True, False):
+        for rows, name, at in ((log, "log", "ts"), (acks, "acks", "acked_at")):
+            new = (F.col(at) >= middle) | late
+            rows.filter(new if first else ~new).write.mode("append").parquet(f"{path}/{name}")
+        arrivals, done = (spark.readStream.schema(f"channel string, msg_id long, {at} timestamp").parquet(f"{path}/{n}") for n, at in (("log", "ts"), ("acks", "acked_at")))
+        _run(change_stream(arrivals, done, "1 hour"), path, "changes")
+    made = depth_of(spark.read.parquet(f"{path}/changes"), 10)
+    return made.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@check("dedup_late", "select job_id, scrape_type, url from fx_log where not tombstone group by job_id, scrape_type, url")
+def dedup_late(fx: Inputs) -> DataFrame:
+    """Three runs: the newer half of the log, the older one, whose first copies come behind any watermark, and the newer half once more."""
+    spark, path = fx.spark, scratch(fx.spark, "dedup")
+    tasks = fx.view("fx_log").filter(~F.col("tombstone")).withColumn("at", F.col("enqueued_at").cast("timestamp"))
+    half = tasks.agg(F.expr("median(seq)")).first()[0]
+    for part in (F.col("seq") > half, F.col("seq") <= half, F.col("seq") > half):
+        tasks.filter(part).write.mode("append").parquet(f"{path}/log")
+        stream = spark.readStream.schema(tasks.schema).parquet(f"{path}/log")
+        _run(dedup_stream(stream, "at", None).select("job_id", "scrape_type", "url"), path, "out")
+    return spark.read.parquet(f"{path}/out")
+
+
+@check("collect_two_streams", RUN + f"""
+select job_id, scrape_type, url, 'ok' as outcome, {RUN_FIELDS} from ok
+union all select l.job_id, l.scrape_type, l.url, 'Unsupported HTTP method.', null, null, null, null, null, null
+from live l join bad using (job_id)""")
+def collect_two_streams(fx: Inputs) -> DataFrame:
+    """Tasks and captures as two streams, in two runs: a third of the pages is captured only after its tasks were read."""
+    spark, path = fx.spark, scratch(fx.spark, "collect")
+    log, pages = task_log(fx), requests.latest_captures(fx.table("pages"))
+    times = fx.tasks().select("page_id", (F.col("enqueued_at").cast("timestamp") + F.expr("interval 1 hour")).alias("captured_at"))
+    captures = pages.join(times, "page_id").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "captured_at")
+    late = F.col("page_id") % 3 == 0
+    for first in (True, False):
+        if first:
+            logs.produce(log, f"{path}/log")
+        captures.filter(~late if first else late).write.mode("append").parquet(f"{path}/captures")
+        run_two_streams(spark, f"{path}/log", f"{path}/captures", f"{path}/out", "400 days", "1 day", "400 days", available_now=True)
+    # an entry and a capture far ahead close the time of jobs that no capture answers
+    far = F.expr("interval 2000 days")
+    logs.produce(log.filter(F.col("value").isNotNull()).limit(1).withColumn("timestamp", F.col("timestamp") + far), f"{path}/log")
+    captures.limit(1).withColumns({"captured_at": F.col("captured_at") + far, "url": F.lit("none"), "page_id": F.lit(-1).cast("long")}).write.mode(
+        "append").parquet(f"{path}/captures")
+    for _ in range(2):
+        run_two_streams(spark, f"{path}/log", f"{path}/captures", f"{path}/out", "400 days", "1 day", "400 days", available_now=True)
+    made = captured_records(spark.read.parquet(f"{path}/out/raw"), spark.read.parquet(f"{path}/out/pages"))
+    return settled_results(made, logs.read_log(spark, f"{path}/log")).select(
+        "job_id", "scrape_type", "url", "outcome", "object_key", *collect.PAGE_RECORD)

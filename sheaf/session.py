@@ -17,6 +17,8 @@ RUNTIME = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",  # of a repeated JSON key the last value counts
+    # state of streams on disk, as that of exact deduplication grows with the ids
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 SPREAD_BYTES_PER_CORE = 32 << 20

@@ -1,10 +1,14 @@
 """Job outcomes from a stream of attempts."""
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sheaf.operators.attempts import OK
-from sheaf.schema import MAX_ATTEMPTS
+from sheaf.schema import MAX_ATTEMPTS, RETRY_WAIT_SECONDS
 
 
 def resolve_stream(classified: DataFrame, key: str, number: str, at: str, gap: str, delay: str,
@@ -29,3 +33,66 @@ def resolve_stream(classified: DataFrame, key: str, number: str, at: str, gap: s
     return per_job.select(
         key, "attempts", state.alias("state"), F.when(done, OK).otherwise(F.col("_last")).alias("outcome"),
         F.when(done, F.col("_ok_status")).otherwise(F.col("_last_status")).alias("status"))
+
+
+HELD = "closed boolean, told int, numbers array<long>, times array<long>, outcomes array<string>, statuses array<int>"
+STEP = "state string, attempts int, outcome string, status int, last_at timestamp, due_at timestamp"
+
+
+def retry_stream(classified: DataFrame, key: str, number: str, at: str, delay: str,
+                 maximum: int = MAX_ATTEMPTS, wait: int = RETRY_WAIT_SECONDS) -> DataFrame:
+    """What to do about each job, as it becomes certain, in append mode: (key, state, attempts, outcome, status, last_at, due_at).
+
+    ``due``: all attempts so far failed, fewer than ``maximum`` were made, and the wait of ``wait`` seconds is over; once for each further attempt.
+    ``done`` and ``failed`` come once: at the first ``ok`` of the first ``maximum`` attempts, by ``number``, or when all these failed. An attempt counts
+    once the watermark has passed it, as then no earlier one can come; timers see to jobs without new attempts. A job that is
+    done or failed stays closed, so that an attempt made later, or delivered late, opens no second one. State is up to ``maximum`` attempts
+    for an open job and a mark for a closed one. Attempts later than ``delay`` behind the newest are not looked at.
+    """
+    rows = classified.select(
+        F.col(key), F.col(number).cast("long").alias("number"), F.col(at).cast("timestamp").alias("at"), "outcome", F.col("status").cast("int").alias("status"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        closed, told, *held = state.get if state.exists else (False, 0, [], [], [], [])
+        tries = {n: (t, o, s) for n, t, o, s in zip(*held)}
+        if not state.hasTimedOut:
+            for batch in batches:
+                for n, t, o, s in zip(batch["number"], batch["at"].astype("datetime64[us]").astype("int64"), batch["outcome"], batch["status"]):
+                    tries.setdefault(int(n), (int(t) // 1000, o, None if pd.isna(s) else int(s)))
+        first = sorted(tries)[:maximum]
+        now, out, timer = state.getCurrentWatermarkMs(), [], None
+        if not closed:
+            sure = []
+            for n in first:
+                if tries[n][0] > now:
+                    break
+                sure.append(n)
+            good = next((i for i, n in enumerate(sure) if tries[n][1] == OK), None)
+            if good is not None or len(sure) == maximum:
+                at_ms, outcome, status = tries[sure[-1 if good is None else good]]
+                out.append(("failed" if good is None else "done", len(sure) if good is None else good + 1, outcome, status, at_ms, None))
+                closed, first = True, []
+            else:
+                last = max((tries[n][0] for n in first), default=0)
+                due = last + wait * 1000
+                if len(sure) < len(first):
+                    timer = min(t for n in first if (t := tries[n][0]) > now)
+                elif told < len(sure) and due <= now:
+                    out.append(("due", len(sure), tries[sure[-1]][1], tries[sure[-1]][2], last, due))
+                    told = len(sure)
+                elif told < len(sure):
+                    timer = due
+        kept = [] if closed else first
+        state.update((closed, told, kept, *([tries[n][i] for n in kept] for i in range(3))))
+        if timer is not None:
+            state.setTimeoutTimestamp(timer)
+        if out:
+            made = pd.DataFrame([(*group, *r) for r in out], columns=[key, "state", "attempts", "outcome", "status", "last_at", "due_at"])
+            for column in ("last_at", "due_at"):
+                made[column] = pd.to_datetime(made[column], unit="ms")
+            made["status"] = made["status"].astype("Int32")
+            yield made
+
+    return rows.withWatermark("at", delay).groupBy(key).applyInPandasWithState(
+        step, f"{key} {kind}, {STEP}", HELD, "append", GroupStateTimeout.EventTimeTimeout)

@@ -24,9 +24,12 @@ RAW = ("job_id string, topic string, partition int, offset long, timestamp times
        "outcome string, object_key string, page_id long")
 
 
-def dedup_stream(tasks: DataFrame, at: str, delay: str, key: str = "job_id") -> DataFrame:
-    """First copy of each job. State is kept for ``delay`` of event time, which must cover the
+def dedup_stream(tasks: DataFrame, at: str, delay: str | None, key: str = "job_id") -> DataFrame:
+    """First copy of each job. Without a ``delay`` it is exact: all ids stay in the state store, on disk and behind Bloom filters with RocksDB
+    (``session.tune`` sets it), however late a copy comes. With one, state is kept for ``delay`` of event time, which must cover the
     longest redelivery; copies later than that are dropped and counted by the query's metrics."""
+    if delay is None:
+        return tasks.dropDuplicates([key])
     return tasks.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
@@ -53,6 +56,66 @@ def raw_results(spark: SparkSession, log_path: str, pages: DataFrame, delay: str
         F.when(done, F.col("object_key")).alias("object_key"), F.when(done, F.col("page_id")).alias("page_id"))
 
 
+CAPTURE = "page_id long, url string, html string, captured_at timestamp"
+RAW_CAPTURED = RAW + ", captured_at timestamp"
+
+
+def captured_results(spark: SparkSession, log_path: str, captures: DataFrame, delay: str, before: str, after: str, name: str = "scrape-all") -> DataFrame:
+    """Streaming raw results from two streams: a profile's tasks, and captures (page_id, url, captured_at) as they are made.
+
+    A task meets the captures of its url made up to ``before`` ahead of it and ``after`` behind it, so state is bounded to these times and
+    ``delay``. One that comes later completes its job; a job without any gets a transport error once the time is over. A job with several
+    captures has a row for each: ``latest_results`` keeps the latest.
+    """
+    read = decode(read_log(spark, log_path, profile_channels(name), stream=True).filter(F.col("value").isNotNull()))
+    # at last the event time, and the watermark with it, is what the first copy of a job has
+    tasks = dedup_stream(read.filter(F.col("error").isNull()).drop("cancel", "error").withWatermark("timestamp", delay), "timestamp", None)
+    made = captures.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("captured_url"), F.col("captured_at")).withWatermark("captured_at", delay)
+    near = F.expr(f"url = captured_url and request_error is null and captured_at >= timestamp - interval {before} and captured_at <= timestamp + interval {after}")
+    found = with_requests(tasks).join(made, near, "leftOuter")
+    outcome = (F.when(F.col("request_error").isNotNull(), F.col("request_error"))
+               .when(F.col("page_id").isNull(), TRANSPORT_ERROR).otherwise(OK))
+    keyed = object_keys(found.withColumn("outcome", outcome), "timestamp", filename="data.html")
+    done = F.col("outcome") == OK
+    return keyed.select(
+        "job_id", "topic", "partition", "offset", "timestamp", "scrape_type", "url", "outcome",
+        F.when(done, F.col("object_key")).alias("object_key"), "page_id", "captured_at")
+
+
+def latest_results(raw: DataFrame) -> DataFrame:
+    """One row per job: that of the latest capture."""
+    rest = [c for c in raw.columns if c != "job_id"]
+    latest = F.struct(F.col("captured_at").isNotNull(), "captured_at", "page_id")
+    return raw.groupBy("job_id").agg(F.max_by(F.struct(*rest), latest).alias("row")).select("job_id", "row.*")
+
+
+def run_two_streams(spark: SparkSession, log_path: str, captures_path: str, out: str, delay: str, before: str, after: str,
+                    name: str = "scrape-all", spec: dict[str, Field] = PAGE_RECORD, available_now: bool = False) -> list:
+    """Starts the queries for raw results (``raw``), rejected entries and the records of captured pages (``pages``, each capture parsed once)
+    over a log and a folder of captures that both grow."""
+    captures = spark.readStream.schema(CAPTURE).parquet(captures_path)
+    parsed = extract_records(parse_html(captures, keep=("captured_at",)), spec, keep=("captured_at",))
+
+    def start(df: DataFrame, kind: str):
+        writer = df.writeStream.format("parquet").option("checkpointLocation", f"{out}/_checkpoints/{kind}")
+        writer = writer.trigger(availableNow=True) if available_now else writer
+        return writer.queryName(f"{name}-captured-{kind}").start(f"{out}/{kind}")
+
+    started = [start(captured_results(spark, log_path, captures, delay, before, after, name), "raw"),
+               start(parsed, "pages"), start(rejected_entries(spark, log_path, name), "rejected")]
+    for query in started if available_now else ():
+        query.awaitTermination()
+    return started
+
+
+def captured_records(raw: DataFrame, parsed: DataFrame) -> DataFrame:
+    """The latest results of jobs, with the records of their pages. Of a capture parsed twice one record counts."""
+    once = parsed.dropDuplicates(["page_id", "captured_at"]).withColumnRenamed("page_id", "p")
+    return latest_results(raw).join(
+        once.withColumnRenamed("captured_at", "c"), (F.col("page_id") == F.col("p")) & (F.col("captured_at") == F.col("c")), "left").drop("p", "c")
+
+
 def raw_objects(raw: DataFrame, pages: DataFrame) -> DataFrame:
     """Stored objects (object_key, content, content_type, seq) of the ``ok`` results: each with its page's content."""
     asked = raw.filter(F.col("outcome") == OK).select("job_id", "object_key", "timestamp", "page_id")

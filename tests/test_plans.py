@@ -101,7 +101,8 @@ def test_large_sides_are_not_broadcast(spark):
 
 WRITERS = (
     "collect_stream", "collect_late", "collect_catch_up", "dedup_streamed", "put_objects", "removed_objects", "results", "results_twice",
-    "store_get", "store_list", "store_poll", "store_late_write", "store_compacted", "store_grown", "store_two_writers", "results_moved_day", "zrange_stored", "zrange_stored_desc")
+    "store_get", "store_list", "store_poll", "store_late_write", "store_compacted", "store_grown", "store_two_writers", "results_moved_day", "zrange_stored", "zrange_stored_desc",
+    "stream_retries", "depth_stream", "dedup_late", "collect_two_streams")
 
 
 @pytest.fixture(scope="module")

@@ -175,7 +175,7 @@ def test_streamed_queue_changes(spark, fx):
     def read(kind, name):
         return spark.readStream.schema(f"channel string, {name} timestamp").parquet(f"{path}/{kind}")
 
-    made = change_stream(read("log", "ts"), read("acks", "acked_at"), "1 hour", "0 seconds")
+    made = change_stream(read("log", "ts"), read("acks", "acked_at"), "1 hour")
     made.writeStream.format("parquet").option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start(
         f"{path}/out").awaitTermination()
     got = spark.read.parquet(f"{path}/out").groupBy("channel").agg(F.sum("change").alias("n"), F.max("window_start").alias("w"))
