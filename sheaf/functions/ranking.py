@@ -91,3 +91,17 @@ def ranked(
         .withColumn(into, F.col("__base") + F.col("__at") - F.col("__first"))
         .drop("__at", "__part", "__n", "__first", "__base")
     )
+
+
+def summed_before(df: DataFrame, keys: list[str], order: list[Column], size: Column, into: str) -> DataFrame:
+    """The sum of ``size`` over the earlier rows of each row's key, in the way of ``ranked``: within a partition by a window, plus
+    one sum per key and partition for the partitions before it."""
+    by = [F.col(k) for k in keys]
+    placed = settled(
+        df.withColumn("__size", size).repartitionByRange(range_parts(df), *by, *order).withColumn("__part", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = placed.groupBy(*keys, "__part").agg(F.sum("__size").alias("__sum"))
+    runs = runs.select(*keys, "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    return placed.withColumn("__in", F.coalesce(F.sum("__size").over(inside), F.lit(0))).join(few_rows(runs), [*keys, "__part"]).withColumn(
+        into, F.col("__base") + F.col("__in")).drop("__size", "__part", "__in", "__base")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.ranking import ranked
 from sheaf.functions.skew import lookup
+from sheaf.session import few_rows, settled_ids
 
 
 def assign_ids(rows: DataFrame, next_id: int | Column, group: str, order: str = "seq") -> DataFrame:
@@ -32,10 +33,10 @@ def create_items(posts: DataFrame, next_id: int) -> DataFrame:
 
 
 def get_items(table: DataFrame, ids: DataFrame) -> DataFrame:
-    """Each asked id with its row and status 200, or status 404."""
-    found = table.withColumn("_here", F.lit(True))
-    return ids.select("id").distinct().join(found, "id", "left").withColumn(
-        "status", F.when(F.col("_here"), 200).otherwise(404)).drop("_here")
+    """Each asked id with its row and status 200, or status 404. A short list of ids is broadcast, so only their rows are shuffled."""
+    asked = settled_ids(ids.select("id").distinct())
+    found = table.join(few_rows(asked), "id", "left_semi").withColumn("_here", F.lit(True))
+    return asked.join(found, "id", "left").withColumn("status", F.when(F.col("_here"), 200).otherwise(404)).drop("_here")
 
 
 def apply_changes(base: DataFrame, changes: DataFrame, next_id: int | None = None) -> tuple[DataFrame, DataFrame]:

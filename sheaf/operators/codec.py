@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.functions import wire
-from sheaf.functions.ranking import ranked
+from sheaf.functions.ranking import ranked, summed_before
 from sheaf.functions.text import utf8
 from sheaf.schema import TASK, TASK_FIELD_NUMBERS
 
@@ -134,20 +134,28 @@ def split_delimited(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     return rows, read.filter(F.col("_messages").isNull()).drop("_messages")
 
 
-def join_delimited(df: DataFrame, keys: list[str], order: str, value: str = "value", most: int | None = None) -> DataFrame:
-    """One blob per key: each message behind its length, in order.
+#: A blob is one cell, so it is cut behind so many bytes of messages.
+MOST_BYTES = 64 << 20
 
-    With ``most`` a key's messages are cut into blobs of up to so many, numbered by the added column ``blob_no``.
 
-    Without it a blob is one cell whatever its size, so the keys must name a bounded batch (a log partition and batch
-    number), not an open-ended group such as a topic.
+def join_delimited(df: DataFrame, keys: list[str], order: str, value: str = "value", most: int | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Blobs (keys, ``blob_no``, ``blob``) of each key: each message behind its length, in order.
+
+    A key's messages are cut into blobs numbered from 0: of ``most`` messages where that is given, and else behind ``most_bytes`` bytes, so that a key
+    of any size fits. Where no key has that much, which its sizes tell first, all messages of a key are one blob.
     """
     if most is not None:
         numbered = ranked(df, keys, [F.col(order)], "_rank").withColumn("blob_no", F.floor(F.col("_rank") / most))
-        return join_delimited(numbered, [*keys, "blob_no"], order, value)
+    else:
+        size = F.octet_length(value).cast("long") + 5  # a length has 5 bytes at the most
+        largest = df.groupBy(*keys).agg(F.sum(size).alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest <= most_bytes:
+            numbered = df.withColumn("blob_no", F.lit(0).cast("long"))
+        else:
+            numbered = summed_before(df, keys, [F.col(order)], size, "_bytes").withColumn("blob_no", F.floor(F.col("_bytes") / most_bytes))
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), wire.sized_hex(value).alias("h"))))
-    return df.groupBy(*keys).agg(parts.alias("_parts")).select(
-        *keys, F.unhex(F.array_join(F.transform("_parts", lambda p: p["h"]), "")).alias("blob"))
+    return numbered.groupBy(*keys, "blob_no").agg(parts.alias("_parts")).select(
+        *keys, "blob_no", F.unhex(F.array_join(F.transform("_parts", lambda p: p["h"]), "")).alias("blob"))
 
 
 def decode_values(df: DataFrame, fmt: str, col: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.ranking import group_limit, ranked
 from sheaf.operators.codec import decode
+from sheaf.schema import TASK
 from sheaf.session import few_rows, settled_ids
 
+TASK_FIELDS = TASK.fieldNames()
+
 
 def zadd(current: DataFrame | None, writes: DataFrame, order: str = "seq") -> DataFrame:
     """Upsert by member text; the last write gives the score, a null score means now."""
@@ -52,14 +55,24 @@ def zremove(current: DataFrame, removes: DataFrame) -> DataFrame:
     return current.join(removes.select("set_name", "member"), ["set_name", "member"], "left_anti")
 
 
+def with_tasks(members: DataFrame, value: str = "member") -> DataFrame:
+    """Members with the task they hold (job_id, url, method, headers, params, body), decoded once, when they are added; undecodable ones
+    have nulls. Kept with them, it spares each search the decoding."""
+    read = decode(members, value)
+    good = ~F.col("cancel") & F.col("error").isNull()
+    return read.select(*members.columns, *[F.when(good, F.col(f)).alias(f) for f in TASK_FIELDS])
+
+
 def search(members: DataFrame, job_ids: DataFrame, value: str = "member") -> DataFrame:
     """For each asked job id the first member, in rank order, that decodes to it; else null.
 
-    Members (binary task messages with a score) are decoded once for all ids; undecodable
+    Members (binary task messages with a score) are decoded once for all ids, unless they were ``with_tasks``; undecodable
     ones are skipped. A short list of ids is broadcast, so only its members are shuffled.
     """
     asked = settled_ids(job_ids.select("job_id").distinct())
-    read = decode(members.select(value, "score"), value).filter(~F.col("cancel") & F.col("error").isNull())
+    if "job_id" not in members.columns:
+        members = with_tasks(members.select(value, "score"), value)
+    read = members.filter(F.col("job_id").isNotNull())
     wanted = few_rows(asked)
     if wanted is not asked:
         read = read.join(wanted, "job_id", "left_semi")

@@ -3,13 +3,13 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.operators import attempts, changes, codec, groups, html, intake, intervals, requests
+from sheaf.operators import attempts, changes, codec, groups, html, intake, intervals, requests, zset
 from sheaf.operators.extract import Field, extract_records
 from sheaf.operators.html import parse_html
-from sheaf.plans import collect, results
+from sheaf.plans import collect, items, results
 from sheaf.plans.check import check
 from sheaf.plans.checks_fetch import CLASS, METHOD, REQUEST_URL, _fake_session
-from sheaf.plans.checks_results import RUN, RUN_FIELDS, _store, _writes, task_log
+from sheaf.plans.checks_results import FOLD, RUN, RUN_FIELDS, _store, _writes, task_log
 from sheaf.plans.fixtures import Inputs
 from sheaf.session import scratch, settled
 from sheaf.sources import log as logs
@@ -526,3 +526,99 @@ def collect_two_streams(fx: Inputs) -> DataFrame:
     made = captured_records(spark.read.parquet(f"{path}/out/raw"), spark.read.parquet(f"{path}/out/pages"))
     return settled_results(made, logs.read_log(spark, f"{path}/log")).select(
         "job_id", "scrape_type", "url", "outcome", "object_key", *collect.PAGE_RECORD)
+
+
+def _changed(fx: Inputs, path: str) -> DataFrame:
+    """The statuses of all changes, applied to a stored table in three runs; the table is folded between them."""
+    base, rows = fx.view("fx_items"), fx.view("fx_changes")
+    items.store_items(base, path)
+    items.compact_items(fx.spark, path)
+    next_id, cuts = changes.following_id(base), rows.agg(F.percentile("seq", F.array(F.lit(0.3), F.lit(0.6)))).first()[0]
+    said = []
+    for part in (F.col("seq") <= cuts[0], (F.col("seq") > cuts[0]) & (F.col("seq") <= cuts[1]), F.col("seq") > cuts[1]):
+        said.append(items.apply_stored(fx.spark, path, rows.filter(part), next_id))
+        next_id = changes.id_after(next_id, rows.filter(part))
+        if len(said) == 2:
+            items.compact_items(fx.spark, path)
+    return said[0].unionByName(said[1]).unionByName(said[2])
+
+
+@check("items_incremental", FOLD + """
+select id, arg_max(name, seq) as name, arg_max(description, seq) filter (description is not null) as description,
+ arg_max(price, seq) as price from sets where id not in (select id from life where closed is not null) group by id""")
+def items_incremental(fx: Inputs) -> DataFrame:
+    path = scratch(fx.spark, "items")
+    _changed(fx, path)
+    return items.stored_items(fx.spark, path)
+
+
+@check("items_incremental_status", FOLD + """
+select seq, op, id, case when live then 200 else 404 end as status from judged
+union all select seq, op, new_id, 201 from news""")
+def items_incremental_status(fx: Inputs) -> DataFrame:
+    return _changed(fx, scratch(fx.spark, "items"))
+
+
+@check("items_get_stored", """
+select a.id, i.name, i.description, i.price, case when i.id is null then 404 else 200 end as status
+from (select distinct id from fx_changes) a left join fx_items i on i.id=a.id""")
+def items_get_stored(fx: Inputs) -> DataFrame:
+    path = scratch(fx.spark, "items")
+    items.store_items(fx.view("fx_items"), path)
+    items.compact_items(fx.spark, path)
+    return items.get_stored_items(fx.spark, path, fx.view("fx_changes"))
+
+
+@check("log_from_offsets", """
+select 'batch' as kind, job_id, seq as "offset" from fx_log where seq>(select max(seq)//2 from fx_log)
+union all select 'stream', job_id, seq from fx_log where seq>(select max(seq)//2 from fx_log)""")
+def log_from_offsets(fx: Inputs) -> DataFrame:
+    """A batch and a stream that start behind a position of each partition."""
+    spark, path = fx.spark, scratch(fx.spark, "log")
+    whole = task_log(fx)
+    half = whole.agg(F.max("offset")).first()[0] // 2
+    logs.produce(whole.filter(F.col("offset") <= half), path)
+    after = logs.positions(logs.read_log(spark, path))
+    logs.produce(whole.filter(F.col("offset") > half), path)
+    _run(logs.read_log(spark, path, stream=True, after=after), f"{path}-out", "read")
+    read = {"batch": logs.read_log(spark, path, after=after), "stream": spark.read.parquet(f"{path}-out/read")}
+    batch, stream = (df.select(F.lit(k).alias("kind"), F.col("key").cast("string").alias("job_id"), "offset") for k, df in read.items())
+    return batch.unionByName(stream)
+
+
+@check("collect_from", RUN + """
+select job_id, 'ok' as outcome from ok union all select job_id, 'Unsupported HTTP method.' from live join bad using (job_id)""")
+def collect_from(fx: Inputs) -> DataFrame:
+    """Two batches, the second from the positions that the first one reached; cancels that came late count at the end."""
+    spark, path = fx.spark, scratch(fx.spark, "collect")
+    whole = task_log(fx)
+    half = whole.agg(F.max("offset")).first()[0] // 2
+    logs.produce(whole.filter(F.col("offset") <= half), f"{path}/log")
+    first, reached = collect.collect_from(spark, f"{path}/log", fx.table("pages"))
+    kept = settled(first.outcomes)
+    logs.produce(whole.filter(F.col("offset") > half), f"{path}/log")
+    second, _ = collect.collect_from(spark, f"{path}/log", fx.table("pages"), reached, kept)
+    log = logs.read_log(spark, f"{path}/log")
+    cancels = log.filter(F.col("value").isNull()).select(F.col("key").cast("string").alias("job_id")).distinct()
+    return kept.unionByName(second.outcomes).join(cancels, "job_id", "left_anti").select("job_id", "outcome")
+
+
+@check("search_kept", """
+select t.job_id, c.job_id is not null as found, case when c.job_id is not null then t.url end as url
+from fx_tasks t left join fx_completions c using (job_id)""")
+def search_kept(fx: Inputs) -> DataFrame:
+    """A search of members that were decoded when they were added."""
+    path, tasks = scratch(fx.spark, "members"), fx.tasks()
+    done = codec.encode_tasks(tasks).join(fx.view("fx_completions").select("job_id", "score"), "job_id").select(F.col("value").alias("member"), "score")
+    zset.with_tasks(done.unionByName(done.withColumn("member", F.lit(b"\xff")).limit(5))).write.parquet(path)
+    return zset.search(fx.spark.read.parquet(path), tasks).select("job_id", "found", "url")
+
+
+@check("delimited_bytes", "select scrape_type, count(*) as n, sum(page_id) as ids from fx_tasks group by scrape_type")
+def delimited_bytes(fx: Inputs) -> DataFrame:
+    """Blobs cut by bytes, each within its bound but for its last message, and taken apart again."""
+    sent = codec.encode_tasks(fx.tasks()).select("scrape_type", "page_id", "value")
+    blobs = codec.join_delimited(sent, ["scrape_type"], "page_id", most_bytes=2000)
+    rows, _ = codec.split_delimited(blobs.filter("octet_length(blob) < 3000"), "blob")
+    tasks, _ = codec.decode_tasks(rows, "value")
+    return tasks.groupBy("scrape_type").agg(F.count("*").alias("n"), F.sum(F.substring(F.col("params")["p"], 2, 20).cast("long")).alias("ids"))

@@ -8,7 +8,7 @@ from sheaf.operators.codec import encode_tasks
 from sheaf.operators.extract import extract_records
 from sheaf.operators.html import parse_html
 from sheaf.operators.requests import latest_captures
-from sheaf.plans import collect, results
+from sheaf.plans import collect, items, results
 from sheaf.plans.check import check
 from sheaf.plans.checks_html import NAV_LINKS, inner, plain
 from sheaf.plans.fixtures import Inputs
@@ -200,7 +200,12 @@ def items_create(fx: Inputs) -> DataFrame:
 
 @check("items_all", "select id, name, description, price from fx_items")
 def items_all(fx: Inputs) -> DataFrame:
-    return fx.view("fx_items")
+    """The whole table, from storage: half of it folded, and half appended since."""
+    path, rows = scratch(fx.spark, "items"), fx.view("fx_items")
+    items.store_items(rows.filter("id % 2 = 0"), path)
+    items.compact_items(fx.spark, path)
+    items.store_items(rows.filter("id % 2 = 1"), path)
+    return items.stored_items(fx.spark, path)
 
 
 @check("items_get", """

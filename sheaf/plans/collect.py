@@ -3,7 +3,7 @@
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions.skew import CHECK_ABOVE_BYTES, lookup
@@ -11,12 +11,14 @@ from sheaf.operators.attempts import OK, TRANSPORT_ERROR, classify, failed_queue
 from sheaf.operators.codec import decode
 from sheaf.operators.extract import Field, extract_records
 from sheaf.operators.groups import live_tasks, profile
+from sheaf.operators.groups import profile_channels as profile_topics
 from sheaf.operators.html import parse_html
 from sheaf.operators.objects import object_keys
 from sheaf.operators.requests import build_requests, fetch, latest_captures
 from sheaf.plans.results import completions
 from sheaf.schema import RETRY_WAIT_SECONDS, TOPICS
 from sheaf.session import settled
+from sheaf.sources.log import Positions, positions, read_log
 
 #: How much wider a page is than the row that asks for it, at the least.
 WIDER = 256
@@ -110,6 +112,23 @@ def run_batch(log: DataFrame, captures: DataFrame, name: str = "scrape-all",
     return Collected(outcomes, objects, records, completions(stored, "finished_at"), rejected)
 
 
+def collect_from(spark: SparkSession, log_path: str, captures: DataFrame, after: Positions | None = None, finished: DataFrame | None = None,
+                 name: str = "scrape-all", spec: dict[str, Field] = PAGE_RECORD) -> tuple[Collected, Positions]:
+    """A batch over the entries behind some positions, and the positions reached, from which the next batch goes on.
+
+    Nothing before ``after`` is decoded or read. The positions are taken first, and what comes into the log meanwhile is left to the next
+    batch. ``finished`` has the jobs (job_id) of earlier batches: a copy of one of them that came late is not run again. A cancel of a job that
+    an earlier batch ran counts when results are read, as with streams.
+    """
+    log = read_log(spark, log_path, profile_topics(name), after=after)
+    reached = positions(log, after)
+    last = F.lit(False)
+    for topic, of in reached.items():
+        for partition, offset in of.items():
+            last = last | ((F.col("topic") == topic) & (F.col("partition") == partition) & (F.col("offset") <= offset))
+    return run_batch(log.filter(last), captures, name, spec, finished), reached
+
+
 def catch_up(log: DataFrame, outcomes: DataFrame, captures: DataFrame, name: str = "scrape-all",
              spec: dict[str, Field] = PAGE_RECORD) -> Collected:
     """A batch over every live job of the log that has no ``ok`` among ``outcomes`` (job_id, outcome).

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import ranking
 from sheaf.operators import extract, groups, html, objects, requests, zset
-from sheaf.plans import collect, results
+from sheaf.plans import collect, items, results
 from sheaf.plans.catalog import QUERIES
 from sheaf.plans.checks_results import _store, task_log
 from sheaf.session import few_rows, row_bytes, scratch
@@ -102,7 +102,8 @@ def test_large_sides_are_not_broadcast(spark):
 WRITERS = (
     "collect_stream", "collect_late", "collect_catch_up", "dedup_streamed", "put_objects", "removed_objects", "results", "results_twice",
     "store_get", "store_list", "store_poll", "store_late_write", "store_compacted", "store_grown", "store_two_writers", "results_moved_day", "zrange_stored", "zrange_stored_desc",
-    "stream_retries", "depth_stream", "dedup_late", "collect_two_streams")
+    "stream_retries", "depth_stream", "dedup_late", "collect_two_streams",
+    "items_all", "items_incremental", "items_incremental_status", "items_get_stored", "log_from_offsets", "collect_from", "search_kept")
 
 
 @pytest.fixture(scope="module")
@@ -217,3 +218,35 @@ def test_no_query_uses_a_cross_join_or_one_partition(spark, name):
     text = plan(QUERIES[name](spark, DATA))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition"):
         assert bad not in text
+
+
+def test_applying_changes_leaves_the_stored_table_where_it_is(spark):
+    path = scratch(spark, "items")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    items.store_items(spark.range(4000).selectExpr("id", "concat('n', id) as name", "'' as description", "1.0 as price"), path)
+    items.compact_items(spark, path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    before = files_below(path)
+    ids = spark.createDataFrame([(5,), (9,), (9999,)], "id long")
+    picked = commits.picked(spark, path, items.ITEM, "id", [], ids)
+    assert "Exchange" not in plan(picked) and 1 <= len(picked.inputFiles()) < len(before)
+    changes_ = spark.createDataFrame([(1, 5, "DELETE", None, None, None), (2, 9, "PATCH", "new", None, 2.0), (3, None, "POST", "made", None, 3.0)],
+                                     "seq long, id long, op string, name string, description string, price double")
+    told = {(r["seq"], r["id"], r["status"]) for r in items.apply_stored(spark, path, changes_, 4000).collect()}
+    assert told == {(1, 5, 200), (2, 9, 200), (3, 4000, 201)} and before <= files_below(path)
+    got = {r["id"]: (r["name"], r["price"]) for r in items.stored_items(spark, path).filter("id in (4, 5, 9, 4000)").collect()}
+    assert got == {4: ("n4", 1.0), 9: ("new", 2.0), 4000: ("made", 3.0)}
+
+
+def test_only_entries_behind_the_positions_are_read(spark, fx, tmp_path):
+    logs.produce(task_log(fx), f"{tmp_path}/log")
+    text = plan(logs.read_log(spark, f"{tmp_path}/log", after={"scrape.input.api": {0: 10}}))
+    assert "GreaterThan(offset,10)" in text
+
+
+def test_kept_tasks_are_not_decoded_again(spark, fx):
+    kept = zset.with_tasks(spark.createDataFrame([(b"x", 1)], "member binary, score long"))
+    assert "ArrowEval" in plan(kept)
+    again = spark.createDataFrame(kept.collect(), kept.schema)
+    assert "ArrowEval" not in plan(zset.search(again, fx.tasks()))
