@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.rows import ROW, whole
 from sheaf.llm.words import ALNUM, Words, chunks, texts_of
 from sheaf.session import few_rows, settled
 
@@ -175,7 +176,12 @@ def judged(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
             (a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["to"], x["s"]))).alias("n"), F.greatest(a["to"], x["e"]).alias("to")),
     )["n"]
     hit = found.groupBy("key").agg(covered.alias("n_hit"))
-    listed = found.select("key", "window").distinct().join(items_of, "window").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("ids"))
+    # many documents have the same windows, so items are listed once for each set of windows and brought to them by its digest
+    places = settled(found.groupBy("key").agg(F.array_sort(F.collect_set("window")).alias("windows")).withColumn(
+        "of", F.sha2(F.to_json("windows").cast("binary"), 256)))
+    sets = places.groupBy("of").agg(F.first("windows").alias("windows")).select("of", F.explode("windows").alias("window"))
+    lists = sets.join(items_of, "window").groupBy("of").agg(F.array_sort(F.collect_set("item")).alias("ids"))
+    listed = places.select("key", "of").join(lists, "of").drop("of")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return (
@@ -189,10 +195,11 @@ def judged(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated. Few rows are: only those go through the last join's small side."""
-    key = ["__id", "__none", "__hash"]
-    marked = docs.withColumns({
-        "__id": F.coalesce(F.col(doc_id), F.lit(0)), "__none": F.col(doc_id).isNull(), "__hash": F.xxhash64(F.col(text))})
-    named = marked.select(F.struct(*key).alias("__row"), F.col(text).alias("__text"))
-    bad = judged(named, items, "__row", "__text", item_id, item_text).filter("contaminated").select("doc_id.*").distinct()
-    return marked.join(few_rows(settled(bad)), key, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are not contaminated. Few rows are: only those go through the last join's small side. Other columns may
+    have any names and types."""
+    marked = docs.select(whole(docs), F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
+    named = marked.select(F.struct("id", "hash").alias("name"), "text")
+    bad = judged(named, items, "name", "text", item_id, item_text).filter("contaminated").select(
+        F.col("doc_id.id").alias("bad"), F.col("doc_id.hash").alias("bad_hash")).distinct()
+    same = F.col("id").eqNullSafe(F.col("bad")) & (F.col("hash") == F.col("bad_hash"))
+    return marked.join(few_rows(settled(bad)), same, "left_anti").select(f"{ROW}.*")

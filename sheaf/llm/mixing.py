@@ -3,10 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.session import few_rows, range_parts
+from sheaf.llm.rows import numbered
+from sheaf.session import few_rows, range_parts, settled
 
 SEED, POWER, HASH_BITS = "mix-1", 0.5, 52
-#: A rate above this is the sum of so many even parts that none is above it. More epochs than this are refused.
+#: A rate above this is the sum of so many even parts that none is above it.
 MOST_RATE = 500
 #: Copies of a row are dealt out in blocks of so many, as an array of all of them need not fit in memory.
 BLOCK = 1 << 16
@@ -27,8 +28,10 @@ def rates(docs: DataFrame, source: str, text: str, weights: dict | None, epochs:
 
     A source's share of the mixed characters is its weight's share; without weights, that of the square root of its size.
     Sources that no weight names, and those without any character, have rate 0. The total is ``epochs`` times the input's.
+    The sizes are summed once and kept, one row for each source.
     """
     sizes = docs.groupBy(F.col(source).alias("__source")).agg(F.sum(F.coalesce(F.length(text), F.lit(0))).cast("double").alias("__size"))
+    sizes = settled(sizes)
     if weights is None:
         wish = F.pow("__size", F.lit(POWER))
     else:
@@ -64,32 +67,33 @@ def mixed(
     repeated rows come equally often. A null source is a source; null and empty texts have no size and come as
     their source's do. Of a rate above 500, which a source that is small beside the others has, the number is the sum of
     independent Poisson numbers of even parts of the rate, each the inverse at a hash of its own; so there is no
-    highest rate, up to the 2^31 that ``copy`` can count. Only ``epochs`` above 500 are refused. Only the sources' rates are joined, broadcast if
-    few; the global order needs no sampling, as hashes are even: one shuffle.
+    highest rate, up to the 2^31 that ``copy`` can count. Only the sources' rates are joined, broadcast if
+    few; the global order needs no sampling, as hashes are even: one shuffle. Other columns may have any names and types.
     """
-    if epochs > MOST_RATE:
-        raise ValueError(f"all sources are to be repeated more than {MOST_RATE} times")
     key = row_key(doc_id, text)
     parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / MOST_RATE)).cast("int")
     table = rates(docs, source, text, weights, epochs).select("__source", parts.alias("__parts"), steps(F.col("__rate") / parts).alias("__steps"))
 
-    def u(draw):
-        return (hashed(F.lit(seed), draw, key) + 0.5) / F.lit(float(1 << HASH_BITS))
+    def u(draw, of=key):
+        return (hashed(F.lit(seed), draw, of) + 0.5) / F.lit(float(1 << HASH_BITS))
 
     def drawn(at):
         return F.size(F.filter("__steps", lambda c: c <= at)).cast("long")
 
-    more = F.aggregate(F.sequence(F.lit(1), F.col("__parts") - 1), F.lit(0).cast("long"), lambda n, i: n + drawn(u(F.concat(F.lit("n"), i.cast("string")))))
+    kept, made = F.col("__key"), ["copy", "order_key"]
+    names = list(dict.fromkeys([*docs.columns, *made]))
+    more = F.aggregate(F.sequence(F.lit(1), F.col("__parts") - 1), F.lit(0).cast("long"), lambda n, i: n + drawn(u(F.concat(F.lit("n"), i.cast("string")), kept)))
     first = F.col("__block") * BLOCK
     counted = (
-        docs.withColumn("__u", u(F.lit("n"))).join(few_rows(table), F.col(source).eqNullSafe(F.col("__source")))
+        docs.select(*numbered(docs), F.col(source).alias("__of"), key.alias("__key"), u(F.lit("n")).alias("__u"))
+        .join(few_rows(table), F.col("__of").eqNullSafe(F.col("__source")))
         .withColumn("__n", drawn(F.col("__u")) + F.when(F.col("__parts") > 1, more).otherwise(0))
         .filter(F.col("__n") > 0)
         .withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / BLOCK))))
         .withColumn("copy", F.explode(F.sequence((first + 1).cast("int"), F.least(first + BLOCK, F.col("__n")).cast("int"))))
-        .withColumn("order_key", hashed(F.lit(seed), F.lit("order"), key, F.col("copy").cast("string")))
-        .select(*dict.fromkeys([*docs.columns, "copy", "order_key"]))
+        .withColumn("order_key", hashed(F.lit(seed), F.lit("order"), F.col("__key"), F.col("copy").cast("string")))
+        .select(*[c if c in made else f"c{docs.columns.index(c)}" for c in names])
     )
     n = range_parts(docs)
     place = F.floor(F.col("order_key") / F.lit(float(1 << HASH_BITS)) * n).cast("int")
-    return counted.repartitionById(n, place).sortWithinPartitions("order_key", "copy")
+    return counted.repartitionById(n, place).sortWithinPartitions("order_key", "copy").toDF(*names)

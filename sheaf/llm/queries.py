@@ -37,7 +37,7 @@ rated AS (SELECT source, CASE WHEN size > 0 THEN wish / sum(wish) OVER () * tota
 keyed AS (SELECT d.*, coalesce(d.doc_id::VARCHAR, 'null-' || md5(coalesce(d.text, ''))) AS k, r.rate
           FROM documents d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source),
 drawn AS (SELECT *, (('0x' || substr(md5('mix-1:n:' || k), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM keyed),
-counted AS (SELECT *, len(list_filter(range(0, 120), lambda j: list_sum(list_transform(range(0, j + 1),
+counted AS (SELECT *, len(list_filter(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT)), lambda j: list_sum(list_transform(range(0, j + 1),
               lambda i: exp(-rate + CASE WHEN i > 0 THEN i * ln(rate) ELSE 0 END - lgamma(i + 1)))) <= u)) AS n
             FROM drawn WHERE rate > 0)
 SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy,

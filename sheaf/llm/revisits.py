@@ -79,6 +79,7 @@ def resolved(records: DataFrame) -> DataFrame:
         "record_id", canonical(F.col("url")).alias("key"), "date", F.coalesce(full, F.lit(False)).alias("full"),
         (F.col("warc_type") == "revisit").alias("revisit"), lowered(F.col("headers")).alias("headers"), "digest", "n_bytes",
     ).filter("full or revisit")
+    rows = settled(rows)  # used three times; bodies are not in it
     usable = F.col("key").isNotNull() & F.col("date").isNotNull() & F.col("record_id").isNotNull()
     pairs = latest_earlier(rows.filter(usable).select("key", "date", "full", "record_id")).distinct()
     stored = rows.filter("full").groupBy(F.col("record_id").alias("of")).agg(F.min(F.struct("digest", "n_bytes", "headers")).alias("stored"))

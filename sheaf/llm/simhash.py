@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.llm.components import components
+from sheaf.llm.rows import ROW, content_hash, whole
 from sheaf.session import settled
 
 SHINGLE, SEED, AT_ONCE = 3, 42, 1 << 16
@@ -80,19 +81,21 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """The rows of ``docs`` without near copies: of each component the row with the smallest id.
 
     A repeated smallest id keeps one of its rows, which is the same one on each run: the one with the smallest hash of
-    its content. Rows with a null id count as after all others.
+    its content. Rows with a null id count as after all others. Other columns may have any names and types.
     """
-    key = ["__id", "__none", "__hash"]
-    marked = docs.withColumns({
-        "__id": F.coalesce(F.col(doc_id), F.lit(0)), "__none": F.col(doc_id).isNull(), "__hash": F.xxhash64(*docs.columns),
-    })
-    prints = settled(marked.select(*key, fingerprints(F.col(text)).alias("__fp")))
-    firsts = settled(prints.groupBy("__fp").agg(F.min(F.struct("__none", "__id", "__hash")).alias("first")))
-    roots = components(near_pairs(firsts, "__fp"), "a", "b")
-    labelled = firsts.join(roots, F.col("__fp") == F.col("node"), "left").select("first", F.coalesce("root", "__fp").alias("label"))
+    key = ["id", "none", "hash"]
+    marked = docs.select(
+        whole(docs), F.col(text).alias("text"), F.col(doc_id).isNull().alias("none"), content_hash(docs).alias("hash"), F.col(doc_id).alias("id"))
+    # a null id meets its own kind by the next column
+    least = F.lit(0).cast(marked.schema["id"].dataType) if isinstance(marked.schema["id"].dataType, T.NumericType) else F.lit("").cast(marked.schema["id"].dataType)
+    marked = marked.withColumn("id", F.coalesce("id", least))
+    prints = settled(marked.select(*key, fingerprints(F.col("text")).alias("fp")))
+    firsts = settled(prints.groupBy("fp").agg(F.min(F.struct("none", "id", "hash")).alias("first")))
+    roots = components(near_pairs(firsts, "fp"), "a", "b")
+    labelled = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("root", "fp").alias("label"))
     kept = labelled.groupBy("label").agg(F.min("first").alias("first")).select("first.*")
-    equal_rows = Window.partitionBy(*key).orderBy("__hash")
+    equal_rows = Window.partitionBy(*key).orderBy("hash")
     return (
-        marked.join(kept, key, "left_semi").withColumn("__n", F.row_number().over(equal_rows))
-        .filter(F.col("__n") == 1).select(*docs.columns)
+        marked.drop("text").join(kept, key, "left_semi").withColumn("n", F.row_number().over(equal_rows))
+        .filter(F.col("n") == 1).select(f"{ROW}.*")
     )

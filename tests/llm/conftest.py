@@ -28,6 +28,14 @@ def odd(llm):
         " copy int, contaminated boolean, first long")
 
 
+@pytest.fixture(scope="session")
+def odder(odd):
+    """The same with columns of names and types that clash more."""
+    return odd.selectExpr(
+        "*", "'n' as __n", "'h' as __hash", "doc_id as __id", "1 as __score", "'r' as __row", "'u' as __u", "text as hash", "map('k', key) as tags",
+        "parse_json('{\"a\": 1}') as doc", "3 as `dot.ted name`", "struct(1 as `x.y`, map(1, 2) as m) as nested", "doc_id as id", "text as `tick``s`")
+
+
 @pytest.fixture(scope="session")
 def none(odd):
     return odd.limit(0)
