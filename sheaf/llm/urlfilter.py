@@ -1,16 +1,17 @@
 """URL rules by host and path, as a sorted sweep over reversed hosts."""
 
+from bisect import bisect_left
+from operator import neg
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.taskcontext import TaskContext
 
 from sheaf.session import few_rows, range_parts, settled
 
 #: Ends each label of a reversed host; it sorts below all characters of host names.
 DOT = "\x01"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RULE = "array<struct<host:string,path:string,rule:string,verdict:string>>"
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -30,14 +31,17 @@ def fits(host: str, path: str, rule_host: str, rule_path: str) -> bool:
 
 
 class Level:
-    """The rules of one host: an interval of keys, nested in those of the hosts above it."""
+    """The rules of one host met so far: an interval of keys, nested in those of the hosts above it."""
 
     def __init__(self, key: str, host: str):
         self.key, self.host, self.rules, self.lengths = key, host, {}, []
 
     def add(self, path: str, rule: str, verdict: str):
+        if path not in self.rules:
+            n, at = len(path), bisect_left(self.lengths, -len(path), key=neg)
+            if at == len(self.lengths) or self.lengths[at] != n:
+                self.lengths.insert(at, n)  # as many as there are lengths of paths, the longest first
         self.rules[path] = max(self.rules.get(path, ("", "")), (rule, verdict))
-        self.lengths = sorted({len(p) for p in self.rules}, reverse=True)
 
     def best(self, host: str, path: str):
         if host == self.host or host.endswith("." + self.host):
@@ -48,10 +52,10 @@ class Level:
 
 
 def sweep(batches):
-    """Sorted (key, is_url, id, host, path, rule, verdict) rows to the longest rule begun in this partition, for each url."""
-    part, stack = TaskContext.get().partitionId(), []
+    """(carried, key, is_url, id, host, path, rule, verdict) rows of one range, carried rules first and all in order, to the longest rule for each url."""
+    stack = []
     for batch in batches:
-        keys, is_url, ids, hosts, paths, rules, verdicts = (batch.column(i).to_pylist() if i != 2 else batch.column(i) for i in range(7))
+        keys, is_url, hosts, paths, rules, verdicts = (batch.column(i).to_pylist() for i in (1, 2, 4, 5, 6, 7))
         found = []
         for key, url, host, path, rule, verdict in zip(keys, is_url, hosts, paths, rules, verdicts):
             while stack and not key.startswith(stack[-1].key):
@@ -63,22 +67,21 @@ def sweep(batches):
             if not stack or stack[-1].key != key:
                 stack.append(Level(key, host))
             stack[-1].add(path, rule, verdict)
-        take = pa.array(is_url)
-        of = batch.filter(take)
+        of = batch.filter(pa.array(is_url, pa.bool_()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part] * len(found), pa.int32()), of.column(0), of.column(2), of.column(3), of.column(4),
-             pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())],
-            names=["part", "key", "id", "host", "path", "rule", "verdict"])
+            [of.column(3), of.column(4), of.column(5), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())],
+            names=["id", "host", "path", "rule", "verdict"])
 
 
 def judged(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages``; ``rules`` has (rule, verdict), a rule being host and path.
 
     A rule fits its host and the subdomains, if the url's path starts with the rule's. The longest that fits decides, and
-    ``default`` where none does. Urls and rules are sorted together by reversed host; a sweep over each range of them keeps a
-    stack of the rules whose interval it is in, so only rules of the current host and those above it are held. A range's
-    first key names the rules that reach into it from earlier ranges: those of its own host and the hosts above it.
-    The path and id are part of the order, so one host with a third of all rows is cut into many ranges.
+    ``default`` where none does. Urls and rules are sorted together by reversed host and then path, so a rule's interval holds the urls
+    it may fit; a sweep over each range of them keeps a stack of the hosts whose interval it is in, with their rules. Into a range reach from
+    earlier ranges the rules of its first key's host and of the hosts above it; they are put in front of the range as rows. Of the own host these
+    are only the rules whose path begins that of the first key, if the range does not go on to another host. The path and id are part of the
+    order, so one host with a third of all rows, or with very many rules, is cut into many ranges, and nearly all its rules go through one.
 
     A null url has empty host and path. Of rules given twice, the verdict that sorts first counts; null rules count for
     nothing, and so do null verdicts. Repeated rows each get a row; no rules leave all to ``default``.
@@ -98,24 +101,21 @@ def judged(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: st
     rows = urls.select(
         host_key(F.col("host")).alias("key"), F.lit(True).alias("is_url"), "id", "host", "path", nothing.alias("rule"), nothing.alias("verdict"),
     ).unionByName(listed.select("key", F.lit(False).alias("is_url"), F.lit(None).cast(kind).alias("id"), "host", "path", "rule", "verdict"))
-    order = ["key", "is_url", "path", "id"]
-    swept = settled(
-        rows.repartitionByRange(range_parts(pages), *order).sortWithinPartitions(*order)
-        .mapInArrow(sweep, f"part int, key string, id {kind}, host string, path string, rule string, verdict string")
-    )
+    order = ["key", "path", "is_url", "id"]
+    n = range_parts(pages)
+    placed = settled(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
     labels = F.slice(F.split("key", DOT), F.lit(1), F.size(F.split("key", DOT)) - 1)
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), DOT), F.lit(DOT)))
-    firsts = swept.groupBy("part").agg(F.min("key").alias("key"))
-    carried = (
-        firsts.select("part", F.explode(above).alias("key")).join(listed, "key")
-        .groupBy("part").agg(F.collect_list(F.struct("host", "path", "rule", "verdict")).alias("carried"))
+    firsts = placed.groupBy("part").agg(F.min(F.struct("key", "path")).alias("first"), F.max("key").alias("last")).select(
+        "part", F.col("first.key").alias("key"), F.col("first.path").alias("first_path"), "last")
+    reaching = firsts.select("part", "first_path", "last", F.col("key").alias("own"), F.explode(above).alias("key")).join(few_rows(settled(listed)), "key")
+    inside = (F.col("key") == F.col("own")) & (F.col("last") == F.col("own"))  # a range within one host
+    carried = reaching.filter(~inside | F.startswith(F.col("first_path"), F.col("path"))).select(
+        F.lit(True).alias("carried"), "key", F.lit(False).alias("is_url"), F.lit(None).cast(kind).alias("id"), "host", "path", "rule", "verdict", "part")
+    swept = (
+        placed.withColumn("carried", F.lit(False)).unionByName(carried).repartitionById(n, F.col("part"))
+        .sortWithinPartitions(F.col("carried").desc(), *order)
+        .select("carried", "key", "is_url", "id", "host", "path", "rule", "verdict")
+        .mapInArrow(sweep, f"id {kind}, host string, path string, rule string, verdict string")
     )
-    of_url = swept.join(few_rows(carried), "part", "left")
-    reach = F.filter("carried", lambda r: F.startswith(F.col("path"), r["path"]) & (
-        (F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"]))))
-    own = F.when(F.col("rule").isNotNull(), F.array(F.struct("rule", "verdict"))).otherwise(F.array().cast("array<struct<rule:string,verdict:string>>"))
-    all_rules = F.concat(own, F.coalesce(F.transform(reach, lambda r: F.struct(r["rule"].alias("rule"), r["verdict"].alias("verdict"))),
-                                         F.array().cast("array<struct<rule:string,verdict:string>>")))
-    best = F.array_max(F.transform(all_rules, lambda r: F.struct(F.length(r["rule"]).alias("n"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
-    return of_url.withColumn("best", best).select(
-        F.col("id").alias("page_id"), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return swept.select(F.col("id").alias("page_id"), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

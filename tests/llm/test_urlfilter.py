@@ -1,4 +1,5 @@
 import random
+import time
 
 from conftest import DATA
 
@@ -53,3 +54,35 @@ def test_nested_rules_over_many_ranges(llm):
         assert found(pages.limit(0), odd) == []
     finally:
         llm.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_very_many_rules_of_one_host_take_linear_time(llm):
+    seconds = []
+    for n in (20_000, 80_000):
+        level, start = urlfilter.Level("k", "h"), time.perf_counter()
+        for i in range(n):
+            level.add(f"/{i}/" + "x" * (i % 50), f"h/{i}", "block")
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 12 * seconds[0] + 0.1
+    rules = [(f"h.org/{i}/", "block" if i % 2 else "allow") for i in range(20_000)] + [("h.org/7/8", "allow"), ("org/9", "block")]
+    urls = [(i, f"http://h.org/{i * 13 % 25_000}/{i % 9}") for i in range(3000)] + [(4000, "http://sub.h.org/77/x"), (4001, "http://z.org/9")]
+    by_path = {r: v for r, v in rules}
+
+    def judged(host, path):
+        fit = [r for n in range(1, len(path) + 1) if (r := f"h.org{path[:n]}") in by_path] if host.endswith("h.org") else []
+        fit += ["org/9"] if path.startswith("/9") else []
+        best = max(fit, key=lambda r: (len(r), r), default=None)
+        return best, by_path.get(best, "allow")
+
+    llm.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        rows = found(llm.createDataFrame(urls, "page_id long, url string"), llm.createDataFrame(rules, "rule string, verdict string"))
+    finally:
+        llm.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(rows) == len(urls) and all((rule, verdict) == judged(host, path) for _, host, path, rule, verdict in rows)
+
+
+def test_very_long_urls(llm):
+    urls = [(1, "http://a.org/" + "p/" * 200_000), (2, "http://" + "l." * 300 + "org/x"), (3, "x" * 300_000)]
+    rules = [("a.org/" + "p/" * 1000, "block"), ("org/x", "block")]
+    assert found(llm.createDataFrame(urls, "page_id long, url string"), llm.createDataFrame(rules, "rule string, verdict string")) == brute(urls, rules)
