@@ -28,6 +28,8 @@ PLACES = set("area list item items bar box block section container wrap wrapper
 OF_OTHERS = set("comment comments respond reply replies discussion disqus related recommended".split())
 #: A form holds article text if it holds an article, a first heading, or so many words in blocks of so many.
 FORM_WORDS, FORM_BLOCK = 40, 20
+#: Names of an article's first paragraph, on elements of text.
+LEADS, TEXT_ELEMENTS = {"teaser"}, set("p h1 h2 h3 h4 h5 h6 blockquote".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 
 TAG = re.compile(
@@ -58,6 +60,9 @@ LABELLED = [
     (8, 0.0, 5, 0.0, 0, 0.0, 0.5, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0.5, 0, 0, 0), (6, 0.9, 3, 1.0, 40, 0.0, 0.5, 0, 0, 0),
     (60, 0.0, 50, 0.0, 70, 0.0, 0.5, 0, 0, 1), (45, 0.1, 40, 0.0, 30, 0.0, 0.5, 1, 0, 1), (80, 0.0, 7, 0.0, 60, 0.0, 0.5, 0, 0, 1),
     (22, 0.0, 60, 0.0, 55, 0.0, 0.5, 1, 0, 1), (6, 0.0, 70, 0.0, 52, 0.0, 0.5, 1, 0, 1), (35, 0.0, 8, 0.0, 38, 0.0, 0.5, 0, 0, 1),
+    (4, 0.0, 1, 1.0, 40, 0.0, 0.5, 0, 1, 1), (3, 0.0, 2, 1.0, 30, 0.0, 0.5, 0, 1, 1), (2, 0.0, 0, 0.0, 25, 0.0, 0.5, 0, 1, 1),
+    (30, 0.0, 60, 0.0, 5, 0.0, 0.5, 0, 0, 1), (30, 0.0, 60, 0.0, 0, 0.0, 0.5, 0, 0, 1), (24, 0.0, 18, 0.0, 12, 0.0, 0.5, 0, 0, 1),
+    (7, 0.0, 6, 0.0, 11, 0.0, 0.5, 0, 0, 0), (5, 0.0, 9, 0.0, 6, 0.0, 0.5, 0, 0, 0),
     (7, 0.0, 2, 1.0, 60, 0.0, 0.5, 0, 1, 1), (5, 0.0, 40, 0.0, 55, 0.0, 0.5, 1, 1, 1), (30, 0.0, 0, 0.0, 45, 0.0, 0.5, 0, 0, 1),
     # reader comments
     (25, 0.0, 3, 0.5, 18, 0.0, 1, 0, 0, 0), (40, 0.0, 2, 1.0, 33, 0.0, 1, 1, 0, 0), (3, 0.5, 40, 0.0, 25, 0.0, 1, 0, 0, 0),
@@ -82,6 +87,31 @@ LABELLED = [
     (120, 0.0, 5, 1.0, 14, 0.0, 0, 0, 0, 1), (35, 0.2, 2, 1.0, 28, 0.0, 0, 0, 0, 1), (40, 0.0, 22, 0.0, 6, 0.0, 0, 0, 0, 1),
     (28, 0.0, 4, 0.0, 3, 1.0, 0, 0, 0, 1), (16, 0.0, 5, 0.0, 19, 0.0, 0, 0, 0, 1), (50, 0.0, 0, 0.0, 45, 0.0, 0, 0, 0, 1),
 ]
+#: Labelled pages: of each block its words, its share of linked words, whether it is a heading, and 1 where it is main text. None has a mark of
+#: an article or of boilerplate, so that only the blocks and their neighbours can tell. Fixed values.
+LABELLED_PAGES = [
+    # a menu, a recipe with its list, a footer of links
+    [(1, 1, 0, 0), (1, 1, 0, 0), (2, 1, 0, 0), (3, 0, 1, 1), (12, 0, 0, 1), (3, 0, 0, 1), (2, 0, 0, 1), (1, 0, 0, 1), (4, 0, 0, 1), (18, 0, 0, 1), (9, 0, 0, 1), (2, 1, 0, 0), (1, 1, 0, 0)],
+    # a dialogue between a menu and a line of rights behind links
+    [(2, 1, 0, 0), (2, 1, 0, 0), (5, 0, 1, 1), (7, 0, 0, 1), (4, 0, 0, 1), (1, 0, 0, 1), (3, 0, 0, 1), (11, 0, 0, 1), (2, 0, 0, 1), (6, 0, 0, 1), (3, 1, 0, 0), (6, 0, 0, 0)],
+    # short paragraphs and nothing else
+    [(3, 0, 0, 1), (3, 0, 0, 1)], [(8, 0, 0, 1), (5, 0, 0, 1), (10, 0, 0, 1)], [(1, 0, 0, 1), (2, 0, 0, 1), (1, 0, 0, 1), (4, 0, 0, 1)], [(6, 0, 0, 1)],
+    [(4, 0, 1, 1), (9, 0, 0, 1), (2, 0, 0, 1)], [(15, 0, 0, 1), (7, 0, 0, 1)], [(2, 0, 0, 1), (14, 0, 0, 1), (3, 0, 0, 1), (9, 0, 0, 1)],
+    # a list of terms
+    [(1, 1, 0, 0), (1, 1, 0, 0), (1, 1, 0, 0), (2, 0, 1, 1), (1, 0, 0, 1), (1, 0, 0, 1), (2, 0, 0, 1), (1, 0, 0, 1), (3, 0, 0, 1), (2, 0.5, 0, 0), (4, 1, 0, 0)],
+    # a site's name above its menu, long paragraphs with short ones between, a line of rights behind them
+    [(2, 0, 0, 0), (1, 1, 0, 0), (2, 1, 0, 0), (6, 0, 1, 1), (55, 0, 0, 1), (4, 0, 0, 1), (70, 0.1, 0, 1), (2, 0, 0, 1), (38, 0, 0, 1), (5, 0, 0, 0)],
+    [(3, 0, 0, 0), (1, 1, 0, 0), (1, 1, 0, 0), (80, 0, 0, 1), (41, 0.1, 0, 1), (26, 0, 0, 1), (7, 0, 0, 0)], [(7, 0, 1, 1), (33, 0, 0, 1), (48, 0, 0, 1), (3, 0, 0, 0)],
+    # a line of links behind a paragraph, and further reading
+    [(4, 0, 1, 1), (25, 0.1, 0, 1), (9, 0, 0, 1), (40, 0, 0, 1), (3, 0.9, 0, 0), (8, 1, 0, 0), (7, 1, 0, 0), (9, 1, 0, 0)],
+    # verse
+    [(1, 1, 0, 0), (2, 1, 0, 0), (3, 0, 1, 1), (7, 0, 0, 1), (6, 0, 0, 1), (8, 0, 0, 1), (5, 0, 0, 1), (2, 1, 0, 0), (5, 0, 0, 0)],
+    # short last lines ahead of links, and a word or two behind long paragraphs
+    [(1, 1, 0, 0), (4, 0, 1, 1), (3, 0, 0, 1), (2, 0, 0, 1), (4, 0, 0, 1), (2, 1, 0, 0)], [(5, 0, 0, 1), (4, 0, 0, 1), (3, 0, 0, 1), (3, 1, 0, 0), (1, 1, 0, 0)],
+    [(2, 1, 0, 0), (9, 0, 0, 1), (6, 0, 0, 1), (1, 0, 0, 1), (4, 1, 0, 0)], [(6, 0, 1, 1), (60, 0, 0, 1), (4, 0, 0, 1), (45, 0, 0, 1), (2, 0, 0, 0)],
+    [(50, 0, 0, 1), (44, 0, 0, 1), (1, 0, 0, 0)], [(2, 1, 0, 0), (2, 0, 1, 1), (1, 0, 0, 1), (3, 0, 0, 1), (2, 1, 0, 0)],
+    [(1, 1, 0, 0), (6, 0, 0, 1), (1, 0, 0, 1), (16, 0, 0, 1), (4, 1, 0, 0), (1, 1, 0, 0)],
+]
 
 
 def mark_of(name: str) -> float:
@@ -122,11 +152,21 @@ class Mark:
 
     def __init__(self, value: float, form: bool, others: bool):
         self.value, self.form, self.others, self.words = value, form, others, 0
+        self.before = None  # what an article in it lowered
 
     def holds_article(self, tag: str):
-        if tag == "main" or not self.others:
+        if tag == "main":
+            self.value, self.before = 0.0, None
+        elif not self.others:
+            if self.value:
+                self.before = self.value
             self.value = 0.0
 
+    def stands_beside_main(self):
+        """The page's main text is elsewhere, so the articles in here are others."""
+        if self.before is not None:
+            self.value = self.before
+
     def holds_text(self, words: int, link: float, heading: int):
         if self.form and self.value == 1.0:
             self.words += words if words >= FORM_BLOCK and link < 0.5 else 0
@@ -140,7 +180,7 @@ class Blocks:
     def __init__(self):
         self.open: list[tuple[str, bool, bool, Mark | None]] = []  # (tag, is boilerplate, is article, mark)
         self.parts, self.linked, self.in_link, self.heading = [], 0, 0, 0
-        self.texts, self.found = [], []
+        self.texts, self.found, self.has_main, self.marks = [], [], False, []
 
     def text(self, raw: str):
         value = unescape(raw) if "&" in raw else raw
@@ -183,6 +223,9 @@ class Blocks:
         article = tag in ARTICLE or bool(names & ARTICLE_NAMES)
         boiler = tag in BOILER or hidden
         mark = 1.0 if tag == "form" else 0.0 if tag in ("html", "body", "main", "article") else mark
+        if tag in TEXT_ELEMENTS and names & LEADS:
+            mark = 0.0  # a paragraph of the article that holds it
+        self.has_main |= tag == "main"
         if tag in ARTICLE:
             for x in self.open:
                 if x[3]:
@@ -190,7 +233,15 @@ class Blocks:
         boiler |= tag == "header" and not any(x[2] for x in self.open)
         if tag == "p" and self.open and self.open[-1][0] == "p":
             self.open.pop()
-        self.open.append((tag, boiler, article and not boiler and mark < 1, Mark(mark, tag == "form", others) if mark else None))
+        held = Mark(mark, tag == "form", others) if mark else None
+        if held:
+            self.marks.append(held)
+        self.open.append((tag, boiler, article and not boiler and mark < 1, held))
+
+    def finish(self):
+        self.flush()
+        for mark in self.marks if self.has_main else ():
+            mark.stands_beside_main()
 
     def end(self, tag: str):
         if tag in INLINE:
@@ -252,7 +303,7 @@ def blocks_of(html: str) -> Blocks:
             out.start(tag, attributes)
     if at < len(html):
         out.text(html[at:])
-    out.flush()
+    out.finish()
     return out
 
 
@@ -264,7 +315,7 @@ def table_of(rows: list[tuple]) -> np.ndarray:
     return np.hstack([near, np.vstack([none, near[:-1]])[: len(near)], np.vstack([near[1:], none])[-len(near) :] if len(near) else near, own[:, 2:]])
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9):
     """A classification tree by Gini impurity: a label, or (feature, limit, tree up to it, tree above it)."""
     if depth == 0 or y.min() == y.max():
         return int(2 * y.sum() > len(y))
@@ -292,8 +343,14 @@ def decide(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def labelled() -> np.ndarray:
+    """The labelled blocks: those of the table, and those of the labelled pages with their neighbours."""
+    pages = [np.hstack([table_of([(w, link, 0, 0, h) for w, link, h, _ in page]), [[y] for *_, y in page]]) for page in LABELLED_PAGES]
+    return np.vstack([np.array(LABELLED, float), *pages])
+
+
 def trained(table=None):
-    rows = np.array(LABELLED if table is None else table, float)
+    rows = labelled() if table is None else np.array(table, float)
     return grow(rows[:, :-1], rows[:, -1])
 
 

@@ -86,3 +86,50 @@ def test_names_and_forms_around_an_article():
         assert extract.main_text_of(f"<body>{menu}{page}<footer>All rights are with us.</footer></body>", tree) == want, page
     for name in ("sidebar", "primary-sidebar", "sidebar-2", "cookie-notice", "comments-area", "share-buttons", "related-posts"):
         assert extract.main_text_of(f"<body>{article}<div class={name}><p>{text[0]}</p><p>{text[2]}</p></div></body>", tree) == want, name
+
+
+def words(n, of="w"):
+    return " ".join(f"{of}{i}" for i in range(n))
+
+
+MENU = "<ul><li><a href=a>Home</a><li><a href=b>About us</a><li><a href=c>Shop</a></ul>"
+LINKS = "<div><a href=x>More like this</a></div><div><a href=y>Imprint</a></div>"
+#: Pages without any mark of an article: before, main text, after.
+UNMARKED = [
+    ("", ["Short one here.", "Another short one."], ""),
+    (MENU, ["Pancakes", "A plain dish for four, quickly made on any day.", "200 g flour", "2 eggs", "milk", "Mix all and wait a while before you fry them one by one in butter."], LINKS),
+    ("<div><a href=q>Log</a></div>" + MENU, ["The garden", "'Who is there?' she asked.", "'No,' she said.", "'Why?'", "'Just so.'", "He went on to the gate and waited there."], LINKS),
+    (MENU, ["Terms", "One", "Two things", "Three", "Four more things"], LINKS),
+    (MENU, ["A long report", words(60), words(4, "s"), words(80), words(2, "t"), words(45)], "<p>Some rights</p>"),
+    ("<p>My site</p>" + MENU, ["On the sea", "The waves go in, the waves go out,", "and what was here is gone,", "no man can say what they are about,", "they only carry on"], LINKS),
+    (MENU, [words(30), words(9), words(22)], "<div><a href=1>Further reading</a></div><div><a href=2>On other things</a></div>"),
+    ("", [words(7), words(12)], ""),
+]
+
+
+def test_pages_without_any_mark():
+    tree = extract.trained()
+    kept = right = wanted = 0
+    for before, blocks, after in UNMARKED:
+        body = "".join(f"<h2>{b}</h2>" if i == 0 and len(b.split()) < 5 and len(blocks) > 2 else f"<p>{b}</p>" for i, b in enumerate(blocks))
+        got = extract.main_text_of(f"<body>{before}<div>{body}</div>{after}</body>", tree).split("\n")
+        kept, wanted = kept + sum(len(b.split()) for b in got), wanted + sum(len(b.split()) for b in blocks)
+        right += sum(len(b.split()) for b in got if b in blocks)
+        assert set(blocks) - set(got) == set() or sum(len(b.split()) for b in set(blocks) - set(got)) < 4, (got, blocks)
+    assert 2 * right / (kept + wanted) >= 0.95
+
+
+def test_density_and_neighbours_decide():
+    def used(tree):
+        return set() if isinstance(tree, int) else {extract.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3])
+
+    assert {"link", "link_before", "link_after", "words_before", "words_after"} <= used(extract.trained())
+
+
+def test_leads_and_sidebars_with_articles():
+    tree = extract.trained()
+    text = [words(40), words(30), words(20)]
+    page = f"<article><p class='teaser'>{text[0]}</p><p>{text[1]}</p></article>"
+    assert extract.main_text_of(page, tree) == "\n".join(text[:2])
+    page = f"<div class='sidebar'><article><p>{text[2]}</p></article></div><main><p>{text[0]}</p><p>{text[1]}</p></main>"
+    assert extract.main_text_of(page, tree) == "\n".join(text[:2])
