@@ -18,12 +18,12 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ["assign", "access", "hex", "value"]
 #: Before a credential's value, besides the above. The search goes on right behind the keyword, as its value may hold the next context.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code|key)?|pwd|secret|token|api[_-]?key|(?:access|private|client|auth)[_-]?(?:key|secret|token)|credentials?|bearer)(?=\\{0,3}["']?\x20{0,3}(?P<sign>[:=]|is\x20|\x20)\x20{0,3}(?P<quote>\\{0,3}["']|))""",
+    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code|key)?|pwd|secret|token|api[_-]?key|(?:access|private|client|auth)[_-]?(?:key|secret|token)|credentials?|bearer)(?=\\*["']?\x20*(?P<sign>[:=]|is\x20|\x20)\x20*(?P<quote>\\*["']|))""",
     re.I | re.A)
 #: Where a value without quotes ends: at a space or a character outside ASCII, at a quote that closes what is around it, at a tag, and at a
 #: comma, semicolon or & before the next name. In a query string every & ends it.
-NAME = r"""(?=[A-Za-z_][\w.-]{0,60}["']?\x20?[:=])"""
-ENDS = r"""[^!-~]|\\{0,3}["'`](?![A-Za-z0-9])|[,;](?=[^!-~]|\Z|\\{0,3}["'\[{])|[,;&]""" + NAME + r"""|<(?=/?[A-Za-z])|&(?=amp;)"""
+NAME = r"""(?=[A-Za-z_][\w.-]*["']?\x20?[:=])"""
+ENDS = r"""[^!-~]|\\*["'`](?![A-Za-z0-9])|[,;](?=[^!-~]|\Z|\\*["'\[{])|[,;&]""" + NAME + r"""|<(?=/?[A-Za-z])|&(?=amp;)"""
 END, QUERY_END, LINE_END = re.compile(ENDS, re.A), re.compile(ENDS + "|&", re.A), re.compile(r"[\r\n]")
 CLOSED = {q: re.compile(rf"(?:[^{q}\\\r\n]|\\[^\r\n])*+{q}") for q in "\"'"}
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer")
@@ -38,13 +38,23 @@ COMMON = (
     "access private public client server database prod dev local host null none true false value string redacted hidden "
     "the and for you with this that from have not are was all can has but one our out day get time name word pass code "
     "summer winter spring autumn monday friday january march april june july august december baseball batman trustno "
-    "killer flower cookie coffee chocolate computer internet google love hello world computer apple banana orange"
+    "killer flower cookie coffee chocolate computer internet google love hello world computer apple banana orange "
+    "here my insert replace enter put api auth credential bearer set value begin end rsa example todo none env config"
 ).split()
+#: Words of the corpus that follow these in the ranks: so many at the most, of so many occurrences or more.
+MOST_WORDS, LEAST_COUNT = 40_000, 3
+#: What joins words, and what stands for a value elsewhere: both are cheap to guess.
+SEPARATORS, SEPARATOR_COST, REFERENCE_COST = "-_./ ", 0.3, 2.0
+#: References to a value that is kept elsewhere, from here to the end: templates, variables, settings read by code, a key file's first line, and
+#: requests to put a value in.
+REFERENCE = re.compile(
+    r"""(?:\{\{|\$[({]|<%|%\(|<[A-Za-z]|\$[A-Za-z_]\w*\Z|%[A-Za-z_]+%\Z|(?:os|process|system|env|environ|getenv|config|cfg|settings|vault|secrets?|self|this|args|options|opts|request|req|params|ctx|context)(?:\.|->|::|[(\[]["']?)[A-Za-z_"')\]]|-+BEGIN\x20|(?:your|insert|replace|enter|put|change|my)[-_ ](?:own|me|with|the|your|api|access|private|secret|client|auth|token|key|password)(?![A-Za-z0-9]))""",
+    re.I)
 ROWS = ["`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./"]
 WALKS = [*ROWS, "abcdefghijklmnopqrstuvwxyz", "0123456789", "1qaz", "2wsx", "3edc", "4rfv", "5tgb", "6yhn", "7ujm"]
 LEET = str.maketrans("@4301$57!", "aaeoissti")
 DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
-LONGEST_UNIT = 8  # of repeats
+SHORT_UNIT = 8  # of repeats that are looked for at each place; longer ones by their beginning
 
 
 def brute(text: str) -> float:
@@ -74,7 +84,7 @@ def log_guesses(value: str, words: dict[str, int], enough: float = math.inf) ->
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain, longest = low.translate(LEET), max(map(len, words), default=0)
     best, ahead = [0.0] + [math.inf] * n, []  # the latter: (cost, place) of places reached
-    same, units = [0] * (LONGEST_UNIT + 1), {}  # how far the text goes on as it did so many characters before; costs of repeated units
+    same, units = [0] * (SHORT_UNIT + 1), {}  # how far the text goes on as it did so many characters before; costs of repeated units
 
     def offer(i, j, cost):
         if best[i] + cost < best[j]:
@@ -82,13 +92,23 @@ def log_guesses(value: str, words: dict[str, int], enough: float = math.inf) ->
             heapq.heappush(ahead, (best[j], j))
 
     def repeat(i):
-        for size in range(1, LONGEST_UNIT + 1):
+        for size in range(1, SHORT_UNIT + 1):
             at = max(i, same[size])
             while at + size < n and low[at] == low[at + size]:
                 at += 1
             same[size] = at
             if at - i >= size:
                 return size, (at - i) // size + 1
+        probe = low[i : i + SHORT_UNIT + 1]
+        j = low.find(probe, i + SHORT_UNIT + 1)
+        while j >= 0 and 2 * j - i <= n:  # where a longer unit may begin again
+            unit = low[i:j]
+            if low.startswith(unit, j):
+                times = 2
+                while low.startswith(unit, i + times * len(unit)):
+                    times += 1
+                return len(unit), times
+            j = low.find(probe, j + 1)
         return None
 
     for i in range(n):
@@ -96,7 +116,10 @@ def log_guesses(value: str, words: dict[str, int], enough: float = math.inf) ->
             heapq.heappop(ahead)
         if ahead and ahead[0][0] >= enough:
             return ahead[0][0]
-        offer(i, i + 1, brute(value[i]))
+        offer(i, i + 1, SEPARATOR_COST if value[i] in SEPARATORS else brute(value[i]))
+        if value[i] in "{$<%-" or not i:
+            if REFERENCE.match(value, i):
+                offer(i, n, REFERENCE_COST)
         for j in range(i + 2, min(n, i + longest) + 1):
             for form, extra in ((low, 0.0), (plain, 0.3)):
                 rank = words.get(form[i:j])
@@ -108,7 +131,7 @@ def log_guesses(value: str, words: dict[str, int], enough: float = math.inf) ->
         if r := repeat(i):
             unit = low[i : i + r[0]]
             if unit not in units:
-                units[unit] = log_guesses(unit, words) if len(unit) > 1 else 1.1
+                units[unit] = log_guesses(unit, words, enough) if len(unit) > 1 else 1.1
             offer(i, i + r[0] * r[1], units[unit] + math.log10(r[1]))
         if (k := walk_of(low, i)) >= 3:
             for j in range(i + 3, i + k + 1):
@@ -176,7 +199,7 @@ def value_spans(text: str, base: list[tuple], words: dict[str, int]) -> list[tup
             continue
         value = text[start:end]
         least = PLAIN_GUESSES if not marked and value.isalpha() and (value[1:].islower() or value.isupper()) else LEAST_GUESSES
-        if 0 < len(easy) - len(value) <= LONGEST_UNIT and easy.startswith(value) and easy.endswith(value):
+        if 0 < len(easy) - len(value) <= SHORT_UNIT and easy.startswith(value) and easy.endswith(value):
             easy = value  # a repeat, once less often than the one before
             continue
         if log_guesses(value, words, least) >= least:
@@ -187,12 +210,22 @@ def value_spans(text: str, base: list[tuple], words: dict[str, int]) -> list[tup
     return out
 
 
-def scanner(words: list[str] | None = None):
+def word_ranks(docs: DataFrame, text: str = "text", most: int = MOST_WORDS) -> list[str]:
+    """The commonest words of all texts, as guessers rank them: ``COMMON``, and behind it up to ``most`` words of the corpus, which are
+    what reaches the driver. Words are runs of letters, small but for the first; lines that speak of credentials are left out, as a secret that
+    many copies have is no common word."""
+    lines = F.regexp_replace(F.col(text).cast("string"), r"(?im)^.*(?:pass|pwd|secret|token|key|credential|bearer).*$", "")
+    words = docs.select(F.explode(F.regexp_extract_all(lines, F.lit(r"(?<!\p{L})(\p{L}\p{Ll}{2,23})(?!\p{L})"), F.lit(1))).alias("word"))
+    counts = words.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_COUNT)
+    return [*COMMON, *(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect())]
+
+
+def scanner(words: list[str]):
     """A column function from a text to its spans and counts."""
     ranks = {}
-    for w in COMMON if words is None else words:
+    for w in words:
         ranks.setdefault(w.lower(), len(ranks) + 1)
-    ranks = {w: i for w, i in ranks.items() if len(w) > 2}
+    ranks = {w: i for w, i in ranks.items() if len(w) > 1}
 
     @F.arrow_udf("struct<n_assign:bigint,n_access:bigint,n_hex:bigint,base_sha256:string,spans:string>")
     def scan(texts: pa.Array) -> pa.Array:
@@ -217,6 +250,9 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     A null or empty text has no spans. ``spans`` lists kind:start:end, in code points, by start: the fixed patterns and
     the ``value`` spans, those of credential contexts whose value takes 10^8 guesses or more; after a bare space or "is", a word
     of letters alone, in small ones or in capitals but for its first, counts from 10^16, as prose goes on so. A value that meets a fixed pattern's span has no span of its own.
+
+    Guesses are counted by the cheapest cut of a value into words, dates, repeats, keyboard walks, separators, references to values kept
+    elsewhere, and brute force. The words are ranked by their count in all of ``docs``, unless ``words`` gives others.
     """
-    found = scanner(words)(F.col(text))
+    found = scanner(word_ranks(docs, text) if words is None else words)(F.col(text))
     return docs.select(F.col(doc_id).alias("doc_id"), found.alias("found")).select("doc_id", "found.*")

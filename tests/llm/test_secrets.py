@@ -116,3 +116,46 @@ def test_letters_and_few_characters_count_by_their_cost():
     assert values("bearer QxZvRtYpLmNbKjHg, pwd is 'xqzvkwjyb'") == ["QxZvRtYpLmNbKjHg", "xqzvkwjyb"]
     assert values("passcode=1001101000110") == ["1001101000110"]
     assert values("pwd: passwordsecretadmin; token=" + "*" * 30 + "\nthe secret ingredients, a token representatives gave") == []
+
+
+PROSE = (
+    "The information about our customers is here. You may replace the placeholder with your own value. The ingredients of the recipe are a matter of taste, "
+    "and the representatives gave their answers in time. A session begins with a handshake, and the certificate is rotated. Correct answers count, a staple "
+    "of each battery of questions; horse and rider went on. Production and staging servers have configuration of their own. Winter comes, and the weather turns.")
+SECRETS = [
+    "pwd: xK9#vQ2$mT", "passphrase = 'tr0ub4dor&3xQz!'", "client_secret: f8Zq!w3Lr0Np", "secret is 7hG2kd9LmQ4", '{"passcode":"Lm4#z,8&Rt"}', "bearer QxZvRtYpLmNbKjHg",
+    "private_key: MIIEvQIBADANBgkqh#kiG9w0", "auth-token = v1.Xk92#Lq8Zr", "pass: G7$kLp0!vWx", "pwd=Zk3^Tq9_Lw2;user=bob", "access_secret:   pQ8&nB5*hY1", "passkey: 9f$Kq2Lz#8Wv",
+    "credentials: hT6!rV9@cX3", "client-token is Wm4%Zr8^Qk1", "pwd: 'correct horse battery staple zebra quilt'", "secret =     nX5(bV2)mK8", "api-key : zQ7~pL3+tR9", "passwd is 'Jw2{Yh6}Ns4'",
+    "pass = d8K!f0Q?x3Z", "pwd: qZx81-Vn27-Lk63", "a_very_long_name_that_goes_on_and_on_and_on_and_on_and_on_and_on_client_secret_x pwd: B6#nR1$kT9",
+]
+HARMLESS = [
+    "passphrase: information", "pwd: your-api-key-here", 'token = os.environ["GITHUB_TOKEN"', "private_key: -----BEGIN RSA PRIVATE KEY-----", "auth_token: {{ vault.token }}", "secret: ${DB_SECRET}",
+    "pwd = process.env.DB_PASSWORD", "token: <your-token-here>", "passcode: changeme123", "pass: password-password-password-password", "client_secret = config.get('secret')", "pwd: 2024-01-31",
+    "the secret ingredients were lost", "a token representatives gave", "secret is information", "pwd=aaaaaaaaaaaaaaaa", "passwd: qwertyuiop", "bearer certificate", "credentials: production-server", "pass: ************",
+    "pwd: winter2024", "token = settings.SECRET_KEY", "private_key: insert-your-private-key-here", "pwd: abcdefghijkl-abcdefghijkl-abcdefghijkl", "secret=%DB_PASSWORD%", "pwd: $(cat/run/secrets/db",
+]
+
+
+def test_planted_secrets(llm):
+    lines = [(i, t, i < len(SECRETS)) for i, t in enumerate([*SECRETS, *HARMLESS])]
+    docs = llm.createDataFrame([(i, f"{PROSE}\n{t}\n{PROSE}") for i, t, _ in lines], "doc_id long, text string")
+    found = {r["doc_id"]: "value:" in r["spans"] for r in secrets.scanned(docs).collect()}
+    hits = [i for i, _, _ in lines if found[i]]
+    true = [i for i, _, secret in lines if secret]
+    wrong = [t for i, t, secret in lines if found[i] != secret]
+    assert len(set(hits) & set(true)) / len(hits) >= 0.95 and len(set(hits) & set(true)) / len(true) >= 0.95, wrong
+
+
+def test_words_are_those_of_the_corpus(llm, none):
+    docs = llm.createDataFrame([(1, "Alpha alpha. Alpha\nmy secret gammaray gammaray gammaray"), (2, "beta Beta betA éclair Éclair éclair x1 ab"), (3, None)], "doc_id long, text string")
+    assert secrets.word_ranks(docs)[len(secrets.COMMON) :] == ["alpha", "éclair"]
+    assert secrets.word_ranks(none) == secrets.COMMON
+
+
+def test_long_units_and_names_have_no_bound():
+    unit = "Xk9#vQ2$mTw8"
+    assert secrets.log_guesses(unit * 50, RANKS) <= secrets.log_guesses(unit, RANKS) + 2
+    name = "n" * 500
+    assert values(f"pwd: Xk9$w2Q!,{name}=1") == ["Xk9$w2Q!"]
+    assert values("pwd" + " " * 900 + ":" + " " * 900 + "Xk9$w2Q!") == ["Xk9$w2Q!"]
+    assert values('{' + "\\" * 7 + '"pwd' + "\\" * 7 + '":' + "\\" * 7 + '"Xk9$w2Q!' + "\\" * 7 + '"}') == ["Xk9$w2Q!"]
