@@ -1,15 +1,17 @@
 """Structured records from page trees, and answers of a caller's model."""
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sheaf.functions import selectors
-from sheaf.operators.html import count_matches, first_match, text_of
+from sheaf.operators.html import count_matches, first_match, text_of, walked
+from sheaf.session import spread
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,104 @@ def extract_records(trees: DataFrame, spec: dict[str, Field], keep: tuple[str, .
     return trees.select("page_id", *keep, *fields)
 
 
+class Automaton:
+    """All selectors of a spec as one automaton over the elements of a page in document order.
+
+    A state is a field and the step it waits for: at any element below, or only at the children of the one before. An element inherits the states
+    of its parent. Sets of states are numbered as they come up, and so is which states of a set a tag can satisfy, so that an element
+    costs two look-ups, however many fields there are, and tests for those alone that its tag concerns.
+    """
+
+    def __init__(self, spec: dict[str, Field]):
+        self.fields = list(spec.values())
+        self.steps = [selectors.css(f.selector) for f in self.fields]
+        self.sets, self.numbers, self.moves, self.unions = [], {}, {}, {}
+        self.start = self.number(frozenset((f, 0) for f in range(len(self.fields))))
+        self.empty = self.number(frozenset())
+
+    def number(self, states: frozenset) -> int:
+        if states not in self.numbers:
+            self.numbers[states] = len(self.sets)
+            self.sets.append(states)
+        return self.numbers[states]
+
+    def satisfied(self, below: int, children: int, tag: str) -> list:
+        """(field, step's place, tests) of the states of two sets that an element of this tag can satisfy."""
+        key = below, children, tag
+        found = self.moves.get(key)
+        if found is None:
+            found = self.moves[key] = [
+                (f, k, self.steps[f][k].tests) for f, k in sorted(self.sets[below] | self.sets[children]) if self.steps[f][k].tag in (None, tag)]
+        return found
+
+    def with_more(self, number: int, more: tuple) -> int:
+        if not more:
+            return number
+        key = number, more
+        if key not in self.unions:
+            self.unions[key] = self.number(self.sets[number] | frozenset(more))
+        return self.unions[key]
+
+    def run(self, rows: list) -> tuple[list[int | None], list[int]]:
+        """Of each field the first node that matches, and how many do."""
+        first, count = [None] * len(self.fields), [0] * len(self.fields)
+        below, children = [], []
+        for i, (parent, _, tag, attrs, *_) in enumerate(rows):
+            near, there = (below[parent], children[parent]) if parent >= 0 else (self.start, self.empty)
+            deeper, directly = (), ()
+            for f, k, tests in self.satisfied(near, there, tag) if tag[0] != "#" else ():
+                if tests and not passes(dict(attrs), tests):
+                    continue
+                if k + 1 == len(self.steps[f]):
+                    count[f] += 1
+                    if first[f] is None:
+                        first[f] = i
+                elif self.steps[f][k + 1].child:
+                    directly += ((f, k + 1),)
+                else:
+                    deeper += ((f, k + 1),)
+            below.append(self.with_more(near, deeper))
+            children.append(self.with_more(self.empty, directly))
+        return first, count
+
+
+def passes(attrs: dict[str, str], tests: tuple) -> bool:
+    for name, op, value in tests:
+        own = attrs.get(name)
+        if own is None or op == "word" and value not in re.split(r"\s+", own) or op == "is" and own != value:
+            return False
+    return True
+
+
+def extract_pages(pages: DataFrame, spec: dict[str, Field], key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``extract_records`` of pages that are parsed for this alone: one pass over a page's nodes finds all fields, and
+    only these leave Python, not the nodes. For many fields, or trees that nothing else uses."""
+    names = [f"f{i}" for i in range(len(spec))]
+
+    @F.arrow_udf(StructType([StructField(n, StringType()) for n in names]))
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        machine = Automaton(spec)
+        for column in batches:
+            out = [[] for _ in names]
+            for page in column.to_pylist():
+                text, rows = (b"", []) if page is None else walked(page)
+                first, count = machine.run(rows)
+                for values, field, node, n in zip(out, machine.fields, first, count):
+                    if field.count:
+                        values.append(str(n))
+                    elif node is None:
+                        values.append(None)
+                    elif field.attr:
+                        values.append(dict(rows[node][3]).get(field.attr))
+                    else:
+                        values.append(text[rows[node][4] : rows[node][5]].decode("utf-8", "replace"))
+            yield pa.StructArray.from_arrays([pa.array(v, pa.string()) for v in out], names)
+
+    found = spread(pages.select(key, *keep, html)).select(F.col(key).alias("page_id"), *keep, read.asNondeterministic()(html).alias("found"))
+    kinds = [("long" if f.type == "string" else f.type) if f.count else f.type for f in spec.values()]
+    return found.select("page_id", *keep, *[F.col("found")[n].try_cast(t).alias(name) for n, t, name in zip(names, kinds, spec)])
+
+
 def structure_with_model(
     sections: DataFrame, prompt: str, open_model: Callable[[], Callable[[list[str]], list[str]]], text: str = "text"
 ) -> DataFrame:

@@ -107,6 +107,11 @@ class _Walk(HTMLParser):
         return bytes(self.shown + self.raw), self.rows
 
 
+def walked(html: str) -> tuple[bytes, list]:
+    """A page's text, and its nodes as [parent, last, tag, attributes, text from, text to] in document order."""
+    return _Walk().walked(html)
+
+
 @F.arrow_udf(TREE)
 def _parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for pages in batches:

@@ -150,6 +150,22 @@ def records(fx: Inputs) -> DataFrame:
     return extract.extract_records(trees(fx), spec)
 
 
+MANY = ["a", "article", "body", "div", "h1", "head", "html", "li", "main", "nav", "p", "script", "title", "ul", "footer"]
+
+
+@check("records_many", r"""
+with clean as (select page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+ '(?s)<script>.*?</script>', '<script></script>', 'g') as html from pages),
+tags as (select page_id, unnest(regexp_extract_all(html, '<([a-z0-9]+)[ >]', 1)) as tag from clean),
+counts as (select page_id, """ + ", ".join(f"count(*) filter (tag='{t}') as n_{t}" for t in MANY) + f""" from tags group by page_id)
+select * from ({RECORDS}) r join counts using (page_id)""")
+def records_many(fx: Inputs) -> DataFrame:
+    """Twenty fields in one pass over each page's nodes."""
+    spec = {"title": Field("title"), "heading": Field("h1"), "lang": Field("html", attr="lang"),
+            "first_link": Field("nav li a", attr="href"), "links": Field("a", count=True), **{f"n_{t}": Field(t, count=True) for t in MANY}}
+    return extract.extract_pages(fx.table("pages"), spec)
+
+
 @check("structured", f"""
 select page_id, cast(length({plain(AD)}) as bigint) as chars from pages where contains(html, '<div class="ad">')""")
 def structured(fx: Inputs) -> DataFrame:

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from sheaf.functions.skew import CHECK_ABOVE_BYTES, lookup
 from sheaf.operators.attempts import OK, TRANSPORT_ERROR, classify, failed_queue, resolve_attempts
 from sheaf.operators.codec import decode
-from sheaf.operators.extract import Field, extract_records
+from sheaf.operators.extract import Field, extract_pages
 from sheaf.operators.groups import live_tasks, profile
 from sheaf.operators.groups import profile_channels as profile_topics
-from sheaf.operators.html import parse_html
 from sheaf.operators.objects import object_keys
 from sheaf.operators.requests import build_requests, fetch, latest_captures
 from sheaf.plans.results import completions
@@ -92,7 +91,7 @@ def run_batch(log: DataFrame, captures: DataFrame, name: str = "scrape-all",
         tasks = tasks.join(finished.select("job_id").distinct(), "job_id", "left_anti")
     requests = settled(with_requests(tasks))
     pages = latest_captures(captures, requests)
-    per_page = settled(extract_records(parse_html(pages, keep=("url",)), spec, keep=("url",)))
+    per_page = settled(extract_pages(pages, spec, keep=("url",)))
     seen = lookup(requests, per_page, "url", "job_id", hot_above)
     outcome = (F.when(F.col("request_error").isNotNull(), F.col("request_error"))
                .when(F.col("page_id").isNull(), TRANSPORT_ERROR).otherwise(OK))

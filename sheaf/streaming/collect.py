@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from sheaf.functions.skew import CHECK_ABOVE_BYTES, lookup
 from sheaf.operators.attempts import OK, TRANSPORT_ERROR
 from sheaf.operators.codec import decode
-from sheaf.operators.extract import Field, extract_records
+from sheaf.operators.extract import Field, extract_pages
 from sheaf.operators.groups import profile_channels
-from sheaf.operators.html import parse_html
 from sheaf.operators.objects import object_keys
 from sheaf.plans.collect import PAGE_RECORD, WIDER, log_order, with_requests
 from sheaf.session import few_rows, settled_ids
@@ -95,7 +94,7 @@ def run_two_streams(spark: SparkSession, log_path: str, captures_path: str, out:
     """Starts the queries for raw results (``raw``), rejected entries and the records of captured pages (``pages``, each capture parsed once)
     over a log and a folder of captures that both grow."""
     captures = spark.readStream.schema(CAPTURE).parquet(captures_path)
-    parsed = extract_records(parse_html(captures, keep=("captured_at",)), spec, keep=("captured_at",))
+    parsed = extract_pages(captures, spec, keep=("captured_at",))
 
     def start(df: DataFrame, kind: str):
         writer = df.writeStream.format("parquet").option("checkpointLocation", f"{out}/_checkpoints/{kind}")
@@ -128,7 +127,7 @@ def raw_objects(raw: DataFrame, pages: DataFrame) -> DataFrame:
 def page_records(spark: SparkSession, pages: DataFrame, spec: dict[str, Field], path: str) -> DataFrame:
     """Records of all pages, kept below ``path``; pages that are there from an earlier run are not parsed again."""
     def records(of: DataFrame) -> DataFrame:
-        return extract_records(parse_html(of), spec).withColumn("page_id", F.col("page_id").cast("long"))
+        return extract_pages(of, spec).withColumn("page_id", F.col("page_id").cast("long"))
 
     schema = records(pages).schema
     ensure_table(spark, path, schema)

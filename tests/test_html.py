@@ -166,3 +166,40 @@ def test_a_page_is_parsed_once_for_all_fields(trees, spark):
     spec = {"a": Field("p"), "b": Field("div p"), "c": Field("p", count=True)}
     plan = extract.extract_records(html.parse_html(df), spec)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and plan.count("Exchange hash") == 0
+
+
+SELECTORS = ["a", "nav li a", "div > p", "ul > li > a", ".x", "#one", "[href]", "div p b", "div > .x [a=v]", "body > div > ul a", "* > b", "li li", "div.x > p.y"]
+
+
+def test_one_pass_equals_a_pass_for_each_field(spark):
+    import random
+
+
+    rng = random.Random(7)
+    tags = ["div", "p", "ul", "li", "a", "b", "nav", "body"]
+
+    def page(depth=0):
+        if depth > 6 or rng.random() < 0.2:
+            return rng.choice(["text ", "<br>", "&amp;x", "<script>if (a<b)</script>", "<!-- c -->"])
+        tag, attrs = rng.choice(tags), "".join(rng.sample([" class='x y'", " class=y", " id=one", " href='/l'", " a=v", " a"], rng.randrange(3)))
+        end = f"</{tag}>" if rng.random() < 0.85 else ""
+        return f"<{tag}{attrs}>" + "".join(page(depth + 1) for _ in range(rng.randrange(4))) + end
+
+    pages = spark.createDataFrame([(i, "".join(page() for _ in range(4))) for i in range(60)] + [(60, None), (61, "")], "page_id long, html string")
+    spec = {}
+    for i, s in enumerate(SELECTORS):
+        spec |= {f"t{i}": extract.Field(s), f"a{i}": extract.Field(s, attr="href"), f"n{i}": extract.Field(s, count=True)}
+    one, each = extract.extract_pages(pages, spec), extract.extract_records(html.parse_html(pages), spec)
+    assert one.schema == each.schema
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, each.collect()))
+
+
+def test_look_ups_grow_with_nodes_and_not_with_fields():
+
+    _, rows = html.walked("<div><p><b>x</b></p><p>y</p></div>" * 300)
+    sizes = []
+    for n in (1, 40):
+        machine = extract.Automaton({f"f{i}": extract.Field(f"table td.c{i}") for i in range(n)})
+        machine.run(rows)
+        sizes.append((len(machine.moves), len(machine.sets), max(map(len, machine.moves.values()))))
+    assert sizes[0] == sizes[1] and sizes[1][2] == 0
