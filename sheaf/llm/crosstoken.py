@@ -1,9 +1,15 @@
 """Alignment of two tokenizers' tokens, and corpus-wide counts of the id pairs that end together, by a minimal perfect hash."""
 
+import gc
 import json
 import os
 import re
+import sys
+import types
+import uuid
 from collections import Counter
+from contextlib import contextmanager
+from itertools import chain
 from operator import attrgetter
 
 import numpy as np
@@ -21,8 +27,11 @@ BEHIND = re.compile(r"\S(\s)")
 ODD = "\x1c\x1d\x1e\x1f"
 #: The pattern of byte-level preparation. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Units in a task's memory, and their characters; distinct units whose pairs are counted at a time.
-MOST_UNITS, MOST_CHARS, COUNTED = 500_000, 16 << 20, 100_000
+#: Where a unit is cut into pieces, behind a letter and before a sign or digit of ASCII, if no entry of B reaches over it; A's pattern does not.
+LETTER, SIGN = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]", r"[!-@\[-`{-~]"
+CUT, JOINED = re.compile(f"(?<={LETTER})(?={SIGN})"), re.compile(LETTER + SIGN)
+#: Units in a worker's memory, of each kind twice so many, and their characters; distinct units whose pairs are counted at a time.
+MOST_UNITS, MOST_CHARS, COUNTED, AT_ONCE = 250_000, 6 << 20, 100_000, 300
 #: Counts are summed in blocks of so many, in two steps of which the first has so many ways.
 BLOCK, WAYS = 4096, 64
 B_BITS = 32
@@ -82,9 +91,19 @@ class Pieces:
             i: bytes([int(t[3:5], 16)]) if self.model.is_byte(i) else t.replace("\u2581", " ").encode() for i, t in enumerate(names)}
         #: White space that some piece joins to something before it.
         self.joined = {c for t in names for c in BEHIND.findall(t.replace("\u2581", " "))}
+        self.at_signs = not any(JOINED.search(t) for i, t in enumerate(names) if not (
+            self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i)))
 
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode(text, num_threads=1)
+    def encode(self, parts: list[str]) -> list[int]:
+        """The ids of a text that begins with a space, cut where tokens end; some parts at a time, as the library is slower on long texts."""
+        texts, since = [], 0
+        while since < len(parts):
+            to = since + AT_ONCE
+            while to < len(parts) and parts[to][0] != " ":  # the space that the library puts before each
+                to += 1
+            texts.append("".join(parts[since:to])[1:])
+            since = to
+        return [i for ids in self.model.encode(texts, num_threads=1) for i in ids]
 
 
 class Unit:
@@ -101,35 +120,71 @@ def pairs_of(units) -> np.ndarray:
     return np.frombuffer(b"".join([u.pairs for u in units]), np.int64)
 
 
+class Known(dict):
+    """Units by their text, the newer half and the older half of those last met: what is met again is among the newer ones."""
+
+    def __init__(self):
+        self.older, self.chars = {}, 0
+
+    def turn(self) -> None:
+        """Forgets the older half, once the newer one is full."""
+        if len(self) > MOST_UNITS or self.chars > MOST_CHARS:
+            self.older, self.chars = dict(self), 0
+            self.clear()
+
+    def missing(self, parts: set) -> list[str]:
+        """Those of the parts that are not known; what is known is among the newer ones then."""
+        out = []
+        for p in parts.difference(self):
+            if p in self.older:
+                self.keep(p, self.older[p])
+            else:
+                out.append(p)
+        return out
+
+    def keep(self, part: str, unit) -> None:
+        self[part] = unit
+        self.chars += len(part)
+
+
 class Aligner:
-    """One task's two tokenizers, and the units of text they have met. Units have their ``groups`` if asked for."""
+    """Two tokenizers, and the units of text they have met."""
 
-    def __init__(self, a_spec: str, b_model: bytes, with_groups: bool = True):
-        self.with_groups = with_groups
+    def __init__(self, a_spec: str, b_model: bytes):
         self.a, self.b = ByteLevel(a_spec), Pieces(b_model)
         self.in_units = self.a.at_spaces and " " not in self.b.joined
         self.odd = re.compile(f"[{re.escape(ODD + ''.join(sorted(self.b.joined)))}]")
         self.sizes = [np.array([len(t.bytes.get(i, b"")) for i in range(max(t.bytes) + 1)], np.int64) for t in (self.a, self.b)]
         self.names = [str(i) for i in range(max(len(self.a.bytes), len(self.b.bytes)) + 1)]
-        self.known: dict[str, Unit] = {}
-        self.bad: set[str] = set()
-        self.chars = 0
+        self.known, self.pieces, self.counted_by, self.unspelt = Known(), Known(), None, False
+
+    def count_by(self, counts: str) -> None:
+        """Units that were looked up in other counts are to be looked up anew."""
+        if self.counted_by != counts:
+            self.counted_by = counts
+            for units in (self.known, self.known.older, self.pieces, self.pieces.older):
+                for u in units.values():
+                    if u is not None:
+                        u.count_sum = None
 
     def align(self, parts: list[str]) -> list[Unit] | None:
         """A text that begins with a space, cut where both tokenizers start anew, to a unit for each part; None if the tokens do not spell it."""
         text = "".join(parts)
-        whole, ids = text.encode(), (self.a.encode(text[1:]), self.b.encode(text[1:]))
+        whole, ids = text.encode(), (self.a.encode(text[1:]), self.b.encode(parts))
         if not whole or any(b"".join(map(t.bytes.__getitem__, x)) != whole for t, x in zip((self.a, self.b), ids)):
             return None
         a, b = (np.array(x, np.int64) for x in ids)
         a_ends, b_ends = (np.cumsum(size[x]) for size, x in zip(self.sizes, (a, b)))
-        _, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+        ends = np.zeros(len(whole) + 1, bool)
+        ends[a_ends] = True
+        at_b = np.flatnonzero(ends[b_ends])
+        at_a = np.searchsorted(a_ends, b_ends[at_b])
         pairs = (a[at_a] << B_BITS | b[at_b]).tobytes()
-        groups = self.grouped(*ids, at_a, at_b) if self.with_groups else []
-        ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in parts])
+        groups = self.grouped(*ids, at_a, at_b)
+        ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in parts])  # of the parts
         cuts = [np.append(0, np.searchsorted(x, ends, "right")).tolist() for x in (a_ends, b_ends, a_ends[at_a])]
         return [
-            Unit(x - w, y - v, ";".join(groups[u:z]), pairs[8 * u : 8 * z])
+            Unit(x - w, y - v, groups[u] if z - u == 1 else ";".join(groups[u:z]), pairs[8 * u : 8 * z])
             for w, x, v, y, u, z in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:], cuts[2], cuts[2][1:])]
 
     def grouped(self, a: list[int], b: list[int], at_a: np.ndarray, at_b: np.ndarray) -> list[str]:
@@ -142,37 +197,62 @@ class Aligner:
             for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b)]
 
     def learn(self, new: list[str]) -> None:
-        """Takes units in, all as one text behind a word; one by one, if their tokens do not spell it, and units of white space alone, which
-        would join what follows."""
-        words = [p for p in new if not p.isspace()]
-        found = dict(zip(words, (self.align([" x", *words]) or [])[1:]))
+        """Takes pieces in, all as one text: those that do not begin with white space behind a word. One by one, if their tokens do not spell it, and
+        those of white space alone, which would join what follows."""
+        parts, at = [" x"], {}
+        for p in new:
+            if not p.isspace():
+                if not p[0].isspace():
+                    parts.append(" x")
+                at[p] = len(parts)
+                parts.append(p)
+        found = self.align(parts)
         for p in new:
-            unit = found.get(p) or (self.align([" x", p]) or [None, None])[1]
-            if unit is None:
-                self.bad.add(p)
-            self.known[p] = unit
-            self.chars += len(p)
+            unit = found[at[p]] if found and p in at else (self.align([" x", p]) or [None, None])[1]
+            self.pieces.keep(p, unit)
+
+    def unit(self, pieces: list[str]) -> Unit | None:
+        """A unit from its pieces, or None if the tokens of one do not spell it."""
+        if len(pieces) == 1:
+            return self.pieces[pieces[0]]
+        units = [self.pieces[p] for p in pieces]
+        if None in units:
+            return None
+        return Unit(sum([u.n_a for u in units]), sum([u.n_b for u in units]), ";".join([u.groups for u in units]), b"".join([u.pairs for u in units]))
 
     def units(self, texts: list[str | None]) -> list[list[Unit]]:
         """Each text as units whose tokens, one after another, are those of the whole text; none for a text without tokens.
 
-        A unit is kept for the next texts. A text with a unit that its tokens do not spell is aligned as a whole.
+        Units and the pieces of units are kept for the next texts. A text with a unit that its tokens do not spell is aligned as a whole.
         """
-        if len(self.known) > MOST_UNITS or self.chars > MOST_CHARS:
-            self.known, self.bad, self.chars = {}, set(), 0
+        self.known.turn()
+        self.pieces.turn()
         parts = [UNIT.findall(" " + t) if t and self.in_units and not self.odd.search(t) else [] for t in texts]
-        new = list(set().union(*parts).difference(self.known))
+        new = self.known.missing(set().union(*parts))
         if new:
-            self.learn(new)
+            cuts = [CUT.split(p) for p in new] if self.b.at_signs else [[p] for p in new]
+            if pieces := self.pieces.missing(set(chain.from_iterable(cuts))):
+                self.learn(pieces)
+            for part, pieces in zip(new, cuts):
+                unit = self.unit(pieces)
+                self.unspelt |= unit is None
+                self.known.keep(part, unit)
         out = []
         for t, ps in zip(texts, parts):
-            if t and (not ps or self.bad and not self.bad.isdisjoint(ps)):
-                out.append(self.align([" " + t]) or [])
-            else:
-                out.append(list(map(self.known.__getitem__, ps)))
+            units = list(map(self.known.__getitem__, ps))
+            out.append(self.align([" " + t]) or [] if t and (not ps or self.unspelt and None in units) else units)
         return out
 
 
+def aligner_of(tokenizers) -> Aligner:
+    """The aligner of a Python worker, which serves many tasks."""
+    store = sys.modules.setdefault("sheaf_worker_store", types.ModuleType("sheaf_worker_store")).__dict__
+    key = "aligner", hash(tokenizers.value)
+    if key not in store:
+        store[key] = Aligner(*tokenizers.value)
+    return store[key]
+
+
 class PerfectHash:
     """A minimal perfect hash of distinct 64-bit keys, which are kept beside it to verify.
 
@@ -220,11 +300,23 @@ class PerfectHash:
         return n
 
 
+@contextmanager
+def without_collector():
+    """Units are many and in no cycles, so the garbage collector would go through them all again and again for nothing."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def partial_counts(texts: DataFrame, tokenizers) -> DataFrame:
     """(pair, n): the pairs that each task meets, with counts; a pair is A's id above 32 bits of B's id."""
 
     def run(batches):
-        aligner, met = Aligner(*tokenizers.value, with_groups=False), Counter()
+        aligner, met = aligner_of(tokenizers), Counter()
 
         def counted():
             n = np.fromiter(met.values(), np.int64, len(met))
@@ -233,13 +325,14 @@ def partial_counts(texts: DataFrame, tokenizers) -> DataFrame:
             met.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], names=["pair", "n"])
 
-        for batch in batches:
-            for units in aligner.units(batch.column(0).to_pylist()):
-                met.update(units)
-            if len(met) > COUNTED:
+        with without_collector():
+            for batch in batches:
+                for units in aligner.units(batch.column(0).to_pylist()):
+                    met.update(units)
+                if len(met) > COUNTED:
+                    yield counted()
+            if met:
                 yield counted()
-        if met:
-            yield counted()
 
     return texts.mapInArrow(run, "pair long, n long")
 
@@ -327,7 +420,7 @@ def aligned(docs: DataFrame, a_file: str, b_file: str, doc_id: str = "doc_id", t
     number is the highest of their B id, ties included. Texts are aligned twice: for the counts, and to look them up.
 
     Both tokenizers start anew where white space begins, so they run on what lies between these cuts, once for all its occurrences
-    that a task meets. Whether they do the files' own settings and entries tell; tokenizers that may reach over a space, and texts with
+    that a worker remembers. Whether they do the files' own settings and entries tell; tokenizers that may reach over a space, and texts with
     other white space that an entry joins to what is before it, such as a carriage return, are aligned as a whole.
 
     A null or empty text, and one that its tokens do not spell byte by byte, has no tokens: zeros and empty ``groups``. Repeated
@@ -338,17 +431,19 @@ def aligned(docs: DataFrame, a_file: str, b_file: str, doc_id: str = "doc_id", t
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     of = [attrgetter(name) for name in SUMS]
-    groups = attrgetter("groups")
+    groups, name = attrgetter("groups"), uuid.uuid4().hex
 
     def run(batches):
-        aligner = Aligner(*tokenizers.value)
-        for batch in batches:
-            units = aligner.units(batch.column(1).to_pylist())
-            held.value.fill([u for u in set().union(*units) if u.count_sum is None])
-            sums = {name: pa.array([sum(map(get, us)) for us in units], pa.int64()) for name, get in zip(SUMS, of)}
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0), "n_a": sums["n_a"], "n_b": sums["n_b"], "n_groups": sums["n_links"], "n_links": sums["n_links"],
-                "n_best": sums["n_best"], "count_sum": sums["count_sum"], "groups": pa.array([";".join(map(groups, us)) for us in units], pa.string())})
+        aligner = aligner_of(tokenizers)
+        aligner.count_by(name)
+        with without_collector():
+            for batch in batches:
+                units = aligner.units(batch.column(1).to_pylist())
+                held.value.fill([u for u in set().union(*units) if u.count_sum is None])
+                sums = {k: pa.array([sum(map(get, us)) for us in units], pa.int64()) for k, get in zip(SUMS, of)}
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column(0), "n_a": sums["n_a"], "n_b": sums["n_b"], "n_groups": sums["n_links"], "n_links": sums["n_links"],
+                    "n_best": sums["n_best"], "count_sum": sums["count_sum"], "groups": pa.array([";".join(map(groups, us)) for us in units], pa.string())})
 
     return rows.mapInArrow(
         run, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
