@@ -101,26 +101,38 @@ def fetch(
     return dealt.mapInPandas(run, ATTEMPTS)
 
 
+def latest_ids(captures: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+    """(url, page_id): the latest capture per URL, with ``urls`` only of those; found from these two columns alone, and settled."""
+    if urls is not None:
+        captures = captures.join(few_rows(settled_ids(urls.select("url").distinct())), "url", "left_semi")
+    return settled_ids(captures.groupBy("url").agg(F.max("page_id").alias("page_id")))
+
+
+def pages_of(captures: DataFrame, latest: DataFrame) -> DataFrame:
+    """(page_id, html) of the captures in place: those of ``latest`` if these are few, which a broadcast tells, else all of them, as moving
+    contents to sort out the rest would cost more than to carry it on to the next join by id."""
+    few = few_rows(latest.select("page_id"))
+    pages = captures.select("page_id", "html")
+    return pages if few.sameSemantics(latest.select("page_id")) else pages.join(few, "page_id", "left_semi")
+
+
 def latest_captures(captures: DataFrame, urls: DataFrame | None = None) -> DataFrame:
     """The latest capture per URL; with ``urls`` only of those.
 
-    The latest id per URL is found from these two columns alone, and the few asked ids are broadcast to
-    the captures, so contents are read once and neither sorted nor shuffled. Page ids are unique.
+    The few asked ids are broadcast to the captures, so contents are read once and neither sorted nor shuffled. Page ids are unique.
     """
-    everything = captures
-    if urls is not None:
-        captures = captures.join(few_rows(settled_ids(urls.select("url").distinct())), "url", "left_semi")
-    latest = settled_ids(captures.groupBy("url").agg(F.max("page_id").alias("page_id")))
-    return everything.select("url", "page_id", "html").join(few_rows(latest), ["url", "page_id"])
+    return captures.select("url", "page_id", "html").join(few_rows(latest_ids(captures, urls)), ["url", "page_id"])
 
 
 def fetch_captured(tasks: DataFrame, captures: DataFrame) -> DataFrame:
     """Tasks with the latest capture of their URL (``page_id``, ``html``), null where there is none.
 
-    Captures are reduced to one row per asked URL first. A URL that very many tasks ask for is
-    spread over many tasks by ``lookup``.
+    Tasks are brought to the ids of their captures first, without contents; these are then met by id, in one join. A URL that very
+    many tasks ask for is spread over many tasks by ``lookup``.
     """
-    found = lookup(tasks, latest_captures(captures, tasks), "url", spread_by="job_id")
+    latest = latest_ids(captures, tasks)
+    named = lookup(tasks, latest, "url", spread_by="job_id")
+    found = lookup(named, pages_of(captures, latest), "page_id", spread_by="job_id")
     return found.select(*tasks.columns, "page_id", "html")
 
 

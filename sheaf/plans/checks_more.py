@@ -31,7 +31,7 @@ union all select page_id, 'pre', concat('x', page_id, '  ', chr(10), ' c') from
 def text_spaces(fx: Inputs) -> DataFrame:
     """A no-break space is text, and any open ``pre`` keeps white space."""
     text = F.concat("html", F.lit("<td>&nbsp;</td><pre>x"), "page_id", F.lit("<b>  \n </b>c</pre>"))
-    trees = parse_html(fx.table("pages").withColumn("html", text))
+    trees = settled(parse_html(fx.table("pages").withColumn("html", text)))
     return html.find_all(trees, "td").unionByName(html.find_all(trees, "pre")).select("page_id", "tag", "text")
 
 

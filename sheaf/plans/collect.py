@@ -13,10 +13,10 @@ from sheaf.operators.extract import Field, extract_pages
 from sheaf.operators.groups import live_tasks, profile
 from sheaf.operators.groups import profile_channels as profile_topics
 from sheaf.operators.objects import object_keys
-from sheaf.operators.requests import build_requests, fetch, latest_captures
+from sheaf.operators.requests import build_requests, fetch, latest_ids, pages_of
 from sheaf.plans.results import completions
 from sheaf.schema import RETRY_WAIT_SECONDS, TOPICS
-from sheaf.session import settled
+from sheaf.session import few_rows, settled
 from sheaf.sources.log import Positions, positions, read_log
 
 #: How much wider a page is than the row that asks for it, at the least.
@@ -81,8 +81,8 @@ def run_batch(log: DataFrame, captures: DataFrame, name: str = "scrape-all",
     Every entry ends in one place: a job's outcome, ``rejected`` (undecodable bytes), a cancel or a copy. Jobs
     of ``finished`` (job_id), such as the ``ok`` ones of earlier runs, are left out.
 
-    Each page is parsed once, however many tasks ask for it, and the records (not the pages)
-    are then brought to the tasks. URLs that very many tasks ask for are looked for among more than ``hot_above`` bytes of
+    Each page is parsed once and where it is, however many tasks ask for it, and the records (not the pages)
+    are then brought to the tasks. Contents are moved once at the most, for the objects. URLs that very many tasks ask for are looked for among more than ``hot_above`` bytes of
     tasks, and spread. Tasks and records are kept in the shared folder: several
     outputs use them, and neither the log nor the pages should be gone through again for each.
     """
@@ -90,8 +90,9 @@ def run_batch(log: DataFrame, captures: DataFrame, name: str = "scrape-all",
     if finished is not None:
         tasks = tasks.join(finished.select("job_id").distinct(), "job_id", "left_anti")
     requests = settled(with_requests(tasks))
-    pages = latest_captures(captures, requests)
-    per_page = settled(extract_pages(pages, spec, keep=("url",)))
+    latest = latest_ids(captures, requests)
+    pages = pages_of(captures, latest)
+    per_page = settled(extract_pages(pages, spec).join(few_rows(latest), "page_id"))
     seen = lookup(requests, per_page, "url", "job_id", hot_above)
     outcome = (F.when(F.col("request_error").isNotNull(), F.col("request_error"))
                .when(F.col("page_id").isNull(), TRANSPORT_ERROR).otherwise(OK))
@@ -101,9 +102,8 @@ def run_batch(log: DataFrame, captures: DataFrame, name: str = "scrape-all",
         "job_id", "scrape_type", "url", "outcome", F.when(done, F.col("object_key")).alias("object_key"),
         F.col("timestamp").alias("finished_at"), *[F.when(done, F.col(f)).alias(f) for f in spec])
     stored = outcomes.filter(done)
-    asked = requests.filter(F.col("request_error").isNull()).select("job_id", "url", "timestamp")
-    content = lookup(
-        asked, pages.select("url", "html"), "url", "job_id", check_above=hot_above // WIDER).filter(F.col("html").isNotNull())
+    asked = seen.filter(F.col("request_error").isNull() & F.col("page_id").isNotNull()).select("job_id", "timestamp", "page_id")
+    content = lookup(asked, pages, "page_id", "job_id", check_above=hot_above // WIDER).filter(F.col("html").isNotNull())
     objects = object_keys(content, "timestamp", filename="data.html").select(
         "object_key", F.col("html").cast("binary").alias("content"), F.lit("text/html").alias("content_type"),
         F.unix_micros("timestamp").alias("seq"))

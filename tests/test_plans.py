@@ -250,3 +250,12 @@ def test_kept_tasks_are_not_decoded_again(spark, fx):
     assert "ArrowEval" in plan(kept)
     again = spark.createDataFrame(kept.collect(), kept.schema)
     assert "ArrowEval" not in plan(zset.search(again, fx.tasks()))
+
+
+def test_contents_of_very_many_captures_are_moved_once(spark, fx, monkeypatch):
+    monkeypatch.setattr("sheaf.session.FEW_ROWS", 0)
+    text = plan(requests.fetch_captured(fx.tasks().drop("page_id"), fx.table("pages")))
+    moved = [line for line in text.split("\n") if "Exchange" in line]
+    assert "Broadcast" not in text and moved
+    scans = [line for line in text.split("\n") if "FileScan" in line and "html:string" in line]
+    assert len(scans) == 1
