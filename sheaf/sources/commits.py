@@ -208,11 +208,16 @@ def compact(spark: SparkSession, path: str, schema: T.StructType, key: str, orde
 
 
 def fold(spark: SparkSession, path: str, written, schema: T.StructType, listed, replaces: list[str], number: int) -> str:
-    """Commits what a writer has to write in place of other commits and files, with a table of its files that ``listed`` makes."""
+    """Commits what a writer has to write in place of other commits and files, with a table of its files that ``listed`` makes. Of two
+    foldings at once the later one fails, and leaves the table as the other made it."""
     at = unfinished(path)
     written.parquet(at)
     listed(spark.read.schema(schema).parquet(at)).write.parquet(f"{at}/{RANGES}")
     spark.createDataFrame([(n,) for n in replaces], "name string").write.json(f"{at}/{REPLACES}")
+    now = live(spark, path)
+    there = {c.name for c in now.commits}
+    if any(c not in there or file in now.rewritten.get(c, ()) for c, _, file in (n.partition("/") for n in replaces)):
+        raise RuntimeError("another folding came first")
     return finish(spark, at, path, FOLDED, number)
 
 

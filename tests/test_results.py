@@ -10,7 +10,7 @@ from sheaf.plans.checks_results import task_log
 from sheaf.schema import OBJECT
 from sheaf.session import scratch
 from sheaf.sources import log as logs
-from sheaf.sources import objectstore
+from sheaf.sources import commits, objectstore
 from sheaf.streaming.collect import raw_objects, run_stream, settled_results
 from sheaf.streaming.depth import change_stream
 
@@ -46,6 +46,18 @@ def test_puts_and_removals(spark):
     assert there() == {**all_three, "bare": (b"6", "t", 1)}
 
 
+def test_of_two_foldings_one_is_made(spark):
+    path, schema = scratch(spark, "o"), OBJECT
+    objectstore.put_objects(spark, path, spark.createDataFrame([("a", b"1", "t", 1)], "object_key string, content binary, content_type string, seq long"))
+    found = commits.live(spark, path)
+    rows, names = commits.current(spark, path, schema, "object_key", ["seq"]), [c.name for c in found.commits]
+    listed = lambda kept: kept.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("object_key").alias("lo"))
+    commits.fold(spark, path, rows.write, schema, listed, names, found.commits[-1].at)
+    with pytest.raises(RuntimeError, match="another folding"):
+        commits.fold(spark, path, rows.write, schema, listed, names, found.commits[-1].at)
+    assert objectstore.live_objects(spark, path).count() == 1
+
+
 def test_preview(spark):
     rows = [("a", "é".encode() * 300), ("b", b"a" + "é".encode() * 300), ("c", b""), ("d", b"\xff\x00")]
     got = {r.object_key: r.preview for r in objects.preview(spark.createDataFrame(rows, "object_key string, content binary")).collect()}
