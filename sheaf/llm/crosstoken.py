@@ -133,18 +133,12 @@ class Known(dict):
             self.clear()
 
     def missing(self, parts: set) -> list[str]:
-        """Those of the parts that are not known; what is known is among the newer ones then."""
-        out = []
-        for p in parts.difference(self):
-            if p in self.older:
-                self.keep(p, self.older[p])
-            else:
-                out.append(p)
-        return out
-
-    def keep(self, part: str, unit) -> None:
-        self[part] = unit
-        self.chars += len(part)
+        """Those of the parts that are not known, for the caller to put in; what is known is among the newer ones then."""
+        met = parts.difference(self)
+        again = met.intersection(self.older)
+        self.update(zip(again, map(self.older.__getitem__, again)))
+        self.chars += sum(map(len, met))  # the others are to be put in
+        return list(met.difference(again))
 
 
 class Aligner:
@@ -209,12 +203,10 @@ class Aligner:
         found = self.align(parts)
         for p in new:
             unit = found[at[p]] if found and p in at else (self.align([" x", p]) or [None, None])[1]
-            self.pieces.keep(p, unit)
+            self.pieces[p] = unit
 
     def unit(self, pieces: list[str]) -> Unit | None:
         """A unit from its pieces, or None if the tokens of one do not spell it."""
-        if len(pieces) == 1:
-            return self.pieces[pieces[0]]
         units = [self.pieces[p] for p in pieces]
         if None in units:
             return None
@@ -233,10 +225,10 @@ class Aligner:
             cuts = [CUT.split(p) for p in new] if self.b.at_signs else [[p] for p in new]
             if pieces := self.pieces.missing(set(chain.from_iterable(cuts))):
                 self.learn(pieces)
+            known, single = self.known, self.pieces
             for part, pieces in zip(new, cuts):
-                unit = self.unit(pieces)
-                self.unspelt |= unit is None
-                self.known.keep(part, unit)
+                known[part] = single[pieces[0]] if len(pieces) == 1 else self.unit(pieces)
+            self.unspelt = self.unspelt or None in map(known.__getitem__, new)
         out = []
         for t, ps in zip(texts, parts):
             units = list(map(self.known.__getitem__, ps))
