@@ -35,7 +35,8 @@ MOST_UNITS, MOST_CHARS, COUNTED, AT_ONCE = 250_000, 6 << 20, 100_000, 300
 #: Counts are summed in blocks of so many, in two steps of which the first has so many ways.
 BLOCK, WAYS = 4096, 64
 B_BITS = 32
-SUMS = ["n_a", "n_b", "n_links", "n_best", "count_sum"]
+#: What is summed up for a text, and the bits that each has in a unit's number; the last one has all that are left.
+SUMS, SUM_BITS = ["n_a", "n_b", "n_links", "n_best", "count_sum"], 40
 
 
 def byte_table() -> dict[str, int]:
@@ -109,11 +110,11 @@ class Pieces:
 class Unit:
     """What the tokenizers make of a piece of text: how many tokens, the groups as text, and the pairs that end together, as 64-bit numbers."""
 
-    __slots__ = ("n_a", "n_b", "groups", "pairs", "n_links", "n_best", "count_sum")
+    __slots__ = ("n_a", "n_b", "groups", "pairs", "n_links", "sums")
 
     def __init__(self, n_a: int, n_b: int, groups: str, pairs: bytes):
         self.n_a, self.n_b, self.groups, self.pairs = n_a, n_b, groups, pairs
-        self.n_links, self.n_best, self.count_sum = len(pairs) // 8, None, None
+        self.n_links, self.sums = len(pairs) // 8, None  # all of ``SUMS`` in one number, once it is looked up
 
 
 def pairs_of(units) -> np.ndarray:
@@ -159,7 +160,7 @@ class Aligner:
             for units in (self.known, self.known.older, self.pieces, self.pieces.older):
                 for u in units.values():
                     if u is not None:
-                        u.count_sum = None
+                        u.sums = None
 
     def align(self, parts: list[str]) -> list[Unit] | None:
         """A text that begins with a space, cut where both tokenizers start anew, to a unit for each part; None if the tokens do not spell it."""
@@ -375,7 +376,7 @@ class Counts:
             edges = np.cumsum([0, *[u.n_links for u in units]]).tolist()
             sums, best = (np.append(0, np.cumsum(x))[edges] for x in (self.counts[n], self.best[n].astype(np.int64)))
             for u, s, b in zip(units, np.diff(sums).tolist(), np.diff(best).tolist()):
-                u.count_sum, u.n_best = s, b
+                u.sums = u.n_a | u.n_b << SUM_BITS | u.n_links << 2 * SUM_BITS | b << 3 * SUM_BITS | s << 4 * SUM_BITS
 
 
 def counted(docs: DataFrame, a_file: str, b_file: str, text: str = "text") -> tuple[Counts, object]:
@@ -422,8 +423,8 @@ def aligned(docs: DataFrame, a_file: str, b_file: str, doc_id: str = "doc_id", t
     held = docs.sparkSession.sparkContext.broadcast(found)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    of = [attrgetter(name) for name in SUMS]
-    groups, name = attrgetter("groups"), uuid.uuid4().hex
+    groups, number, name = attrgetter("groups"), attrgetter("sums"), uuid.uuid4().hex
+    low = (1 << SUM_BITS) - 1
 
     def run(batches):
         aligner = aligner_of(tokenizers)
@@ -431,8 +432,9 @@ def aligned(docs: DataFrame, a_file: str, b_file: str, doc_id: str = "doc_id", t
         with without_collector():
             for batch in batches:
                 units = aligner.units(batch.column(1).to_pylist())
-                held.value.fill([u for u in set().union(*units) if u.count_sum is None])
-                sums = {k: pa.array([sum(map(get, us)) for us in units], pa.int64()) for k, get in zip(SUMS, of)}
+                held.value.fill([u for u in set().union(*units) if u.sums is None])
+                totals = [sum(map(number, us)) for us in units]
+                sums = {k: pa.array([(t >> i * SUM_BITS) & low if i < 4 else t >> i * SUM_BITS for t in totals], pa.int64()) for i, k in enumerate(SUMS)}
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0), "n_a": sums["n_a"], "n_b": sums["n_b"], "n_groups": sums["n_links"], "n_links": sums["n_links"],
                     "n_best": sums["n_best"], "count_sum": sums["count_sum"], "groups": pa.array([";".join(map(groups, us)) for us in units], pa.string())})
