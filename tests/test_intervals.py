@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sheaf.operators import intervals
+from sheaf.session import RANGE_BYTES, plan_bytes, range_parts
 
 LOG = "channel string, msg_id long, payload string"
 ROWS = "grp string, channel string, msg_id long"
@@ -81,3 +83,10 @@ def test_an_empty_state_reads_from_the_start(spark):
     got, state = intervals.read_group_intervals(log, spark.createDataFrame([], "grp string, channel string, lo long, hi long"), "g", 2)
     assert [r["msg_id"] for r in got.orderBy("msg_id").collect()] == [3, 7]
     assert [tuple(r) for r in state.collect()] == [("g", "a", 3, 7)]
+
+
+def test_ranges_of_joined_rows_are_as_many_as_what_is_read_needs(spark):
+    a, b = (spark.range(1_000_000).withColumn(n, F.col("id") % 7).hint("shuffle_hash") for n in "ab")
+    assert plan_bytes(a.join(b, "id")) > 50_000 * RANGE_BYTES  # the product of both sides
+    assert range_parts(a.join(b, "id")) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert range_parts(spark.range(200_000_000)) == 200_000_000 * 8 // RANGE_BYTES
