@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from sheaf.functions import selectors
-from sheaf.operators.html import count_matches, first_match, text_of, walked
+from sheaf.operators.html import count_matches, first_match, parts, text_of, walked
 from sheaf.session import spread
 
 
@@ -123,7 +123,7 @@ def extract_pages(pages: DataFrame, spec: dict[str, Field], key: str = "page_id"
     @F.arrow_udf(StructType([StructField(n, StringType()) for n in names]))
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = Automaton(spec)
-        for column in batches:
+        for column in (part for pages in batches for part in parts(pages)):
             out = [[] for _ in names]
             for page in column.to_pylist():
                 text, rows = (b"", []) if page is None else walked(page)

@@ -13,16 +13,19 @@ from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import selectors
 from sheaf.functions.selectors import Step
 from sheaf.schema import NODE, TREE, VOID_ELEMENTS
-from sheaf.session import spread
+from sheaf.session import settled, spread
 
 RAW_TEXT_IN = ("script", "style")
 BLOCK = 256
+#: Bytes of HTML whose nodes Python holds at a time; one longer page is parsed alone.
+PART_BYTES = 1 << 20
 ASCII_SPACE = " \t\n\r\f\v"
 
 
@@ -112,29 +115,44 @@ def walked(html: str) -> tuple[bytes, list]:
     return _Walk().walked(html)
 
 
+def parts(pages: pa.Array, most: int = PART_BYTES) -> Iterator[pa.Array]:
+    """A batch of pages in parts of up to ``most`` bytes, or one longer page, as nodes in Python take many times a page's bytes."""
+    size = pc.binary_length(pages).fill_null(0).to_numpy(zero_copy_only=False).astype("int64")
+    ends = size.cumsum()
+    at, done = 0, 0
+    while at < len(pages):
+        to = max(at + 1, int(ends.searchsorted(done + most, "right")))
+        yield pages.slice(at, to - at)
+        at, done = to, int(ends[to - 1])
+
+
 @F.arrow_udf(TREE)
 def _parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for pages in batches:
-        texts, ends, nodes, attr_ends, keys, values = [], [0], [], [0], [], []
-        for html in pages.to_pylist():
-            text, rows = (None, []) if html is None else _Walk().walked(html)
-            texts.append(text)
-            for i, row in enumerate(rows):
-                nodes.append((i, *row))
-                for k, v in row[3]:
-                    keys.append(k)
-                    values.append(v)
-                attr_ends.append(len(keys))
-            ends.append(len(nodes))
-        ids, parents, lasts, tags, _, starts, stops = zip(*nodes) if nodes else [()] * 7
-        attrs = pa.MapArray.from_arrays(
-            pa.array(attr_ends, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
-        ints = [pa.array(c, pa.int32()) for c in (ids, parents, lasts, starts, stops)]
-        flat = pa.StructArray.from_arrays(
-            [*ints[:3], pa.array(tags, pa.string()), attrs, *ints[3:]],
-            ["node_id", "parent_id", "last_id", "tag", "attrs", "text_from", "text_to"])
-        trees = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-        yield pa.StructArray.from_arrays([pa.array(texts, pa.binary()), trees], ["text", "nodes"])
+        yield from map(_trees, parts(pages))
+
+
+def _trees(pages: pa.Array) -> pa.Array:
+    texts, ends, nodes, attr_ends, keys, values = [], [0], [], [0], [], []
+    for html in pages.to_pylist():
+        text, rows = (None, []) if html is None else _Walk().walked(html)
+        texts.append(text)
+        for i, row in enumerate(rows):
+            nodes.append((i, *row))
+            for k, v in row[3]:
+                keys.append(k)
+                values.append(v)
+            attr_ends.append(len(keys))
+        ends.append(len(nodes))
+    ids, parents, lasts, tags, _, starts, stops = zip(*nodes) if nodes else [()] * 7
+    attrs = pa.MapArray.from_arrays(
+        pa.array(attr_ends, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+    ints = [pa.array(c, pa.int32()) for c in (ids, parents, lasts, starts, stops)]
+    flat = pa.StructArray.from_arrays(
+        [*ints[:3], pa.array(tags, pa.string()), attrs, *ints[3:]],
+        ["node_id", "parent_id", "last_id", "tag", "attrs", "text_from", "text_to"])
+    trees = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+    return pa.StructArray.from_arrays([pa.array(texts, pa.binary()), trees], ["text", "nodes"])
 
 
 # Evaluated once per page, whatever filters and fields are taken from it later.
@@ -264,8 +282,11 @@ def _chain(candidates: DataFrame, keys: list[str], steps: list[Step]) -> DataFra
 
     Node intervals nest, so a node lies inside an earlier match exactly when the highest
     ``last_id`` of the matches before it reaches it: a running maximum in document order,
-    with one shuffle and sort for the whole chain. A child step looks its parent up by id.
+    with one shuffle and sort for the whole chain. A child step looks its parent up by id, in candidates
+    that are kept, so that pages are not parsed again for each of them.
     """
+    if any(step.child for step in steps[1:]):
+        candidates = settled(candidates)
     before = Window.partitionBy(*keys).orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
     df = candidates.withColumn("on", F.col("m0"))
     for i, step in enumerate(steps[1:], 1):

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 from sheaf.functions import selectors
@@ -203,3 +204,18 @@ def test_look_ups_grow_with_nodes_and_not_with_fields():
         machine.run(rows)
         sizes.append((len(machine.moves), len(machine.sets), max(map(len, machine.moves.values()))))
     assert sizes[0] == sizes[1] and sizes[1][2] == 0
+
+
+def test_pages_are_parsed_in_parts_of_bounded_bytes(spark):
+    made = [None, "", "<p>" + "é" * 200_000, "<b>" + "x" * 2_400_000, None, *["<i>" + "y" * 320_000] * 9]
+    got = list(html._parse.func(iter([pa.array(made[:2] + made), pa.array([], pa.string())])))
+    assert [len(t) for t in got] == [5, 1, 4, 3, 3]  # not all pages of a batch at once
+    assert [len(x["nodes"]) for t in got for x in t.to_pylist()] == [0, 0, 0, 0, 2, 2, 0, *[2] * 9]
+    assert [p.to_pylist() for p in html.parts(pa.array(["ab", None, "cde", "f", "", "g"]).slice(1), 3)] == [[None, "cde"], ["f", "", "g"]]
+
+
+def test_a_page_is_parsed_once_for_child_steps(spark):
+    pages = spark.createDataFrame([(1, "<nav><ul><li>a</li><li>b</li></ul></nav><ul><li>c</ul>")], "page_id long, html string")
+    found = html.select(html.parse_html(pages), "nav > ul > li")
+    assert "_parse" not in found._jdf.queryExecution().executedPlan().toString()  # it was, ahead of the steps
+    assert sorted(r.text for r in found.collect()) == ["a", "b"]
