@@ -1,5 +1,9 @@
 """First rows and full ranks per key, without one task holding a whole key."""
 
+from bisect import bisect
+from itertools import accumulate
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,3 +109,26 @@ def summed_before(df: DataFrame, keys: list[str], order: list[Column], size: Col
     runs = runs.select(*keys, "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
     return placed.withColumn("__in", F.coalesce(F.sum("__size").over(inside), F.lit(0))).join(few_rows(runs), [*keys, "__part"]).withColumn(
         into, F.col("__base") + F.col("__in")).drop("__size", "__part", "__in", "__base")
+
+
+def quantiles(df: DataFrame, column: Column, shares: list[float]) -> list[float | None]:
+    """What ``percentile`` gives, from the rows at the places in question: no task holds all values. Nulls are left out; of no values it is null."""
+    values = df.select(column.alias("__value")).filter(F.col("__value").isNotNull())
+    placed = settled(values.repartitionByRange(range_parts(values), "__value").sortWithinPartitions("__value").withColumn(
+        "__at", F.monotonically_increasing_id()))
+    runs = sorted(placed.groupBy(F.shiftright("__at", 33).alias("part")).agg(F.count("*"), F.min("__at")).collect())
+    if not runs:
+        return [None] * len(shares)
+    starts = [0, *accumulate(n for _, n, _ in runs)]
+    places = [(starts[-1] - 1) * share for share in shares]
+    wanted = {runs[i][2] + at - starts[i]: at for p in places for at in {floor(p), ceil(p)} for i in [bisect(starts, at) - 1]}
+    rows = placed.filter(F.col("__at").isin(list(wanted))).select("__at", "__value").collect()
+    found = {wanted[at]: float(value) for at, value in rows}
+
+    def between(place: float) -> float | None:
+        lo, hi = floor(place), ceil(place)
+        if found[lo] == found[hi]:
+            return found[lo]
+        return (hi - place) * found[lo] + (place - lo) * found[hi]
+
+    return [between(p) for p in places]

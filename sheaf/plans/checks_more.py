@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.functions.ranking import quantiles
 from sheaf.operators import attempts, changes, codec, groups, html, intake, intervals, requests, zset
 from sheaf.operators.extract import Field, extract_records
 from sheaf.operators.html import parse_html
@@ -449,7 +450,8 @@ def stream_retries(fx: Inputs) -> DataFrame:
     n, at = F.col("attempt_id"), F.timestamp_seconds(F.col("attempt_id") * 60)
     tries = fx.view("fx_attempts").filter(F.floor(n / 3) % 4 != n % 3).select(
         F.concat(F.lit("job-"), F.floor(n / 3)).alias("job"), "attempt_id", at.alias("at"), F.col("status").cast("int").alias("status"))
-    half, last = tries.agg(F.expr("median(attempt_id)").cast("long"), F.max("attempt_id")).first()
+    half = F.lit(quantiles(tries, n, [0.5])[0]).cast("long")
+    last = tries.agg(F.max("attempt_id")).first()[0]
     end = spark.range(1).select(F.lit("end").alias("job"), F.lit(0).cast("long").alias("attempt_id"), F.timestamp_seconds(F.lit(last * 60 + 7200)).alias("at"),
                                 F.lit(200).alias("status"))
     parts = (tries.filter(n <= half), tries.filter(n > half), end, end.withColumn("at", F.col("at") + F.expr("interval 2 hours")))
@@ -476,7 +478,7 @@ def depth_stream(fx: Inputs) -> DataFrame:
     log = fx.view("fx_stream").select("channel", "msg_id", F.col("ts").cast("timestamp").alias("ts"))
     acks = log.filter("msg_id % 3 = 0").withColumnRenamed("ts", "acked_at")
     late = F.col("msg_id") % 2 == 0
-    middle = F.timestamp_seconds(F.lit(log.agg(F.expr("median(unix_timestamp(ts))")).first()[0]))
+    middle = F.timestamp_seconds(F.lit(quantiles(log, F.unix_timestamp("ts"), [0.5])[0]))
     for first in (True, False):
         for rows, name, at in ((log, "log", "ts"), (acks, "acks", "acked_at")):
             new = (F.col(at) >= middle) | late
@@ -492,7 +494,7 @@ def dedup_late(fx: Inputs) -> DataFrame:
     """Three runs: the newer half of the log, the older one, whose first copies come behind any watermark, and the newer half once more."""
     spark, path = fx.spark, scratch(fx.spark, "dedup")
     tasks = fx.view("fx_log").filter(~F.col("tombstone")).withColumn("at", F.col("enqueued_at").cast("timestamp"))
-    half = tasks.agg(F.expr("median(seq)")).first()[0]
+    half = quantiles(tasks, F.col("seq"), [0.5])[0]
     for part in (F.col("seq") > half, F.col("seq") <= half, F.col("seq") > half):
         tasks.filter(part).write.mode("append").parquet(f"{path}/log")
         stream = spark.readStream.schema(tasks.schema).parquet(f"{path}/log")
@@ -533,7 +535,7 @@ def _changed(fx: Inputs, path: str) -> DataFrame:
     base, rows = fx.view("fx_items"), fx.view("fx_changes")
     items.store_items(base, path)
     items.compact_items(fx.spark, path)
-    next_id, cuts = changes.following_id(base), rows.agg(F.percentile("seq", F.array(F.lit(0.3), F.lit(0.6)))).first()[0]
+    next_id, cuts = changes.following_id(base), quantiles(rows, F.col("seq"), [0.3, 0.6])
     said = []
     for part in (F.col("seq") <= cuts[0], (F.col("seq") > cuts[0]) & (F.col("seq") <= cuts[1]), F.col("seq") > cuts[1]):
         said.append(items.apply_stored(fx.spark, path, rows.filter(part), next_id))
