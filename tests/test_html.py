@@ -214,6 +214,21 @@ def test_pages_are_parsed_in_parts_of_bounded_bytes(spark):
     assert [p.to_pylist() for p in html.parts(pa.array(["ab", None, "cde", "f", "", "g"]).slice(1), 3)] == [[None, "cde"], ["f", "", "g"]]
 
 
+def test_memory_of_parsing_does_not_grow_with_the_batch(spark):
+    import tracemalloc
+
+    def peak(n):
+        batch = pa.array([("<p class=a>" + "x" * 100) * 900] * n)  # 0.1 MB each
+        tracemalloc.start()
+        try:
+            assert sum(map(len, html._parse.func(iter([batch])))) == n
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert peak(60) < 1.3 * peak(20)
+
+
 def test_a_page_is_parsed_once_for_child_steps(spark):
     pages = spark.createDataFrame([(1, "<nav><ul><li>a</li><li>b</li></ul></nav><ul><li>c</ul>")], "page_id long, html string")
     found = html.select(html.parse_html(pages), "nav > ul > li")
