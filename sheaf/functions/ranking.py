@@ -4,10 +4,10 @@ from bisect import bisect
 from itertools import accumulate
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from sheaf.session import few_rows, range_parts, settled, settled_ids
+from sheaf.session import few_rows, range_parts, settled, settled_ids, window_parts
 
 #: Up to so many values of a leading id column (such as channels) are listed in a filter.
 MOST_LISTED = 100
@@ -111,6 +111,29 @@ def summed_before(df: DataFrame, keys: list[str], order: list[Column], size: Col
         into, F.col("__base") + F.col("__in")).drop("__size", "__part", "__in", "__base")
 
 
+def in_ranges(df: DataFrame, keys: list[str], order: list[str], *measured: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows settled by range of (keys, order), with ``__part``, which grows with them; and the same dealt for windows over (``__part``, keys).
+
+    So a task has one range, whatever the session's number of partitions. What a key's rows need of its other ranges is one row per key and range,
+    for ``carried``. Rows equal in keys and order share a range. ``measured`` are rows at least as many as those of ``df`` that are cheaper to go through.
+    """
+    n = window_parts(*(measured or [df]))
+    placed = settled(df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()))
+    return placed, placed.repartitionById(n, "__part")
+
+
+def carried(dealt: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """``dealt`` with the other columns of ``few``, one row per key and range; null keys meet null keys."""
+    on = ["__part", *keys]
+    few = few_rows(settled(few.withColumnsRenamed({k: f"__of_{k}" for k in on})))
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in on]
+    return dealt.join(few, same, "left").drop(*(f"__of_{k}" for k in on))
+
+
+def earlier_ranges(keys: list[str]) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def quantiles(df: DataFrame, column: Column, shares: list[float]) -> list[float | None]:
     """What ``percentile`` gives, from the rows at the places in question: no task holds all values. Nulls are left out; of no values it is null."""
     values = df.select(column.alias("__value")).filter(F.col("__value").isNotNull())

@@ -7,8 +7,8 @@ lies between two entries that follow each other in the log is no gap.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.functions.ranking import fetched, first_n, ranked
-from sheaf.session import few_rows, range_parts, settled, settled_ids
+from sheaf.functions.ranking import carried, earlier_ranges, fetched, first_n, in_ranges, ranked
+from sheaf.session import few_rows, settled, settled_ids
 
 STATE = ["grp", "channel", "lo", "hi"]
 KEY = ["grp", "channel"]
@@ -31,15 +31,23 @@ def as_intervals(rows: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def merged(*states: DataFrame) -> DataFrame:
-    """The union of intervals that may overlap, by a running maximum of their ends. The order of a group's intervals goes over one window:
-    there are as many as gaps, not as entries."""
-    rows = states[0]
+    """The union of intervals that may overlap, by a running maximum of their ends.
+
+    Gaps may be nearly as many as entries, so a group's intervals are cut into ranges: each knows how far the earlier ones reach and how many
+    parts begin in them, and a part that goes on over ranges is put together by its number.
+    """
+    rows = states[0].select(*STATE)
     for more in states[1:]:
-        rows = rows.unionByName(more)
-    order = Window.partitionBy(*KEY).orderBy("lo", "hi")
-    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.unionByName(more.select(*STATE))
+    placed, dealt = in_ranges(rows, KEY, ["lo", "hi"])
+    order = Window.partitionBy("__part", *KEY).orderBy("lo", "hi")
+    tops = placed.groupBy("__part", *KEY).agg(F.max("hi").alias("top")).withColumn("top", F.max("top").over(earlier_ranges(KEY)))
+    reach = F.greatest(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), "top")
     begins = F.when(F.col("lo") <= reach, 0).otherwise(1)
-    return rows.withColumn("begins", begins).withColumn("part", F.sum("begins").over(order)).groupBy(*KEY, "part").agg(
+    parts = settled(carried(dealt, tops, KEY).withColumn("begins", begins).withColumn("part", F.sum("begins").over(order)).groupBy(
+        "__part", *KEY, "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    begun = parts.groupBy("__part", *KEY).agg(F.max("part").alias("n")).withColumn("n", F.coalesce(F.sum("n").over(earlier_ranges(KEY)), F.lit(0)))
+    return carried(parts, begun, KEY).groupBy(*KEY, (F.col("n") + F.col("part")).alias("part")).agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(*STATE)
 
 
@@ -99,7 +107,8 @@ def read_group_intervals(log: DataFrame, state: DataFrame, group: str, count: in
 def without(state: DataFrame, taken: DataFrame) -> DataFrame:
     """Intervals of ``state`` less those of ``taken``, as pieces (grp, channel, lo, hi, lo_open, hi_open); an open end is not part of it.
 
-    A sweep over the sorted ends: a piece goes from one end to the next where ``state`` covers and ``taken`` does not.
+    A sweep over the sorted ends: a piece goes from one end to the next where ``state`` covers and ``taken`` does not. The ends are swept range by
+    range, from the sums of the earlier ranges on and up to the first end of the next one.
     """
     def ends(of: DataFrame, covers: int, takes: int) -> DataFrame:
         # an interval begins before its first entry (side 0) and ends behind its last (side 1)
@@ -107,11 +116,17 @@ def without(state: DataFrame, taken: DataFrame) -> DataFrame:
             F.struct(F.col("lo").alias("at"), F.lit(0).alias("side"), F.lit(covers).alias("c"), F.lit(takes).alias("t")),
             F.struct(F.col("hi").alias("at"), F.lit(1).alias("side"), F.lit(-covers).alias("c"), F.lit(-takes).alias("t")))).alias("e")).select(*KEY, "e.*")
 
-    points = ends(state, 1, 0).unionByName(ends(taken, 0, 1)).groupBy(*KEY, "at", "side").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-    order = Window.partitionBy(*KEY).orderBy("at", "side")
+    placed, dealt = in_ranges(ends(state, 1, 0).unionByName(ends(taken, 0, 1)), KEY, ["at", "side"])
+    of_ranges = placed.groupBy("__part", *KEY).agg(
+        F.sum("c").alias("c_before"), F.sum("t").alias("t_before"), F.min(F.struct("at", "side")).alias("first"))
+    carry = of_ranges.select("__part", *KEY, *(F.coalesce(F.sum(n).over(earlier_ranges(KEY)), F.lit(0)).alias(n) for n in ("c_before", "t_before")),
+                             F.lead("first").over(Window.partitionBy(*KEY).orderBy("__part")).alias("follows"))
+    points = dealt.groupBy("__part", *KEY, "at", "side").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    order = Window.partitionBy("__part", *KEY).orderBy("at", "side")
     swept = points.withColumn("covered", F.sum("c").over(order)).withColumn("gone", F.sum("t").over(order)).withColumn(
         "next", F.lead(F.struct("at", "side")).over(order))
-    return swept.filter("covered > 0 and gone = 0").select(
+    met = carried(swept, carry, KEY).withColumn("next", F.coalesce("next", "follows"))
+    return met.filter("covered + c_before > 0 and gone + t_before = 0").select(
         *KEY, F.col("at").alias("lo"), F.col("next.at").alias("hi"), (F.col("side") == 1).alias("lo_open"), (F.col("next.side") == 0).alias("hi_open"))
 
 
@@ -121,21 +136,20 @@ def entries_in(log: DataFrame, pieces: DataFrame) -> DataFrame:
     Entries and pieces are placed together by range of (channel, id); an entry is in the last piece of a group that begins before it, if that piece
     reaches it. Pieces that reach over a range's start are carried into it: one row per group, channel and range.
     """
-    groups_of = pieces.select(*KEY).distinct()
-    points = log.select("channel", "msg_id").distinct().join(few_rows(settled_ids(groups_of)), "channel").select(
+    pieces = settled(pieces)
+    groups_of = few_rows(settled_ids(pieces.select(*KEY).distinct()))
+    entries = log.select("channel", "msg_id")
+    points = entries.distinct().join(groups_of, "channel").select(
         *KEY, F.col("msg_id").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("struct<hi:bigint,lo_open:boolean,hi_open:boolean,lo:bigint>").alias("piece"))
     begins = pieces.select(*KEY, F.col("lo").alias("at"), F.lit(0).alias("side"), F.struct(
         F.col("hi").cast("long").alias("hi"), "lo_open", "hi_open", F.col("lo").cast("long").alias("lo")).alias("piece"))
     rows = points.withColumn("at", F.col("at").cast("long")).unionByName(begins.withColumn("at", F.col("at").cast("long")))
-    order = ["grp", "channel", "at", "side"]
-    placed = settled(rows.repartitionByRange(range_parts(log), *order).withColumn("part", F.spark_partition_id()))
-    inside = Window.partitionBy("part", *KEY).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    placed, dealt = in_ranges(rows, KEY, ["at", "side"], entries.join(groups_of, "channel"), pieces)
+    inside = Window.partitionBy("__part", *KEY).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last("piece", ignorenulls=True)
-    carry = placed.filter("piece is not null").groupBy("part", *KEY).agg(F.max_by("piece", "at").alias("carried"))
-    parts = placed.select("part", *KEY).distinct().join(carry, ["part", *KEY], "left")
-    before = Window.partitionBy(*KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = parts.withColumn("before", F.last("carried", ignorenulls=True).over(before)).select("part", *KEY, "before")
-    met = placed.withColumn("own", last.over(inside)).join(few_rows(settled(carried)), ["part", *KEY], "left").withColumn("in", F.coalesce("own", "before"))
+    ended = placed.groupBy("__part", *KEY).agg(F.max_by("piece", F.when(F.col("piece").isNotNull(), F.col("at"))).alias("ended"))
+    before = ended.select("__part", *KEY, F.last("ended", ignorenulls=True).over(earlier_ranges(KEY)).alias("before"))
+    met = carried(dealt.withColumn("own", last.over(inside)), before, KEY).withColumn("in", F.coalesce("own", "before"))
     reaches = (F.col("at") > F.col("in.lo")) | ((F.col("at") == F.col("in.lo")) & ~F.col("in.lo_open"))
     ends = (F.col("at") < F.col("in.hi")) | ((F.col("at") == F.col("in.hi")) & ~F.col("in.hi_open"))
     return met.filter((F.col("side") == 1) & reaches & ends).select(*KEY, F.col("at").alias("msg_id"))
@@ -143,4 +157,4 @@ def entries_in(log: DataFrame, pieces: DataFrame) -> DataFrame:
 
 def pending_intervals(delivered: DataFrame, acked: DataFrame) -> DataFrame:
     """Pieces of what was delivered and is not acknowledged."""
-    return without(merged(delivered), merged(acked))
+    return without(settled(merged(delivered)), settled(merged(acked)))

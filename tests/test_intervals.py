@@ -1,10 +1,12 @@
 """Interval sets of deliveries against the rows they stand for."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from sheaf import session
 from sheaf.operators import intervals
 from sheaf.session import RANGE_BYTES, plan_bytes, range_parts
 
@@ -78,6 +80,56 @@ def test_merging_overlaps(spark):
     assert {tuple(r) for r in made.collect()} == {("g", "a", 1, 12), ("g", "a", 20, 30), ("h", "a", 2, 3), ("g", "b", 1, 1)}
 
 
+def test_no_window_holds_a_whole_group(spark, monkeypatch):
+    plans, settled = [], session.settled
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return settled(df)
+
+    monkeypatch.setattr(intervals, "settled", seen)
+    log = spark.createDataFrame([("a", i, "x") for i in range(9)], LOG)
+    delivered, acked = (spark.createDataFrame(x, "grp string, channel string, lo long, hi long") for x in ([("g", "a", 1, 6)], [("g", "a", 3, 4)]))
+    got = intervals.entries_in(log, intervals.pending_intervals(delivered, acked))
+    plans.append(got._jdf.queryExecution().optimizedPlan().toString())
+    assert sorted(r["msg_id"] for r in got.collect()) == [1, 2, 5, 6]
+    windows = [w for p in plans for w in re.findall(r"windowspecdefinition\(([^()]*)", p)]
+    assert windows and all("__part#" in w for w in windows)
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_groups_cut_into_ranges(spark, monkeypatch, seed):
+    monkeypatch.setattr(session, "WINDOW_BYTES", 512)
+    rng, log = random.Random(seed), [(c, i, "x") for c in "ab" for i in range(300)]
+
+    def drawn(n, longest):
+        los = [(g, c, rng.randrange(300)) for g in ("g", "h", None) for c in "ab" for _ in range(n)]
+        return [(g, c, lo, lo + rng.choice([0, 1, rng.randrange(longest)])) for g, c, lo in los] + [("g", "b", 20, 270)] * (longest > 9)
+
+    def union(rows):
+        out = []
+        for g, c, lo, hi in sorted(rows, key=lambda r: (r[0] or "", *r[1:])):
+            if out and out[-1][:2] == [g, c] and lo <= out[-1][3]:
+                out[-1][3] = max(out[-1][3], hi)
+            else:
+                out.append([g, c, lo, hi])
+        return sorted(map(tuple, out), key=str)
+
+    def covered(rows):
+        return {(g, c, i) for g, c, lo, hi in rows for i in range(lo, min(hi, 299) + 1)}
+
+    state, taken = drawn(25, 40), drawn(30, 4)
+    delivered, acked = (spark.createDataFrame(x, "grp string, channel string, lo long, hi long") for x in (state, taken))
+    assert session.window_parts(delivered) > 6 and session.window_parts(acked) > 6
+    assert sorted(map(tuple, intervals.merged(delivered).collect()), key=str) == union(state)
+    assert sorted(map(tuple, intervals.merged(delivered, acked).collect()), key=str) == union(state + taken)
+    pieces = intervals.pending_intervals(delivered, acked)
+    kept = pieces.collect()
+    assert rows_of(kept, log) == covered(state) - covered(taken)
+    found = [tuple(r) for r in intervals.entries_in(spark.createDataFrame(log + log[:9], LOG), pieces).collect()]
+    assert len(found) == len(set(found)) and set(found) == covered(state) - covered(taken)
+
+
 def test_an_empty_state_reads_from_the_start(spark):
     log = spark.createDataFrame([("a", 3, "x"), ("a", 7, "y"), ("a", 9, "z")], LOG)
     got, state = intervals.read_group_intervals(log, spark.createDataFrame([], "grp string, channel string, lo long, hi long"), "g", 2)
